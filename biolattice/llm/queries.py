@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, urlfilter
+from . import chat, exact_dedup, mixing, pii, urlfilter
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql("SELECT -1L AS conv_id, explode(array(0L, 1L)) AS turn").select(
@@ -29,5 +33,5 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(turns.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_mixing, op7_url_filter, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_mixing, op7_url_filter, op8_pii, op9_chat_format)}
 SQL = {"op1_exact_dedup": exact_dedup.SQL}
