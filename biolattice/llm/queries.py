@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, pii, urlfilter
+from . import chat, exact_dedup, langid, mixing, pii, quality, urlfilter
 from .common import table
 
 
@@ -13,6 +13,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -33,5 +41,5 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(turns.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_mixing, op7_url_filter, op8_pii, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality, op5_language_id, op6_mixing, op7_url_filter, op8_pii, op9_chat_format)}
 SQL = {"op1_exact_dedup": exact_dedup.SQL}
