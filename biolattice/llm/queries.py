@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, exact_dedup, langid, mixing, pii, quality, urlfilter
+from . import chat, ctw, exact_dedup, langid, minhash, mixing, pii, quality, urlfilter
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.language_model(table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(turns.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality, op4_ctw, op5_language_id, op6_mixing, op7_url_filter, op8_pii, op9_chat_format)}
-SQL = {"op1_exact_dedup": exact_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_minhash, op4_ctw, op5_language_id, op6_mixing, op7_url_filter, op8_pii, op9_chat_format)}
+SQL = {"op1_exact_dedup": exact_dedup.SQL, "op3_minhash": minhash.SQL}
