@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, exact_dedup, langid, minhash, mixing, pii, quality, urlfilter
+from . import chat, ctw, decontam, exact_dedup, langid, minhash, mixing, pii, quality, urlfilter
 from .common import table
 
 
@@ -49,5 +49,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(turns.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_minhash, op4_ctw, op5_language_id, op6_mixing, op7_url_filter, op8_pii, op9_chat_format)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_minhash, op4_ctw, op5_language_id, op6_mixing, op7_url_filter, op8_pii, op9_chat_format, op10_decontamination)}
 SQL = {"op1_exact_dedup": exact_dedup.SQL, "op3_minhash": minhash.SQL}
