@@ -113,15 +113,18 @@ class Parser:
         total = np.array([np.bincount(owner, row, len(texts)) for row in count]).reshape(len(self.langs), len(texts))
         return total, ends - starts, letters > 0
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, winner's share of the inverse entropies, and by which part its entropy is below the next language's."""
         total, size, known = self.phrases(texts)
         if not self.langs:
-            return ["und"] * len(texts), np.zeros(len(texts))
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         cost = total * np.array(self.bits)[:, None] / np.maximum(size, 1)
         best = cost.argmin(0)
         share = 1 / np.maximum(cost, 1e-9)
         score = np.where(known, share.max(0) / share.sum(0), 0.0)
-        return [self.langs[b] if k else "und" for b, k in zip(best, known)], score
+        low = np.sort(cost, 0)[:2]
+        lead = 1 - low[0] / np.maximum(low[-1], 1e-9) if len(low) > 1 else np.ones(len(texts))
+        return [self.langs[b] if k else "und" for b, k in zip(best, known)], score, np.where(known, lead, 0.0)
 
 
 _PARSERS: dict[str, Parser] = {}
@@ -146,11 +149,12 @@ def sampled(docs: DataFrame) -> dict[str, list[str]]:
     return out
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, lang_pred, score.
+def identify(docs: DataFrame, *keep: str) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, lang_pred, score, lead, and the columns named in keep.
 
-    Null texts and texts without a letter are `und` with score 0; so is everything if there is nothing to learn from.  The learnt sample is bounded (DOCS, SYMBOLS, TOTAL), whole texts
-    are parsed.  score is the winner's share of the inverse entropies.  Repeated rows each get a row; other columns aren't read.
+    Null texts and texts without a letter are `und` with score and lead 0; so is everything if there is nothing to learn from.  The learnt sample is bounded
+    (DOCS, SYMBOLS, TOTAL), whole texts are parsed.  score is the winner's share of the inverse entropies, lead the part by which its entropy is below
+    the next language's.  Repeated rows each get a row; columns not named aren't read.
     """
     spark = docs.sparkSession
     samples, name = spark.sparkContext.broadcast(sampled(docs)), uuid.uuid4().hex
@@ -159,9 +163,10 @@ def identify(docs: DataFrame) -> DataFrame:
         if name not in _PARSERS:
             _PARSERS.clear()
             _PARSERS[name] = Parser(samples.value)
-        for frame in batches(frames):
-            langs, score = _PARSERS[name].predict(frame["text"].tolist())
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "lang_pred": langs, "score": score})
+        for frame in batches(frames, "_text"):
+            langs, score, lead = _PARSERS[name].predict(frame["_text"].tolist())
+            yield frame.drop(columns="_text").assign(lang_pred=langs, score=score, lead=lead)
 
-    rows = docs.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
-    return rows.mapInPandas(parse, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), *keep, F.col("text").alias("_text"))
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
+    return rows.mapInPandas(parse, f"doc_id long, held_out boolean, {kept}lang_pred string, score double, lead double")

@@ -1,24 +1,69 @@
-"""Corpus preparation as stages over documents; each stage is written and read again before the next."""
+"""Corpus preparation: language identification, exact and near dedup, benchmark decontamination, mixing.
+
+Each stage takes the documents that the one before kept, works on all of them, and is written and read again before the next.  Stages decide by
+doc_id: rows that repeat an id share its fate.  Nulls and empty texts follow the operators' docstrings: texts without a letter go in the first stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from biolattice.llm import exact_dedup
+from biolattice.llm import decontam, exact_dedup, langid, minhash, mixing
 from biolattice.llm.common import saved, table
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A language is accepted if its entropy is at least by this part below the next one's.
+LEAD = 0.01
+
+
+def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how).select(*COLUMNS)
+
+
+def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a recognised language; those without letters or without a clear winner go. A null lang becomes the recognised one."""
+    seen = langid.identify(docs, *COLUMNS[1:]).where((F.col("lang_pred") != "und") & (F.col("lead") >= LEAD))
+    return seen.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
 
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """One document of each group of equal texts; also one row where rows repeat as a whole."""
+    kept = saved(exact_dedup.exact_dedup(docs).where("kept").select("doc_id"), "pipeline-kept")
+    out = _by_id(docs, kept, "left_semi")
+    repeated = kept.groupBy("doc_id").count().where("count > 1")
+    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+
+
+def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    return _by_id(docs, minhash.near_duplicates(docs).where("kept"), "left_semi")
+
+
+def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return _by_id(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark")), "left_anti")
+
+
+def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row per part of a document in a slot of an output shard."""
+    return mixing.mix(docs)
 
 
-STAGES = [("exact_dedup", stage_exact_dedup)]
+STAGES = [
+    ("language", stage_language),
+    ("exact_dedup", stage_exact_dedup),
+    ("near_dedup", stage_near_dedup),
+    ("decontaminate", stage_decontaminate),
+    ("mix", stage_mix),
+]
+#: The stages' models have no SQL form; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
