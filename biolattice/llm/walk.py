@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 
 #: Code points of text that are worked on at a time; bounds a worker's memory however long texts are together.
-BATCH_POINTS = 2_000_000
+BATCH_POINTS = 1_000_000
 
 
 def batches(frames: Iterator[pd.DataFrame], column: str = "text") -> Iterator[pd.DataFrame]:
