@@ -64,7 +64,7 @@ def last_wins(df: DataFrame) -> DataFrame:
 
 def guarded(edge_rows: DataFrame, node_rows: DataFrame) -> DataFrame:
     """Edges whose both ends are nodes."""
-    ids = node_rows.select("id").distinct()
+    ids = node_rows.select("id")
     return edge_rows.join(ids.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi").select(*edge_rows.columns)
 
 

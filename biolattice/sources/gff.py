@@ -20,16 +20,16 @@ def gff(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).where(~F.startswith("value", F.lit("#")))
     f = F.split(F.regexp_replace("value", r"[\r\n]+\z", ""), "\t")
     rows = lines.select(f.alias("f"), F.monotonically_increasing_id().alias("ord")).where(F.size("f") >= 9)
-    text = lambda k, name: F.col("f")[k].alias(name)
+    text = lambda k, name: F.get("f", F.lit(k)).alias(name)
     return rows.select(
         text(0, "contig_id"),
         text(1, "source"),
         text(2, "feature_type"),
-        F.col("f")[3].cast("bigint").alias("start"),
-        F.col("f")[4].cast("bigint").alias("end"),
+        F.get("f", F.lit(3)).cast("bigint").alias("start"),
+        F.get("f", F.lit(4)).cast("bigint").alias("end"),
         text(5, "score"),
         text(6, "strand"),
         text(7, "phase"),
-        attributes(F.col("f")[8]).alias("attrs"),
+        attributes(F.get("f", F.lit(8))).alias("attrs"),
         "ord",
     )
