@@ -37,6 +37,11 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def id_text(c: str = "doc_id") -> Column:
+    """An id as text: pandas would make integers beside nulls floating-point numbers, which large ids don't survive."""
+    return F.col(c).cast("string").alias(c)
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal digits, modulo n; a null id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import id_text, remainder
 from .walk import active, batches, pieces
 
 #: Sample of each language: documents, and symbols of each; fewer where there are so many languages that TOTAL would be passed.
@@ -167,6 +167,9 @@ def identify(docs: DataFrame, *keep: str) -> DataFrame:
             langs, score, lead = _PARSERS[name].predict(frame["_text"].tolist())
             yield frame.drop(columns="_text").assign(lang_pred=langs, score=score, lead=lead)
 
-    rows = docs.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), *keep, F.col("text").alias("_text"))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
-    return rows.mapInPandas(parse, f"doc_id long, held_out boolean, {kept}lang_pred string, score double, lead double")
+    kinds = {f.name: f.dataType.simpleString() for f in docs.select(*keep).schema}
+    whole = [c for c, k in kinds.items() if k in ("tinyint", "smallint", "int", "bigint")]
+    rows = docs.select(id_text(), (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), *[id_text(c) if c in whole else c for c in keep], F.col("text").alias("_text"))
+    kept = "".join(f"`{c}` {'string' if c in whole else k}, " for c, k in kinds.items())
+    out = rows.mapInPandas(parse, f"doc_id string, held_out boolean, {kept}lang_pred string, score double, lead double")
+    return out.withColumns({"doc_id": F.col("doc_id").cast("long"), **{c: F.col(c).cast(kinds[c]) for c in whole}})

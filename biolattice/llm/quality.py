@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, saved
+from .common import id_text, remainder, saved
 from .walk import batches
 
 #: Labelled rows used at most; random features; width of the kernel in standard deviations times the root of the number of statistics; ridge; calibration knots at most.
@@ -67,8 +67,9 @@ def _described(docs: DataFrame) -> DataFrame:
         for frame in batches(frames):
             yield pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "stats": list(statistics(frame["text"].tolist()))})
 
-    rows = docs.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "text")
-    return saved(rows.mapInPandas(run, "doc_id long, held_out boolean, stats array<double>"), "quality-statistics")
+    rows = docs.select(id_text(), (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "text")
+    out = rows.mapInPandas(run, "doc_id string, held_out boolean, stats array<double>")
+    return saved(out.withColumn("doc_id", F.col("doc_id").cast("long")), "quality-statistics")
 
 
 class Model:
@@ -155,4 +156,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 score = m.score(np.stack(frame["stats"])) if m else np.full(len(frame), 0.5)
                 yield pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "score": score, "predicted": (score >= 0.5).astype("int32")})
 
-    return described.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    out = described.withColumn("doc_id", id_text()).mapInPandas(run, "doc_id string, held_out boolean, score double, predicted int")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
