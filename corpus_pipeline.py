@@ -13,8 +13,8 @@ from biolattice.llm import decontam, exact_dedup, langid, minhash, mixing
 from biolattice.llm.common import saved, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A language is accepted if its entropy is at least by this part below the next one's.
-LEAD = 0.01
+#: A language is accepted if its entropy is by this part at least below the next one's, that is, if there is no tie.
+LEAD = 1e-9
 
 
 def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
