@@ -1,9 +1,9 @@
 """Near-duplicate detection: circulant MinHash, banding, exact Jaccard, components.
 
 Two permutations make the whole signature: the first scatters the shingles over the ring of 32-bit numbers, the second ranks them, and coordinate k ranks the
-scattered set shifted by k places round the ring.  Documents with the same set are one class from the start.  Of a bucket only pairs with its leader are
-verified at first; then, between documents that are still apart, all the bucket's other pairs.  So a large group costs about one pair
-a document, and no pair that shares a bucket is left out unless it is joined already.
+scattered set shifted by k places round the ring.  Documents with the same set are one class from the start.  Of a bucket only pairs with its leader, the
+member that meets most others, are verified at first.  Then documents that share a bucket and are still apart are compared: in small buckets all such pairs, in
+large ones those that an exact prefix filter leaves.  So a large group costs about one pair a document, and no link within a bucket is left out.
 """
 
 from __future__ import annotations
@@ -14,10 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import id_text, saved
 from .components import components
 from .walk import batches
 from .words import mixed, shingles
@@ -26,6 +25,8 @@ from .words import mixed, shingles
 BANDS, ROWS = 24, 6
 #: Links have 100 * intersection >= LINK * union.
 LINK = 85
+#: Members of a bucket whose pairs are taken as they are; width of the size classes of the prefix filter.
+SMALL, CLASS = 24, 1.08
 _CHUNK = 1 << 16
 
 
@@ -98,41 +99,102 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInPandas(_verified, "a binary, b binary")
 
 
+def _prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each member of a leader's group, the ways by which it can meet a similar member.
+
+    The group's shingles are ordered: those that the leader lacks come first.  If two sets are similar, the first shingle that they share stands so early in both that enough
+    may follow: at place i of n, only partners of at most (n - i + 1) * (100 + LINK) / LINK - n shingles are possible.  So members meet in an early shingle that the leader lacks
+    (a row each), or else have most of their shingles in common with the leader; these meet by size class (class set): the larger asks for the classes that it allows.
+    """
+    for frame in frames:
+        for low in range(0, len(frame), 256):
+            part = frame.iloc[low : low + 256]
+            leads = dict(zip(part["lead"], part["text_lead"]))
+            known = dict(zip(leads, shingles(list(leads.values()))))
+            out = []
+            for lead, node, least, mine in zip(part["lead"], part["node"], part["least"], shingles(part["text_node"].tolist())):
+                own = mine[np.isin(mine, known[lead], assume_unique=True, invert=True)]
+                n = len(mine)
+                most = (n - np.arange(len(own) + 1)) * (100 + LINK) // LINK - n
+                low_n = max(int(least), -(-n * LINK // 100))  # the smallest partner there can be
+                keep = most[:-1] >= low_n
+                if keep.any():
+                    out.append(pd.DataFrame({"lead": lead, "node": node, "n": n, "token": own[keep].view(np.int64), "class": -1, "most": most[:-1][keep], "larger": False}))
+                top = int(most[-1])
+                if len(own) < n and top >= low_n:
+                    first, last = (int(np.floor(np.log(x) / np.log(CLASS))) for x in (low_n, min(top, n)))
+                    asks = list(range(first, last + 1))
+                    mine_too = [int(np.floor(np.log(n) / np.log(CLASS)))] if top >= n else []
+                    out.append(pd.DataFrame({"lead": lead, "node": node, "n": n, "token": 0, "class": asks + mine_too, "most": top, "larger": [True] * len(asks) + [False] * len(mine_too)}))
+            if out:
+                yield pd.concat(out)
+
+
+def _apart(members: DataFrame, roots: DataFrame, *by: str) -> DataFrame:
+    """Members of the groups that hold several components, with their root and the root of the group's largest component."""
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counted = placed.groupBy(*by, "root").agg(F.count("*").alias("c"))
+    several = counted.groupBy(*by).agg(F.count("*").alias("k"), F.max(F.struct("c", "root")).alias("most")).where("k > 1")
+    return placed.join(several.select(*by, F.col("most.root").alias("main")), [*by])
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
-    Null texts and texts without words have an empty set, n_shingles 0, and are linked with nothing.  A component's id is its smallest doc_id (nulls come last); rows that repeat a
-    doc_id with other texts are documents of their own.  Shingles are 64-bit hashes, classes 128-bit digests of the whole set.  Other columns aren't read.
+    Null texts and texts without words have an empty set, n_shingles 0, and are linked with nothing.  A component's id is its smallest doc_id (nulls come last); rows that
+    repeat a doc_id with other texts are documents of their own.  Shingles are 64-bit hashes, classes 128-bit digests of the whole set.  Other columns aren't read.
     """
-    rows = saved(docs.select("doc_id", "text").mapInPandas(_described, "doc_id long, n_shingles long, node binary, bands array<long>"), "minhash-rows")
+    rows = docs.select(id_text(), "text").mapInPandas(_described, "doc_id string, n_shingles long, node binary, bands array<long>")
+    rows = saved(rows.withColumn("doc_id", F.col("doc_id").cast("long")), "minhash-rows")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = nodes.select("node", "n", "doc_id", F.explode("bands").alias("key"))
-    rank = F.xxhash64("key", "node")
-    leaders = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(rank, "node", "n", "doc_id")).alias("lead")).where("size > 1")
-    buckets = saved(members.join(leaders, "key").select("key", "size", "node", "n", "doc_id", F.col("lead.node").alias("l_node"), F.col("lead.n").alias("l_n"), F.col("lead.doc_id").alias("l_doc_id")), "minhash-buckets")
+    shared = saved(members.join(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "minhash-shared")
+    # a group's centre meets more of the group than its edges do, and so makes the better leader
+    ranked = shared.join(shared.groupBy("node").agg(F.sum("size").alias("met")), "node")
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("met", "node", "n", "doc_id")).alias("lead"))
+    buckets = saved(shared.join(leaders, "key").select("key", "size", "node", "n", "doc_id", F.col("lead.node").alias("lead"), F.col("lead.n").alias("l_n"), F.col("lead.doc_id").alias("l_doc_id")), "minhash-buckets")
     # sets whose sizes differ too much can't be similar enough
     close = lambda n, m: F.least(n, m) * 100 >= LINK * F.greatest(n, m)
-    stars = buckets.where((F.col("node") != F.col("l_node")) & close(F.col("n"), F.col("l_n")))
+    stars = buckets.where((F.col("node") != F.col("lead")) & close(F.col("n"), F.col("l_n")))
     ends = lambda df, p, q: df.select(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")).distinct()
-    tried = saved(ends(stars, "node", "l_node"), "minhash-tried")
+    tried = saved(ends(stars, "node", "lead"), "minhash-tried")
     # any member of a bucket of three or more may be compared again
-    wanted = stars.select("node", "doc_id").unionByName(stars.select(F.col("l_node").alias("node"), F.col("l_doc_id").alias("doc_id")))
+    wanted = stars.select("node", "doc_id").unionByName(stars.select(F.col("lead").alias("node"), F.col("l_doc_id").alias("doc_id")))
     wanted = wanted.unionByName(buckets.where("size > 2").select("node", "doc_id")).distinct()
     # a node's text is that of the document that names it; ids may repeat, so the set's digest decides
     found = docs.select(F.col("doc_id").alias("_id"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "text")
     texts = saved(found.mapInPandas(_own, "node binary, text string"), "minhash-texts")
     links = saved(_links(tried, texts), "minhash-links")
     roots = components(links)
-    # second round: between members that are still apart
-    placed = buckets.where("size > 2").select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    counted = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
-    mixed_buckets = counted.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("c", "root")).alias("most")).where("k > 1").select("key", F.col("most.root").alias("most"))
-    apart = saved(placed.join(mixed_buckets, "key"), "minhash-apart")
-    few = apart.where("root != most").select("key", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("root").alias("p_root"))
-    pairs = few.join(apart, "key").where((F.col("root") != F.col("p_root")) & close(F.col("n"), F.col("p_n")))
-    untried = saved(ends(pairs, "p", "node").join(tried, ["a", "b"], "left_anti"), "minhash-untried")
+    # second round, small buckets: all pairs that are still apart
+    few = _apart(buckets.where(f"size between 3 and {SMALL}").select("key", "node", "n"), roots, "key")
+    p = few.where("root != main").select("key", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("root").alias("p_root"))
+    pairs = ends(p.join(few, "key").where((F.col("root") != F.col("p_root")) & close(F.col("n"), F.col("p_n"))), "p", "node")
+    # large buckets: pairs that meet in their prefixes
+    many = _apart(buckets.where((F.col("size") > SMALL) & (F.col("node") != F.col("lead"))).select("lead", "node", "n").distinct(), roots, "lead")
+    many = saved(many.join(many.groupBy("lead").agg(F.min("n").alias("least")), "lead"), "minhash-apart")
+    if not many.isEmpty():
+        with_lead = many.select("lead", "node", "least").join(texts.select("node", F.col("text").alias("text_node")), "node")
+        with_lead = with_lead.join(texts.select(F.col("node").alias("lead"), F.col("text").alias("text_lead")), "lead")
+        meet = with_lead.select("lead", "node", "least", "text_lead", "text_node").mapInPandas(_prefixes, "lead binary, node binary, n long, token long, class int, most long, larger boolean")
+        meet = saved(meet.join(many.select("lead", "node", "root", (F.col("root") != F.col("main")).alias("few")), ["lead", "node"]), "minhash-prefixes")
+        y = meet.where("not larger").select("lead", "token", "class", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "most", "root", "few")])
+        # in each pair one member at least is outside the group's largest component
+        sides = (("class < 0 and few", "true"), ("larger and few", "true"), ("larger and not few", "y_few"))
+        for x_side, y_side in sides:
+            asked = meet.where(x_side).join(y.where(y_side), ["lead", "token", "class"])
+            asked = asked.where("root != y_root and least(n, y_n) * 100 >= greatest(n, y_n) * %d and y_n <= most and n <= y_most and (class < 0 or y_n <= n)" % LINK)
+            pairs = pairs.unionByName(ends(asked, "node", "y_node"))
+        pairs = pairs.distinct()
+    untried = saved(pairs.join(tried, ["a", "b"], "left_anti"), "minhash-untried")
     if not untried.isEmpty():
-        roots = components(links.unionByName(_links(untried, texts)))
+        # the links between components, and the components that they join
+        more = _links(untried, texts)
+        for end in ("a", "b"):
+            more = more.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+        joined = components(more.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+        alone = joined.select(F.col("node"), F.col("node").alias("root")).join(roots.select("node"), "node", "left_anti")
+        roots = roots.unionByName(alone).withColumnRenamed("root", "_r").join(joined.select(F.col("node").alias("_r"), "root"), "_r", "left").select("node", F.coalesce("root", "_r").alias("root"))
     named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = named.join(smallest, "root").select("node", "component_id")

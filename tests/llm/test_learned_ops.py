@@ -14,7 +14,7 @@ from biolattice.llm import components, ctw, decontam, langid, minhash, quality,
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text string, node string"
-ODD = [(900001, None), (900002, ""), (900003, " \n"), (900004, "x" * 50_000), (900005, "word " * 30_000), (900006, "1234 !!"), (900007, "é😀 ß"), (None, "a b c"), (900003, " \n")]
+ODD = [(900001, None), (900002, ""), (900003, " \n"), (900004, "x" * 50_000), (900005, "word " * 30_000), (900006, "1234 !!"), (900007, "é😀 ß"), (None, "a b c"), (900003, " \n"), (2**60 + 1, "one two three four")]
 
 
 @pytest.fixture(scope="module")
@@ -183,6 +183,14 @@ def test_near_duplicates(spark):
                 v[rng.randrange(len(v))] = "zz"
             rows.append((2000 + 10 * k + c, rng.choice([" ", "\n", "  "]).join(v).upper()))
     rows.append((1000, "another text of a repeated id that is different"))
+    base = [rng.choice(vocab) for _ in range(150)]
+    for k in range(120):  # a large group of which some members are near its centre and some near each other only
+        w = base[:]
+        if k % 10 == 9:
+            w[:20] = [f"s{j}" for j in range(20)]
+        for _ in range(k % 5):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(400)}"
+        rows.append((5000 + k, " ".join(w[: 150 - k % 7])))
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(odd(spark, rows)).collect()), key=str)
     assert got == brute(rows)
     assert minhash.near_duplicates(odd(spark, [])).count() == 0
