@@ -416,3 +416,175 @@ def bulk_load(spark, sf):
     again, _ = store.load(g, stored.unionByName(nodes.select("id", "eid")), edges)
     count = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
     return count(nodes, "node").unionByName(count(edges, "edge")).unionByName(count(again, "again"))
+
+
+@query("""
+WITH contig AS (SELECT 'c' || s_suppkey AS id, translate(sha256(s_name), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM supplier),
+protein AS (SELECT 'P' || p_partkey AS id, upper(p_type) AS seq FROM part),
+f AS (SELECT 'c' || (l_suppkey + l_linenumber % 2 * 3) AS contig_id, CASE WHEN l_linestatus = 'O' THEN 'gene' ELSE 'CDS' END AS type, l_linenumber AS s, l_linenumber + 10 + l_partkey % 5 AS e,
+  l_returnflag = 'R' AS minus, 'b' || l_orderkey AS tag, 'P' || (l_partkey + l_linenumber % 2 * 100) AS protein_id FROM lineitem),
+g AS (SELECT f.*, contig_id || '_' || type || '_' || s || '_' || e AS fid, c.seq AS cseq, substr(c.seq, s, e - s + 1) AS cut, p.seq AS pseq
+  FROM f LEFT JOIN contig c ON c.id = contig_id LEFT JOIN protein p ON p.id = protein_id AND type = 'CDS'),
+d AS (SELECT *, CASE WHEN type = 'gene' AND cseq IS NOT NULL THEN CASE WHEN minus THEN reverse(translate(cut, 'ACGT', 'TGCA')) ELSE cut END END AS dna FROM g)
+SELECT 'node' AS kind, 'Genome' AS label, 1 AS n
+UNION ALL SELECT 'node', 'GenomicContig', count(DISTINCT seq) FROM contig
+UNION ALL SELECT 'node', 'GenomicFeature', count(DISTINCT fid) FROM d
+UNION ALL SELECT 'node', 'LocusTag', count(DISTINCT tag) FROM d
+UNION ALL SELECT 'node', 'DNASequence', count(DISTINCT dna) FROM d WHERE dna <> ''
+UNION ALL SELECT 'node', 'ProteinSequence', count(DISTINCT pseq) FROM d
+UNION ALL SELECT 'edge', 'has_contig', count(DISTINCT seq) FROM contig
+UNION ALL SELECT 'edge', 'has_feature', count(DISTINCT (cseq, fid)) FROM d WHERE cseq IS NOT NULL
+UNION ALL SELECT 'edge', 'has_locus_tag', count(DISTINCT (fid, tag)) FROM d
+UNION ALL SELECT 'edge', 'has_dna_sequence', count(DISTINCT (fid, dna)) FROM d WHERE dna <> ''
+UNION ALL SELECT 'edge', 'has_protein_sequence', count(DISTINCT (fid, pseq)) FROM d WHERE pseq IS NOT NULL
+UNION ALL SELECT 'unmatched', 'contig_not_found', count(*) FROM d WHERE cseq IS NULL
+UNION ALL SELECT 'unmatched', 'contig_not_found_for_dna', count(*) FROM d WHERE cseq IS NULL AND type = 'gene'
+UNION ALL SELECT 'unmatched', 'protein_not_found', count(*) FROM d WHERE pseq IS NULL AND type = 'CDS'
+""")
+def genome_transform(spark, sf):
+    from .plans.genome import genome
+
+    contigs = _t(spark, sf, "supplier").select(F.concat(F.lit("c"), "s_suppkey").alias("id"), F.translate(F.sha2("s_name", 256), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"), F.col("s_suppkey").alias("ord"))
+    proteins = _t(spark, sf, "part").select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.upper("p_type").alias("seq"), F.col("p_partkey").alias("ord"))
+    odd, kind = F.col("l_linenumber") % 2, F.when(F.col("l_linestatus") == "O", "gene").otherwise("CDS")
+    protein_id = F.concat(F.lit("P"), F.col("l_partkey") + odd * 100)
+    features = _t(spark, sf, "lineitem").select(
+        F.concat(F.lit("c"), F.col("l_suppkey") + odd * 3).alias("contig_id"), F.lit("table").alias("source"), kind.alias("feature_type"), F.col("l_linenumber").cast("long").alias("start"),
+        (F.col("l_linenumber") + 10 + F.col("l_partkey") % 5).alias("end"), F.lit(".").alias("score"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("strand"), F.lit(".").alias("phase"),
+        F.create_map(F.lit("locus_tag"), F.concat(F.lit("b"), "l_orderkey"), F.lit("protein_id"), protein_id).alias("attrs"), F.monotonically_increasing_id().alias("ord"),
+    )
+    made = genome("G", contigs, proteins, features)
+    lost = made.unmatched.groupBy("reason").agg(F.count("*").alias("n")).select(F.lit("unmatched").alias("kind"), F.col("reason").alias("label"), "n")
+    return made.graph.summary().where("label <> 'has_protein_translation'").unionByName(lost)
+
+
+def _models(spark, sf):
+    from .sources.models import Model
+
+    third = lambda c: F.concat(F.lit("m"), F.col(c) % 3)
+    name = lambda p, c: F.concat(F.lit(p), F.col(c))
+    ids = spark.range(3).select(F.concat(F.lit("m"), "id").alias("model_id"))
+    compartments = ids.select("model_id", F.posexplode(F.array(F.lit("c"), F.lit("e"))).alias("ord", "k")).select("model_id", F.create_map(F.lit("id"), F.col("k")).alias("props"), "ord")
+    species = _t(spark, sf, "part").select(
+        third("p_partkey").alias("model_id"), F.create_map(F.lit("id"), name("p", "p_partkey"), F.lit("compartment"), F.element_at(F.array(F.lit("c"), F.lit("e"), F.lit("x")), F.col("p_size") % 3 + 1)).alias("props"), F.col("p_partkey").alias("ord")
+    )
+    genes = _t(spark, sf, "supplier").select(third("s_suppkey").alias("model_id"), name("g", "s_suppkey").alias("gene_id"), F.create_map(F.lit("fbc:id"), name("g", "s_suppkey")).alias("props"), F.col("s_suppkey").alias("ord"))
+    part = F.struct(name("p", "l_partkey").alias("species"), F.col("l_quantity").cast("string").alias("stoichiometry"))
+    back = F.col("l_returnflag") == "R"
+    reactions = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.array_compact(F.collect_list(F.when(back, part))).alias("reactants"), F.array_compact(F.collect_list(F.when(~back, part))).alias("products"), F.array(F.collect_list(name("g", "l_suppkey"))).alias("complexes")
+    )
+    reactions = reactions.select(third("l_orderkey").alias("model_id"), F.create_map(F.lit("id"), name("R", "l_orderkey")).alias("props"), "reactants", "products", "complexes", F.col("l_orderkey").alias("ord"))
+    return Model(ids.select("model_id", F.create_map(F.lit("id"), F.col("model_id")).alias("props")), compartments, species, genes, reactions)
+
+
+_MODEL_SQL = """
+WITH l AS (SELECT *, l_orderkey % 3 AS m FROM lineitem),
+x AS (SELECT l_orderkey, m, array_to_string(list_sort(list_distinct(list('g' || l_suppkey))), '|') AS k FROM l GROUP BY ALL),
+g AS (SELECT DISTINCT x.m, x.k, l.l_suppkey AS s FROM x JOIN l ON l.l_orderkey = x.l_orderkey),
+k AS (SELECT g.*, s_suppkey IS NOT NULL AS declared FROM g LEFT JOIN supplier ON s_suppkey = s AND s_suppkey % 3 = g.m),
+p AS (SELECT DISTINCT l_orderkey, l_partkey, l_returnflag = 'R' AS back FROM l JOIN part ON p_partkey = l_partkey WHERE p_partkey % 3 = m)
+SELECT 'node' AS kind, '{0}Model' AS label, 3 AS n
+UNION ALL SELECT 'node', '{0}Compartment', 6
+UNION ALL SELECT 'node', '{0}{1}', count(*) FROM part
+UNION ALL SELECT 'node', '{0}Reaction', count(DISTINCT l_orderkey) FROM l
+UNION ALL SELECT 'node', '{0}Complex', count(DISTINCT (m, k)) FROM x
+UNION ALL SELECT 'edge', 'has_compartment', 6 + count(*) FROM part WHERE p_size % 3 < 2
+UNION ALL SELECT 'edge', 'has_species', count(*) FROM part
+UNION ALL SELECT 'edge', 'has_reaction', count(DISTINCT l_orderkey) FROM l
+UNION ALL SELECT 'edge', 'has_gpr_complex', count(*) FROM x
+"""
+
+
+@query(
+    _MODEL_SQL.format("COBRA", "Metabolite")
+    + """
+UNION ALL SELECT 'node', 'COBRAGene', count(*) FROM supplier
+UNION ALL SELECT 'edge', 'has_gene', (SELECT count(*) FROM supplier) + count(*) FROM k WHERE declared
+UNION ALL SELECT 'edge', 'has_stoichiometry_coefficient', count(DISTINCT (l_orderkey, l_partkey)) FROM p
+"""
+)
+def cobra_transform(spark, sf):
+    from .plans.models import model
+
+    return model(_models(spark, sf), "COBRA").summary()
+
+
+@query(
+    _MODEL_SQL.format("SBML", "Species")
+    + """
+UNION ALL SELECT 'node', 'SBMLGene', (SELECT count(*) FROM supplier) + count(DISTINCT (m, s)) FROM k WHERE NOT declared
+UNION ALL SELECT 'edge', 'has_gene', (SELECT count(*) FROM supplier) + (SELECT count(DISTINCT (m, s)) FROM k WHERE NOT declared) + count(*) FROM k
+UNION ALL SELECT 'edge', 'has_reactant', count(*) FROM p WHERE back
+UNION ALL SELECT 'edge', 'has_product', count(*) FROM p WHERE NOT back
+"""
+)
+def sbml_transform(spark, sf):
+    from .plans.models import model
+
+    return model(_models(spark, sf), "SBML").summary()
+
+
+@query("""
+SELECT 'node' AS kind, 'ModelSEEDCompound' AS label, count(*) AS n FROM (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0 UNION SELECT l_partkey FROM lineitem)
+UNION ALL SELECT 'node', 'ModelSEEDReaction', count(DISTINCT l_orderkey) FROM lineitem
+UNION ALL SELECT 'edge', 'has_stoichiometry_coefficient', count(DISTINCT (l_orderkey, l_partkey)) FROM lineitem
+UNION ALL SELECT 'notes', 'a; ' || p_brand, count(*) FROM part WHERE p_partkey % 2 = 0 GROUP BY p_brand
+""")
+def biochem_transform(spark, sf):
+    from .plans.biochem import biochem
+
+    text = lambda c: F.col(c).cast("string")
+    compounds = _t(spark, sf, "part").where("p_partkey % 2 = 0").select(
+        F.create_map(F.lit("id"), text("p_partkey"), F.lit("name"), F.col("p_name"), F.lit("aliases"), F.lit('["x"]'), F.lit("notes"), F.to_json(F.array(F.lit("a"), F.col("p_brand")))).alias("props"), F.col("p_partkey").alias("ord")
+    )
+    sides = F.collect_list(F.struct(text("l_partkey").alias("compound"), text("l_quantity").alias("coefficient")))
+    reactions = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.to_json(sides).alias("s"))
+    g = biochem(compounds, reactions.select(F.create_map(F.lit("id"), text("l_orderkey"), F.lit("stoichiometry"), F.col("s")).alias("props"), F.col("l_orderkey").alias("ord")))
+    notes = g.of_label("ModelSEEDCompound").where(F.col("props")["notes"].isNotNull()).groupBy(F.col("props")["notes"].alias("label")).agg(F.count("*").alias("n"))
+    return g.summary().unionByName(notes.select(F.lit("notes").alias("kind"), "label", "n"))
+
+
+@query("""
+SELECT 'node' AS kind, 'uniprotkb_sprot' AS label, count(*) AS n FROM customer
+UNION ALL SELECT 'node', 'uniprotkb_accession', 2 * count(*) FROM customer
+UNION ALL SELECT 'node', 'eco_term', 2
+UNION ALL SELECT 'node', 'kegg_gene', count(DISTINCT c_nationkey) FROM customer
+UNION ALL SELECT 'node', 'RHEA_reaction', count(DISTINCT c_nationkey) FROM customer
+UNION ALL SELECT 'node', 'EC_number', count(DISTINCT c_mktsegment) FROM customer
+UNION ALL SELECT 'node', 'uniprotkb_subcell', count(DISTINCT c_mktsegment) FROM customer
+UNION ALL SELECT 'node', 're_seq_protein', count(DISTINCT upper(c_mktsegment)) FROM customer
+UNION ALL SELECT 'edge', 'uniprotkb_sprot_has_accession', 2 * count(*) FROM customer
+UNION ALL SELECT 'edge', 'uniprotkb_sprot_has_reference_to_kegg_gene', count(*) FROM customer
+UNION ALL SELECT 'edge', 'uniprotkb_sprot_has_catalytic_activity_rhea_reaction', count(*) FROM customer
+UNION ALL SELECT 'edge', 'uniprotkb_sprot_has_catalytic_activity_ec_number', count(*) FROM customer
+UNION ALL SELECT 'edge', 'uniprotkb_sprot_has_subcell', count(*) FROM customer
+UNION ALL SELECT 'edge', 'uniprotkb_sprot_has_protein_sequence', count(*) FROM customer
+UNION ALL SELECT 'eco', 'ECO:' || c_nationkey % 2, count(*) FROM customer GROUP BY c_nationkey % 2
+""")
+def protein_transform(spark, sf):
+    from .plans.proteins import entries
+    from .sources.proteins import ENTRY
+
+    def ref(kind, value):
+        return F.struct(F.lit(kind).alias("_type"), value.alias("_id"))
+
+    c = _t(spark, sf, "customer")
+    nation, key, segment = F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string"), F.col("c_mktsegment")
+    parity = (F.col("c_nationkey") % 2).cast("string")
+    reaction = F.struct(parity.alias("_evidence"), F.array(ref("Rhea", F.concat(F.lit("RHEA:"), nation)), ref("EC", segment)).alias("dbReference"))
+    place = F.struct(F.array(F.struct(segment.alias("_VALUE"))).alias("location"))
+    comments = [F.struct(F.lit("catalytic activity").alias("_type"), F.array(reaction).alias("reaction")), F.struct(F.lit("subcellular location").alias("_type"), F.array(place).alias("subcellularLocation"))]
+    text = F.to_json(
+        F.struct(
+            F.array(F.concat(F.lit("P"), key), F.concat(F.lit("A"), key)).alias("accession"),
+            F.array(ref("KEGG", nation)).alias("dbReference"),
+            F.array(F.struct(F.lit("0").alias("_key"), F.lit("ECO:0").alias("_type")), F.struct(F.lit("1").alias("_key"), F.lit("ECO:1").alias("_type"))).alias("evidence"),
+            F.struct(F.concat(F.lit(" "), segment, F.lit("* ")).alias("_VALUE")).alias("sequence"),
+        )
+    )
+    both = c.select(text.alias("t"), *[F.to_json(x).alias(f"c{k}") for k, x in enumerate(comments)])
+    joined = F.concat(F.substr("t", F.lit(1), F.length("t") - 1), F.lit(',"comment":['), F.col("c0"), F.lit(","), F.col("c1"), F.lit("]}"))
+    g = entries(both.select(F.from_json(joined, ENTRY.replace("\n", " ")).alias("e")).select("e.*"))
+    eco = g.edges.where(F.col("props")["eco"].isNotNull()).groupBy(F.col("props")["eco"].alias("label")).agg(F.count("*").alias("n"))
+    return g.summary().unionByName(eco.select(F.lit("eco").alias("kind"), "label", "n"))
