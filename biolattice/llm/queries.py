@@ -54,4 +54,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_minhash, op4_ctw, op5_language_id, op6_mixing, op7_url_filter, op8_pii, op9_chat_format, op10_decontamination)}
-SQL = {"op1_exact_dedup": exact_dedup.SQL, "op3_minhash": minhash.SQL}
+SQL = {"op1_exact_dedup": exact_dedup.SQL, "op3_minhash": minhash.SQL, "op9_chat_format": chat.SQL}
