@@ -399,19 +399,19 @@ def verdict_parse(spark, sf):
 
 
 @query("""
-WITH o AS (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderpriority <> '5-LOW'), e AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
-SELECT 'node' AS kind, count(*) AS n FROM o WHERE o_orderkey % 2 = 1
+WITH o AS (SELECT o_orderkey, any_value(o_orderstatus) AS st FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY o_orderkey), e AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
+SELECT 'node' AS kind, count(*) AS n FROM o WHERE st <> 'F'
 UNION ALL SELECT 'edge', count(*) FROM e JOIN o ON o_orderkey = l_orderkey JOIN (SELECT DISTINCT p_partkey FROM part) ON p_partkey = l_partkey
 UNION ALL SELECT 'again', 0
 """)
 def bulk_load(spark, sf):
     name = lambda label, k: F.concat(F.lit(label), F.lit("/"), F.col(k))
     o = _t(spark, sf, "orders").where("o_orderpriority <> '5-LOW'")
-    n = graph.nodes(o, "Order", F.col("o_orderkey").cast("string"), order="o_orderkey")
+    n = graph.nodes(o, "Order", F.col("o_orderkey").cast("string"), graph.props(status=F.col("o_orderstatus")), "o_orderkey")
     p = graph.nodes(_t(spark, sf, "part"), "Part", F.col("p_partkey").cast("string"), order="p_partkey")
     e = graph.edges(_t(spark, sf, "lineitem"), name("Order", "l_orderkey"), "has_part", name("Part", "l_partkey"), order="l_linenumber")
     g = Graph.build([n, p], [e])
-    stored = g.nodes.where("label = 'Part' or key % 2 = 0").select("id", store.eid().alias("eid"))
+    stored = g.nodes.where("label = 'Part' or props['status'] = 'F'").select("id", store.eid().alias("eid"))
     nodes, edges = store.load(g, stored, g.edges.select("id").limit(0))
     again, _ = store.load(g, stored.unionByName(nodes.select("id", "eid")), edges)
     count = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
@@ -526,16 +526,16 @@ def sbml_transform(spark, sf):
 
 
 @query("""
-SELECT 'node' AS kind, 'ModelSEEDCompound' AS label, count(*) AS n FROM (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0 UNION SELECT l_partkey FROM lineitem)
+SELECT 'node' AS kind, 'ModelSEEDCompound' AS label, count(*) AS n FROM (SELECT p_partkey FROM part WHERE p_size > 25 UNION SELECT l_partkey FROM lineitem)
 UNION ALL SELECT 'node', 'ModelSEEDReaction', count(DISTINCT l_orderkey) FROM lineitem
 UNION ALL SELECT 'edge', 'has_stoichiometry_coefficient', count(DISTINCT (l_orderkey, l_partkey)) FROM lineitem
-UNION ALL SELECT 'notes', 'a; ' || p_brand, count(*) FROM part WHERE p_partkey % 2 = 0 GROUP BY p_brand
+UNION ALL SELECT 'notes', 'a; ' || p_brand, count(*) FROM part WHERE p_size > 25 GROUP BY p_brand
 """)
 def biochem_transform(spark, sf):
     from .plans.biochem import biochem
 
     text = lambda c: F.col(c).cast("string")
-    compounds = _t(spark, sf, "part").where("p_partkey % 2 = 0").select(
+    compounds = _t(spark, sf, "part").where("p_size > 25").select(
         F.create_map(F.lit("id"), text("p_partkey"), F.lit("name"), F.col("p_name"), F.lit("aliases"), F.lit('["x"]'), F.lit("notes"), F.to_json(F.array(F.lit("a"), F.col("p_brand")))).alias("props"), F.col("p_partkey").alias("ord")
     )
     sides = F.collect_list(F.struct(text("l_partkey").alias("compound"), text("l_quantity").alias("coefficient")))
