@@ -14,6 +14,8 @@ from .common import saved
 
 #: Code points a chunk has at least and at most.
 MIN_CHUNK, MAX_CHUNK = 192, 2048
+#: A group is hot if it holds more than one in so many rows.
+HOT = 1000
 SPACE = r"[\x20\x09-\x0D]"
 
 
@@ -76,7 +78,13 @@ def exact_dedup(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     listed = recipes(docs, hash_bits)
     best = F.max(F.struct("n_points", F.col("doc_id").isNotNull().alias("known"), F.bitwise_not("doc_id").alias("down")))
     groups = listed.groupBy("recipe").agg(F.count("*").alias("group_size"), best.alias("_best"))
-    return listed.join(groups, "recipe").select(
+    # fewer than HOT groups can hold more than a HOT-th of the rows each: these are broadcast, and their rows, dealt out by doc_id, don't meet in one task
+    hot = groups.where(F.col("group_size") * HOT > groups.agg(F.sum("group_size")).scalar()).select("recipe", F.struct("group_size", "_best").alias("_hot"))
+    marked = listed.join(F.broadcast(hot), "recipe", "left")
+    marked = marked.withColumn("_key", F.when(F.col("_hot").isNotNull(), F.array(F.xxhash64("doc_id"), F.lit(None))).otherwise(F.col("recipe"))).drop("recipe")
+    found = marked.join(groups.withColumnRenamed("recipe", "_key"), "_key", "left")
+    found = found.withColumns({"group_size": F.coalesce("_hot.group_size", "group_size"), "_best": F.coalesce("_hot._best", "_best")})
+    return found.select(
         "doc_id",
         F.bitwise_not("_best.down").alias("keep_id"),
         "group_size",
