@@ -125,8 +125,9 @@ def _taken(rows: DataFrame, goals: DataFrame, block: int, shard_blocks: int, *ca
         .withColumn("first_word", F.col("_low") - F.col("_start"))
         .select("_source", "_start", "_block", "_low", "_high", "doc_id", "source", "first_word", *carry)
     )
+    # the optimiser sees few sources, not how many slots they explode into, and would broadcast them
     return (
-        parts.join(slots(goals, block, shard_blocks), ["_source", "_block"])
+        parts.join(slots(goals, block, shard_blocks).hint("merge"), ["_source", "_block"])
         .withColumn("n_words", F.least("_high", F.col("_block") * block + F.col("_take")) - F.col("_low"))
         .where("n_words > 0")
     )
