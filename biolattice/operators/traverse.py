@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import saved
 from .graph import Graph
 
 
@@ -32,14 +33,15 @@ def undirected(graph: Graph, left: str, right: str, edge_label: str | None = Non
     return both.join(of(left, "left_id"), "left_id", "left_semi").join(of(right, "right_id"), "right_id", "left_semi").select("left_id", "right_id").distinct()
 
 
-def expand(graph: Graph, roots: DataFrame, allowed: dict[str, tuple[bool, bool]], max_depth: int = 3) -> tuple[DataFrame, DataFrame]:
+def expand(graph: Graph, roots: DataFrame, allowed: dict[str, tuple[bool, bool]], max_depth: int = 3, materialize: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, depth) within max_depth of the roots and the edges met on the way.
 
     allowed: by label, whether children and parents are followed; nodes of other labels are leaves.  A node has its shortest depth.  One round of joins per
-    level, whose frontier is written to the shared folder, so the plan stays short and lost executors cost a level at most.
+    level, whose frontier is written to the shared folder, so the plan stays short and lost executors cost a level at most.  materialize: write the graph's ids and
+    edges first, for a graph that is computed rather than read.
     """
-    from ..plans.tables import saved
-
+    if materialize:
+        graph = Graph(saved(graph.nodes.select("id", "label")), saved(graph.edges))
     labels = graph.nodes.select("id", "label")
     down = [k for k, (child, _) in allowed.items() if child]
     up = [k for k, (_, parent) in allowed.items() if parent]

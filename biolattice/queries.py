@@ -192,7 +192,7 @@ UNION ALL SELECT 'Order/' || o_orderkey, 3 FROM orders JOIN customer ON c_custke
 def bounded_expand(spark, sf):
     roots = _t(spark, sf, "region").where("r_name = 'ASIA'").select(F.concat(F.lit("Region/"), F.col("r_regionkey")).alias("id"))
     follow = {"Region": (True, False), "Nation": (True, False), "Customer": (True, False)}
-    return traverse.expand(_trade(spark, sf), roots, follow, 3)[0]
+    return traverse.expand(_trade(spark, sf), roots, follow, 3, materialize=True)[0]
 
 
 def _events(spark, sf):
