@@ -19,7 +19,7 @@ LEAD = 1e-9
 
 def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how).select(*COLUMNS)
+    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how).select(*COLUMNS)
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -257,16 +256,18 @@ def test_decontamination(spark, docs):
 
 
 def test_pipeline(spark, docs, tmp_path):
-    for t in ("documents", "benchmark"):
-        spark.read.parquet(f"{DATA}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    mixed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
-    assert len(mixed) and set(mixed.columns) == {"shard", "slot", "doc_id", "source", "lang", "first_word", "n_words", "text"}
-    text = dict(rows)
-    for r in mixed.itertuples():
-        assert r.text.split() == [w for w in text[r.doc_id].split()][r.first_word : r.first_word + r.n_words]
-    used = [(i, text[i]) for i in mixed.doc_id.unique().tolist()]
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = docs.unionByName(odd(spark).select(*docs.columns)).unionByName(docs.limit(3)).withColumn("_id", langid.F.lit("clash"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    text = {r.doc_id: r.text for r in rows.collect()}
+    mixed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert mixed and set(mixed[0].asDict()) == {"shard", "slot", "doc_id", "source", "lang", "first_word", "n_words", "text"}
+    for r in mixed:
+        assert r.text.split() == text[r.doc_id].split()[r.first_word : r.first_word + r.n_words]
+    ids = {r.doc_id for r in mixed}
+    used = [(i, text[i]) for i in ids]
     assert all(c == i for i, _, c in brute(used)) and len({"".join(t.split()) for _, t in used}) == len(used)
-    found = {r.doc_id for r in decontam.contaminated(docs, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
-    assert not found & set(mixed.doc_id)
-    assert isinstance(mixed, pd.DataFrame)
+    found = {r.doc_id for r in decontam.contaminated(docs, bench).collect()}
+    assert found and not found & ids
+    assert not ids & {900001, 900002, 900003, 900006}
