@@ -46,10 +46,12 @@ def edges(df: DataFrame, src: Column | str, label: str | Column, dst: Column | s
 
 
 def _one(df: DataFrame, pick) -> DataFrame:
-    """One row per id by an aggregate, which combines before it shuffles, so that an id with many rows is no one's task."""
+    """One row per id by an aggregate, which combines before it shuffles, so that an id with many rows is no one's task.
+
+    Each column is picked by itself: the picks see the rows in one order and so take the same row, and columns that no one reads are pruned.
+    """
     rest = [c for c in df.columns if c != "id"]
-    picked = df.groupBy("id").agg(pick(F.struct(*rest), F.col("ord")).alias("_row"))
-    return picked.select(*[F.col("id") if c == "id" else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    return df.groupBy("id").agg(*[pick(F.col(c), F.col("ord")).alias(c) for c in rest]).select(*df.columns)
 
 
 def first_wins(df: DataFrame) -> DataFrame:
