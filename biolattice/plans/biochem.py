@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.keys import node_id
 from ..operators.graph import Graph, edges, nodes
 
+#: Node labels, which stored graphs already use.
+COMPOUND, REACTION = "ModelSEEDCompound", "ModelSEEDReaction"
 _STOICHIOMETRY = "array<map<string,string>>"
 
 
@@ -53,9 +55,9 @@ def biochem(compound_rows: DataFrame, reaction_rows: DataFrame) -> Graph:
     zero = F.lit(0)
     proxies = last.select(F.col("_c")).distinct()
     node_parts = [
-        nodes(c, "ModelSEEDCompound", "_id", F.col("_data"), zero),
-        nodes(r.withColumn("_k", number), "ModelSEEDReaction", "_id", F.col("_data"), "_k"),
-        nodes(proxies, "ModelSEEDCompound", "_c", order=F.lit(1 << 40)),
+        nodes(c, COMPOUND, "_id", F.col("_data"), zero),
+        nodes(r.withColumn("_k", number), REACTION, "_id", F.col("_data"), "_k"),
+        nodes(proxies, COMPOUND, "_c", order=F.lit(1 << 40)),
     ]
-    edge_parts = [edges(last, node_id("ModelSEEDReaction", F.col("_id")), "has_stoichiometry_coefficient", node_id("ModelSEEDCompound", F.col("_c")), F.col("_s"), zero)]
+    edge_parts = [edges(last, node_id(REACTION, F.col("_id")), "has_stoichiometry_coefficient", node_id(COMPOUND, F.col("_c")), F.col("_s"), zero)]
     return Graph.build(node_parts, edge_parts)
