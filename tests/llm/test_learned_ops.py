@@ -255,6 +255,23 @@ def test_decontamination(spark, docs):
     assert decontam.contaminated(odd(spark, []), bench).count() == 0
 
 
+def test_decontamination_finds_every_copy_of_many_items(spark):
+    rng = random.Random(6)
+    texts = [r.text.split() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect() if r.text and len(r.text.split()) > 150]
+    items = [(7000, "two words")]
+    for k in range(1200):
+        w, n = texts[k % len(texts)], rng.randrange(16, 60)
+        at = rng.randrange(len(w) - n)
+        items.append((k, " ".join(w[at : at + n])))
+    rows = []
+    for k, (i, t) in enumerate(items[::4]):
+        around, cut = texts[(k + 5) % len(texts)], rng.randrange(70)
+        rows.append((i, " ".join([*around[:cut], t, *around[cut:100]])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert not {(i, i) for i, _ in rows} - got
+
+
 def test_pipeline(spark, docs, tmp_path):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
