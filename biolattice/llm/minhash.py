@@ -9,6 +9,7 @@ large ones those that an exact prefix filter leaves.  So a large group costs abo
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,20 +22,26 @@ from .components import components
 from .walk import batches
 from .words import mixed, shingles
 
-#: Bands and coordinates of each: two sets of similarity 0.85 share no band with a probability of 0.00001.
-BANDS, ROWS = 24, 6
-#: Links have 100 * intersection >= LINK * union.
+#: Coordinates of a band; probability at most that two sets just similar enough share no band.
+ROWS, MISS = 6, 1.2e-5
+#: Links have 100 * intersection >= threshold * union; the threshold unless another is asked for.
 LINK = 85
 #: Members of a bucket whose pairs are taken as they are; width of the size classes of the prefix filter.
 SMALL, CLASS = 24, 1.08
 _CHUNK = 1 << 16
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """MinHash coordinates (sets x BANDS * ROWS) of non-empty sets."""
+def bands_for(threshold: int) -> int:
+    """Bands that keep the misses at the threshold within MISS: 24 for 85, 38 for 80."""
+    alike = (threshold / 100) ** ROWS
+    return math.ceil(math.log(MISS) / math.log1p(-alike)) if alike < 1 else 1
+
+
+def signatures(sets: list[np.ndarray], bands: int) -> np.ndarray:
+    """MinHash coordinates (sets x bands * ROWS) of non-empty sets."""
     sizes = np.array([len(s) for s in sets])
     ends = np.cumsum(sizes)
-    out = np.empty((len(sets), BANDS * ROWS), np.uint32)
+    out = np.empty((len(sets), bands * ROWS), np.uint32)
     low = 0
     while low < len(sets):  # parts that stay in the cache
         high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + _CHUNK, side="right")))
@@ -42,7 +49,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         starts = ends[low:high] - sizes[low:high] - (ends[low - 1] if low else 0)
         x = np.empty_like(ring)
         shifted = np.empty_like(ring)
-        for k in range(BANDS * ROWS):
+        for k in range(bands * ROWS):
             np.add(ring, np.uint32(k), out=x)
             for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
                 np.right_shift(x, np.uint32(shift), out=shifted)
@@ -55,14 +62,14 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _described(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _described(frames: Iterator[pd.DataFrame], bands: int) -> Iterator[pd.DataFrame]:
     for frame in batches(frames):
         sets = shingles(frame["text"].tolist())
         full = [s for s in sets if len(s)]
-        keys = np.zeros((len(full), BANDS), np.uint64)
+        keys = np.zeros((len(full), bands), np.uint64)
         if full:
-            rows = signatures(full).reshape(len(full), BANDS, ROWS).astype(np.uint64)
-            keys += np.arange(1, BANDS + 1, dtype=np.uint64)
+            rows = signatures(full, bands).reshape(len(full), bands, ROWS).astype(np.uint64)
+            keys += np.arange(1, bands + 1, dtype=np.uint64)
             for k in range(ROWS):
                 keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k])
         of = iter(keys.view(np.int64).tolist())
@@ -76,7 +83,7 @@ def _described(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _verified(frames: Iterator[pd.DataFrame], threshold: int) -> Iterator[pd.DataFrame]:
     last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
     for frame in frames:
         linked = []
@@ -87,23 +94,23 @@ def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sets.setdefault(last[0], last[1])
             for a, b in zip(part["a"], part["b"]):
                 both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                linked.append(100 * both >= LINK * (len(sets[a]) + len(sets[b]) - both))
+                linked.append(100 * both >= threshold * (len(sets[a]) + len(sets[b]) - both))
                 last = (a, sets[a])
         yield frame.loc[linked, ["a", "b"]]
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """Of pairs (a, b) of nodes those that are similar on their full sets; each pair's texts move to it."""
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(_verified, "a binary, b binary")
+    return both.select("a", "b", "text_a", "text_b").mapInPandas(lambda frames: _verified(frames, threshold), "a binary, b binary")
 
 
-def _prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _prefixes(frames: Iterator[pd.DataFrame], threshold: int) -> Iterator[pd.DataFrame]:
     """For each member of a leader's group, the ways by which it can meet a similar member.
 
     The group's shingles are ordered: those that the leader lacks come first.  If two sets are similar, the first shingle that they share stands so early in both that enough
-    may follow: at place i of n, only partners of at most (n - i + 1) * (100 + LINK) / LINK - n shingles are possible.  So members meet in an early shingle that the leader lacks
+    may follow: at place i of n, only partners of at most (n - i + 1) * (100 + threshold) / threshold - n shingles are possible.  So members meet in an early shingle that the leader lacks
     (a row each), or else have most of their shingles in common with the leader; these meet by size class (class set): the larger asks for the classes that it allows.
     """
     for frame in frames:
@@ -115,8 +122,8 @@ def _prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for lead, node, least, mine in zip(part["lead"], part["node"], part["least"], shingles(part["text_node"].tolist())):
                 own = mine[np.isin(mine, known[lead], assume_unique=True, invert=True)]
                 n = len(mine)
-                most = (n - np.arange(len(own) + 1)) * (100 + LINK) // LINK - n
-                low_n = max(int(least), -(-n * LINK // 100))  # the smallest partner there can be
+                most = (n - np.arange(len(own) + 1)) * (100 + threshold) // threshold - n
+                low_n = max(int(least), -(-n * threshold // 100))  # the smallest partner there can be
                 keep = most[:-1] >= low_n
                 if keep.any():
                     out.append(pd.DataFrame({"lead": lead, "node": node, "n": n, "token": own[keep].view(np.int64), "class": -1, "most": most[:-1][keep], "larger": False}))
@@ -138,13 +145,16 @@ def _apart(members: DataFrame, roots: DataFrame, *by: str) -> DataFrame:
     return placed.join(several.select(*by, F.col("most.root").alias("main")), [*by])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = LINK) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
-    Null texts and texts without words have an empty set, n_shingles 0, and are linked with nothing.  A component's id is its smallest doc_id (nulls come last); rows that
+    Documents are linked whose shingles have a Jaccard similarity of at least threshold (1 to 100) per cent.  Null texts and texts without words have an empty set, n_shingles 0, and are linked with nothing.  A component's id is its smallest doc_id (nulls come last); rows that
     repeat a doc_id with other texts are documents of their own.  Shingles are 64-bit hashes, classes 128-bit digests of the whole set.  Other columns aren't read.
     """
-    rows = docs.select(id_text(), "text").mapInPandas(_described, "doc_id string, n_shingles long, node binary, bands array<long>")
+    if not 1 <= threshold <= 100:
+        raise ValueError(f"threshold {threshold} is not between 1 and 100")
+    bands = bands_for(threshold)
+    rows = docs.select(id_text(), "text").mapInPandas(lambda frames: _described(frames, bands), "doc_id string, n_shingles long, node binary, bands array<long>")
     rows = saved(rows.withColumn("doc_id", F.col("doc_id").cast("long")), "minhash-rows")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = nodes.select("node", "n", "doc_id", F.explode("bands").alias("key"))
@@ -154,7 +164,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaders = ranked.groupBy("key").agg(F.max(F.struct("met", "node", "n", "doc_id")).alias("lead"))
     buckets = saved(shared.join(leaders, "key").select("key", "size", "node", "n", "doc_id", F.col("lead.node").alias("lead"), F.col("lead.n").alias("l_n"), F.col("lead.doc_id").alias("l_doc_id")), "minhash-buckets")
     # sets whose sizes differ too much can't be similar enough
-    close = lambda n, m: F.least(n, m) * 100 >= LINK * F.greatest(n, m)
+    close = lambda n, m: F.least(n, m) * 100 >= threshold * F.greatest(n, m)
     stars = buckets.where((F.col("node") != F.col("lead")) & close(F.col("n"), F.col("l_n")))
     ends = lambda df, p, q: df.select(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")).distinct()
     tried = saved(ends(stars, "node", "lead"), "minhash-tried")
@@ -164,7 +174,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a node's text is that of the document that names it; ids may repeat, so the set's digest decides
     found = docs.select(F.col("doc_id").alias("_id"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "text")
     texts = saved(found.mapInPandas(_own, "node binary, text string"), "minhash-texts")
-    links = saved(_links(tried, texts), "minhash-links")
+    links = saved(_links(tried, texts, threshold), "minhash-links")
     roots = components(links)
     # second round, small buckets: all pairs that are still apart
     few = _apart(buckets.where(f"size between 3 and {SMALL}").select("key", "node", "n"), roots, "key")
@@ -176,20 +186,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not many.isEmpty():
         with_lead = many.select("lead", "node", "least").join(texts.select("node", F.col("text").alias("text_node")), "node")
         with_lead = with_lead.join(texts.select(F.col("node").alias("lead"), F.col("text").alias("text_lead")), "lead")
-        meet = with_lead.select("lead", "node", "least", "text_lead", "text_node").mapInPandas(_prefixes, "lead binary, node binary, n long, token long, class int, most long, larger boolean")
+        meet = with_lead.select("lead", "node", "least", "text_lead", "text_node").mapInPandas(lambda frames: _prefixes(frames, threshold), "lead binary, node binary, n long, token long, class int, most long, larger boolean")
         meet = saved(meet.join(many.select("lead", "node", "root", (F.col("root") != F.col("main")).alias("few")), ["lead", "node"]), "minhash-prefixes")
         y = meet.where("not larger").select("lead", "token", "class", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "most", "root", "few")])
         # in each pair one member at least is outside the group's largest component
         sides = (("class < 0 and few", "true"), ("larger and few", "true"), ("larger and not few", "y_few"))
         for x_side, y_side in sides:
             asked = meet.where(x_side).join(y.where(y_side), ["lead", "token", "class"])
-            asked = asked.where("root != y_root and least(n, y_n) * 100 >= greatest(n, y_n) * %d and y_n <= most and n <= y_most and (class < 0 or y_n <= n)" % LINK)
+            asked = asked.where("root != y_root and least(n, y_n) * 100 >= greatest(n, y_n) * %d and y_n <= most and n <= y_most and (class < 0 or y_n <= n)" % threshold)
             pairs = pairs.unionByName(ends(asked, "node", "y_node"))
         pairs = pairs.distinct()
     untried = saved(pairs.join(tried, ["a", "b"], "left_anti"), "minhash-untried")
     if not untried.isEmpty():
         # the links between components, and the components that they join
-        more = _links(untried, texts)
+        more = _links(untried, texts, threshold)
         for end in ("a", "b"):
             more = more.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
         joined = components(more.select(F.col("_a").alias("a"), F.col("_b").alias("b")))

@@ -15,6 +15,8 @@ from biolattice.llm.common import saved, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A language is accepted if its entropy is by this part at least below the next one's, that is, if there is no tie.
 LEAD = 1e-9
+#: Jaccard similarity of shingles, in per cent, from which two documents are near duplicates.
+NEAR = 80
 
 
 def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -38,7 +40,7 @@ def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id."""
-    return _by_id(docs, minhash.near_duplicates(docs).where("kept"), "left_semi")
+    return _by_id(docs, minhash.near_duplicates(docs, NEAR).where("kept"), "left_semi")
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -195,6 +195,42 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(odd(spark, [])).count() == 0
 
 
+def test_near_duplicates_at_other_thresholds(spark):
+    assert minhash.bands_for(85) == 24 and minhash.bands_for(80) == 38
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):  # pairs of 100 shingles with 80 to 90 per cent in common
+        w, lost = [f"{k}x{rng.randrange(10**6)}" for _ in range(104)], 6 + k % 6
+        v = w[: 104 - lost] + [f"{k}y{j}" for j in range(lost)]
+        rows += [(2 * k + 1, " ".join(w)), (2 * k + 2, " ".join(v))]
+    base = [f"b{j}" for j in range(104)]
+    for k in range(60):  # a large group round one centre
+        w = base[:]
+        for j in range(k % 4):
+            w[(17 * k + 31 * j) % 104] = f"c{k}x{j}"
+        rows.append((1000 + k, " ".join(w)))
+    sets = {i: shingle_set(t) for i, t in rows}
+    linked = {p: sum(100 * len(sets[2 * k + 1] & sets[2 * k + 2]) >= p * len(sets[2 * k + 1] | sets[2 * k + 2]) for k in range(60)) for p in (80, 85)}
+    assert 0 < linked[85] < linked[80]
+    for threshold in (80, 85):
+        parent = {i: i for i in sets}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a in sets:
+            for b in sets:
+                if a < b and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+                    x, y = find(a), find(b)
+                    parent[max(x, y)] = min(x, y)
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(odd(spark, rows), threshold).collect()}
+        assert got == {i: find(i) for i in sets}
+    kept = {r.doc_id for r in corpus_pipeline.stage_near_dedup(spark, odd(spark, rows), "").collect()}
+    assert sum(2 * k + 2 not in kept for k in range(60)) == linked[80]
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(k, k + 1) for k in range(100, 160)] + [(500, 500 + k) for k in range(80)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(200)] + [(7, 7)]
