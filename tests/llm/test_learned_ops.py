@@ -138,6 +138,14 @@ def test_tree_is_a_distribution_and_follows_contexts():
         assert abs(tree.score([t, "x"])[0] - total) < 1e-3
 
 
+def test_the_sixth_byte_back_counts(spark):
+    rng = random.Random(9)
+    rows = [(k, "".join(f"{c}12345{c}" for c in rng.choices("ab", k=80))) for k in range(80)]
+    held = [r for r in ctw.language_model(odd(spark, rows)).collect() if r.held_out]
+    # of each seven bytes the first is a coin, the last repeats it
+    assert held and 7 * sum(r.bits_per_byte for r in held) / len(held) < 1.5
+
+
 def shingle_set(t):
     w = (t or "").encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
