@@ -22,19 +22,17 @@ from .walk import active, batches, pieces
 #: Sample of each language: documents, and symbols of each; fewer where there are so many languages that TOTAL would be passed.
 DOCS, SYMBOLS, TOTAL = 48, 512, 1 << 18
 MOST_LANGS = 2048
-#: Symbols: 0 is whatever isn't a letter, 1 a letter not among the sample's most frequent.
+#: Symbols: 0 is whatever isn't a letter, 1 a letter that no sample has; each learnt letter has one of its own. Transitions on symbols from ALPHABET on are sparse.
 ALPHABET, PIECE = 64, 512
 
-_LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
+_LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased texts as symbols, each text's non-letters collapsed to one 0; and where each text ends. table: symbol by code point below 65536."""
+    """Lower-cased texts as symbols, each text's non-letters collapsed to one 0; and where each text ends. table: symbol by code point."""
     low = [t.lower() for t in texts]
     points = np.frombuffer(("\n".join(low) + "\n").encode("utf-32-le", "replace"), np.uint32)
-    out = table[np.minimum(points, 0xFFFF)]
-    for p in np.unique(points[points > 0xFFFF]):
-        out[points == p] = int(chr(int(p)).isalpha())
+    out = table[points]
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != 0) | (out[:-1] != 0)
     ends = np.cumsum([len(t) + 1 for t in low]) - 1
@@ -76,10 +74,12 @@ class Parser:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
-        seen = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha() and ord(c) < 1 << 16)
-        self.table = _LETTER.astype(np.uint8)
-        for k, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 2]):
+        seen = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
+        self.table = _LETTER.astype(np.int32)
+        for k, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))):
             self.table[ord(c)] = k + 2
+        self.letters = len(seen) + 2
+        sparse: list[tuple[int, int]] = []
         share = max(1024, min(DOCS * SYMBOLS, TOTAL // max(1, len(self.langs))))
         tables, self.roots, self.bits, base = [], [], [], 0
         for lang in self.langs:
@@ -90,12 +90,27 @@ class Parser:
             step[:] = [(base + go[0].get(c, 0)) * 2 + 1 for c in range(ALPHABET)]
             for state, to in enumerate(go):
                 for c, t in to.items():
-                    step[state, c] = (base + t) * 2
+                    if c < ALPHABET:
+                        step[state, c] = (base + t) * 2
+                    else:
+                        sparse.append(((base + state) * self.letters + c, base + t))
             tables.append(step)
             self.roots.append(base)
             self.bits.append(math.log2(min(share, len(codes)) + 1))
             base += len(go)
         self.step = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.keys, self.to = np.array(sorted(sparse), np.int64).reshape(-1, 2).T.copy()
+
+    def _sparse(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Steps, as in self.step, of states (languages x texts) on symbols from ALPHABET on."""
+
+        def find(key: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            return np.where(self.keys[at] == key, self.to[at], -1)
+
+        roots = np.array(self.roots, np.int64)[:, None]
+        on, anew = find(state * self.letters + codes), find(roots * self.letters + codes)
+        return np.where(on >= 0, on * 2, np.where(anew >= 0, anew, roots) * 2 + 1)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text: phrases by language, symbols, and whether it has a letter. A text is parsed in pieces of PIECE symbols."""
@@ -107,7 +122,11 @@ class Parser:
         count = np.ones(state.shape, np.int64)  # the last phrase of a piece ends with it
         for t in range(int(size.max(initial=0))):
             n = active(size, t)
-            got = self.step.take(state[:, :n] * ALPHABET + codes[start[:n] + t])
+            code = codes[start[:n] + t]
+            rare = np.flatnonzero(code >= ALPHABET)
+            got = self.step.take(state[:, :n] * ALPHABET + np.minimum(code, ALPHABET - 1))
+            if len(rare):
+                got[:, rare] = self._sparse(state[:, rare], code[rare])
             state[:, :n] = got >> 1
             count[:, :n] += got & 1
         total = np.array([np.bincount(owner, row, len(texts)) for row in count]).reshape(len(self.langs), len(texts))

@@ -79,6 +79,24 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", langid.F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_languages_of_several_scripts():
+    rng = random.Random(7)
+    letters = lambda low, n: [c for c in map(chr, range(low, low + 4 * n)) if c.isalpha() and c == c.lower()][:n]
+    alphabets = {"la": letters(0x61, 26), "ru": letters(0x430, 32), "ar": letters(0x627, 28), "hi": letters(0x904, 40), "th": letters(0xE01, 40), "ko": letters(0xAC00, 200)}
+    alphabets |= {"zh": letters(0x4E00, 300), "ja": letters(0x3041, 80), "m1": letters(0x16A40, 15), "m2": letters(0x12000, 60)}
+
+    def text(lang, vocabulary):
+        return " ".join(rng.choices(vocabulary[lang], k=60))
+
+    words = {lang: ["".join(rng.choices(a, k=rng.randrange(2, 6))) for _ in range(80)] for lang, a in alphabets.items()}
+    # two languages of one large alphabet, told apart by their words
+    words["z2"] = ["".join(rng.choices(alphabets["zh"], k=rng.randrange(2, 6))) for _ in range(80)]
+    parser = langid.Parser({lang: [text(lang, words) for _ in range(20)] for lang in words})
+    truth = [lang for lang in words for _ in range(5)]
+    got, _, lead = parser.predict([text(lang, words) for lang in truth])
+    assert got == truth and (lead > 1e-9).all()
+
+
 def test_quality(spark, docs):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     got = quality.classify(with_odd(spark, docs), labels.unionByName(spark.createDataFrame([(None, 1, 0), (900004, None, 1)], labels.schema))).collect()
