@@ -4,13 +4,32 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write df once to the folder that driver and executors share (spark.checkpoint.dir; a local one only where none is set) and read it back."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, read from the session.
+
+    Where it is unset there is a folder only in local mode, where all tasks share the machine; on a cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "/tmp/checkpoints"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def saved(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{base}/{spark.sparkContext.applicationId}/step-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_saved(spark: SparkSession) -> None:
+    """Delete this application's written tables; DataFrames that read them can't be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
