@@ -1,8 +1,8 @@
 """Mixing sources to target weights, by blocks.
 
 Each source is a stream of words cut into blocks of a fixed length.  A source's target is met by whole passes over its blocks and a last
-part of a pass, cut to the word; each pass visits the blocks by a pseudorandom permutation of its own (swap-or-not network), each visit is a slot, and slots are
-dealt at random over the output shards, so a shard's counts by source are a multinomial draw whose totals are held at the targets.
+part of a pass, cut to the word; each pass visits the blocks by a pseudorandom permutation of its own (swap-or-not network), and each visit is a slot.  One more such permutation
+shuffles all slots, and the result is cut into output shards of a fixed number of slots, so a shard's counts by source are a multinomial draw whose totals are held at the targets.
 Slots and blocks are then joined by (source, block index), a key that no large source makes hot.
 """
 
@@ -64,16 +64,16 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> Dat
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """docs (with size) with _source and _start, the place of its first word in its source's stream.
+    """docs (with size and _tie) with _source and _start, the place of its first word in its source's stream.
 
-    The stream's order is a hash of doc_id; prefix sums go over runs and then over each source's RUNS totals, so a source with a
+    The stream's order is a hash of doc_id, then doc_id, size and _tie, a hash of all that the mix shows of a document; prefix sums go over runs and then over each source's RUNS totals, so a source with a
     third of all rows is no one's task.
     """
     sized = docs.withColumn("_source", _key(F.col("source"))).withColumn("_run", F.pmod(F.xxhash64("doc_id"), F.lit(RUNS)))
     runs = sized.groupBy("_source", "_run").agg(F.sum("size").alias("_words"))
     earlier = W.partitionBy("_source").orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
     ahead = runs.select("_source", "_run", F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_ahead"))
-    within = W.partitionBy("_source", "_run").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("_source", "_run").orderBy("doc_id", "size", "_tie").rowsBetween(W.unboundedPreceding, -1)
     return (
         sized.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
         .join(ahead, ["_source", "_run"])
@@ -82,32 +82,52 @@ def placed(docs: DataFrame) -> DataFrame:
     )
 
 
-def slots(goals: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """One row per visit of a block: _source, _block, slot, shard and _take, the words taken from the block's start."""
+def visits(goals: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row per source that the mix takes from: adds _source, _want (its words), _blocks, _last (words of its last block) and _slots, the visits that meet the target.
+
+    Whole passes take every block; of the last pass as many visits as its rest needs, counted with the short block where its permutation puts it.
+    """
     goals = (
         goals.withColumn("_source", _key(F.col("source")))
         .where("source_size > 0 and target > 0")
         .withColumn("_want", F.round("target").cast("long"))
+        .where("_want > 0")
         .withColumn("_blocks", F.ceil(F.col("source_size") / block).cast("long"))
         .withColumn("_last", F.col("source_size") - (F.col("_blocks") - 1) * block)
-        .withColumn("_slots", F.ceil(F.col("_want") / F.col("source_size")).cast("long") * F.col("_blocks"))
-        .withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.sum("_want").over(W.partitionBy(F.lit(1))) / (block * shard_blocks))).cast("long"))
+        .withColumn("_turn", F.floor((F.col("_want") - 1) / F.col("source_size")).cast("long"))
+        .withColumn("_rest", F.col("_want") - F.col("_turn") * F.col("source_size"))
+        .withColumn("_short_at", permuted(F.col("_blocks") - 1, F.col("_blocks"), F.col("_source"), F.col("_turn"), backward=True))
     )
+    full = F.ceil(F.col("_rest") / block)
+    visited = F.when(F.col("_short_at") >= full, full).otherwise(F.ceil((F.col("_rest") + block - F.col("_last")) / block))
+    return goals.withColumn("_slots", (F.col("_turn") * F.col("_blocks") + visited).cast("long")).drop("_turn", "_rest", "_short_at")
+
+
+def slots(goals: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """One row per visit of a block: _source, _block, slot, shard and _take, the words taken from the block's start.
+
+    All sources' slots together are put in a random order, which is cut into shards of shard_blocks slots each (the last one may be shorter).  So each shard
+    draws its counts by source from what the targets hold: a multinomial draw without replacement, whose sums over the shards are exact.
+    """
+    counted = saved(visits(goals, block), "mix-visits")
+    every = counted.agg(F.coalesce(F.sum("_slots"), F.lit(0))).first()[0]
+    earlier = W.partitionBy(F.lit(1)).orderBy("_source").rowsBetween(W.unboundedPreceding, -1)  # a row per source
     each = (
-        goals.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slots") - 1, F.lit(_SPLIT).cast("long"))).alias("_from"))
-        .repartition("_source", "_from")
+        counted.withColumn("_offset", F.coalesce(F.sum("_slots").over(earlier), F.lit(0)))
+        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slots") - 1, F.lit(_SPLIT).cast("long"))).alias("_from"))
+        # a number that is given isn't coalesced: the few rows become many only after this
+        .repartition(max(int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + every // (64 * _SPLIT)), "_source", "_from")
         .select("*", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + _SPLIT, F.col("_slots")) - 1)).alias("slot"))
         .withColumn("_turn", F.floor(F.col("slot") / F.col("_blocks")))
         .withColumn("_at", F.pmod("slot", "_blocks"))
         .withColumn("_block", permuted(F.col("_at"), F.col("_blocks"), F.col("_source"), F.col("_turn")))
         .withColumn("_short_at", permuted(F.col("_blocks") - 1, F.col("_blocks"), F.col("_source"), F.col("_turn"), backward=True))
+        .withColumn("_place", permuted(F.col("_offset") + F.col("slot"), F.lit(every).cast("long"), F.lit("shards"), F.lit(-1).cast("long")))
     )
     length = F.when(F.col("_block") == F.col("_blocks") - 1, F.col("_last")).otherwise(F.lit(block))
     ahead = F.col("_turn") * F.col("source_size") + F.col("_at") * block - F.when(F.col("_at") > F.col("_short_at"), block - F.col("_last")).otherwise(F.lit(0))
-    return (
-        each.withColumn("_take", F.least(length.cast("long"), F.col("_want") - ahead))
-        .where("_take > 0")
-        .select("_source", "_block", "slot", F.pmod(F.xxhash64(F.lit(SEED + 2), "_source", "slot"), "_shards").alias("shard"), "_take")
+    return each.withColumn("_take", F.least(length.cast("long"), F.col("_want") - ahead)).select(
+        "_source", "_block", "slot", F.floor(F.col("_place") / shard_blocks).cast("long").alias("shard"), "_take"
     )
 
 
@@ -115,16 +135,13 @@ def _goals(rows: DataFrame, weights: tuple) -> DataFrame:
     return targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
 
 
-def _taken(rows: DataFrame, goals: DataFrame, block: int, shard_blocks: int, *carry) -> DataFrame:
+def _tie(*extra: str) -> Column:
+    """Orders rows that agree in id, source and size; rows that agree here too give the same mix in either order."""
+    return F.xxhash64("text", *extra).alias("_tie")
+
+
+def _taken(parts: DataFrame, goals: DataFrame, block: int, shard_blocks: int) -> DataFrame:
     """Parts of placed rows by block, joined with the slots that visit the block."""
-    parts = (
-        rows.where("size > 0")
-        .withColumn("_block", F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block))))
-        .withColumn("_low", F.greatest(F.col("_start"), F.col("_block") * block))
-        .withColumn("_high", F.least(F.col("_start") + F.col("size"), (F.col("_block") + 1) * block))
-        .withColumn("first_word", F.col("_low") - F.col("_start"))
-        .select("_source", "_start", "_block", "_low", "_high", "doc_id", "source", "first_word", *carry)
-    )
     # the optimiser sees few sources, not how many slots they explode into, and would broadcast them
     return (
         parts.join(slots(goals, block, shard_blocks).hint("merge"), ["_source", "_block"])
@@ -133,18 +150,37 @@ def _taken(rows: DataFrame, goals: DataFrame, block: int, shard_blocks: int, *ca
     )
 
 
+def _parts(block: int, words: Column | None = None) -> Column:
+    """The blocks that a placed row lies in, with where it does and, if asked for, the words there."""
+
+    def part(b: Column) -> Column:
+        low, high = F.greatest(F.col("_start"), b * block), F.least(F.col("_start") + F.col("size"), (b + 1) * block)
+        some = [] if words is None else [F.slice(words, (low - F.col("_start") + 1).cast("int"), (high - low).cast("int")).alias("_words")]
+        return F.struct(b.alias("_block"), low.alias("_low"), high.alias("_high"), *some)
+
+    return F.inline(F.transform(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block)), part))
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """The mix itself, a row per part of a document in a slot: shard, slot, doc_id, source, lang, first_word, n_words, text (the words, single spaces).
 
     Null texts and texts without words have no parts; null sources are one source, the last.  Repeated rows count as often as they
     come.  An empty table gives an empty mix.  Runs over the same rows agree.  Long documents are cut into their parts before they move.
     """
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    rows = placed(docs.select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"), word_count(F.col("text")).alias("size")))
-    goals = _goals(saved(docs.select("source", word_count(F.col("text")).alias("size")), "mix-sizes"), weights)
-    part = F.slice(words, (F.col("first_word") + 1).cast("int"), (F.col("_high") - F.col("_low")).cast("int"))
-    return _taken(rows, goals, block, shard_blocks, "lang", part.alias("_words")).select(
-        "shard", "slot", "doc_id", "source", "lang", "first_word", "n_words", F.array_join(F.slice("_words", F.lit(1), F.col("n_words").cast("int")), " ").alias("text")
+    sizes = saved(docs.select("source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    rows = placed(docs.select("doc_id", "source", "lang", "text", word_count(F.col("text")).alias("size"), _tie("lang"))).where("size > 0")
+    # a row of its own for the words, so that a text is split once and not again for each of its blocks
+    rows = rows.select("doc_id", "source", "lang", "size", "_source", "_start", F.explode(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("_all"))
+    parts = rows.select("doc_id", "source", "lang", "_source", "_start", _parts(block, F.col("_all")))
+    return _taken(parts, _goals(sizes, weights), block, shard_blocks).select(
+        "shard",
+        "slot",
+        "doc_id",
+        "source",
+        "lang",
+        (F.col("_low") - F.col("_start")).alias("first_word"),
+        "n_words",
+        F.array_join(F.slice("_words", F.lit(1), F.col("n_words").cast("int")), " ").alias("text"),
     )
 
 
@@ -154,9 +190,10 @@ def mix_report(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK) ->
     Cases as in mix(); a row without words takes 0.  Rows are told apart by their place in the stream, so repeated ids keep their own
     counts.  Only sizes move, no texts.
     """
-    sizes = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _tie()), "mix-sizes")
     rows, goals = placed(sizes), _goals(sizes, weights)
-    sums = _taken(rows, goals, block, SHARD_BLOCKS).groupBy("_source", "_start").agg(F.sum("n_words").alias("_taken"))
+    parts = rows.where("size > 0").select("_source", "_start", _parts(block))
+    sums = _taken(parts, goals, block, SHARD_BLOCKS).groupBy("_source", "_start").agg(F.sum("n_words").alias("_taken"))
     counted = rows.where("size > 0").join(sums, ["_source", "_start"], "left").select("doc_id", "size", "_source", F.coalesce("_taken", F.lit(0)).alias("taken"))
     wordless = sizes.where("size = 0").select("doc_id", "size", _key(F.col("source")).alias("_source"), F.lit(0).cast("long").alias("taken"))
     return (

@@ -74,6 +74,34 @@ def test_mixing(spark):
     assert sum(r.n_words for r in mixed) == sum(totals.values()) and all(len(r.text.split()) == r.n_words for r in mixed)
 
 
+def test_shards_draw_their_counts(spark):
+    rows = [(i, "w " * 160, "abc"[i % 3]) for i in range(600)]  # 96,000 words, 32,000 a source
+    goals = mixing.targets(spark.createDataFrame([("a", 32000), ("b", 32000), ("c", 32000)], "source string, source_size long"))
+    wanted = {r.source: r.target for r in goals.collect()}
+    got = mixing.slots(goals, 16, 50).collect()
+    sizes, counts = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for r in got:
+        sizes[r.shard] += 1
+        counts[r._source[1:]][r.shard] += 1
+    assert sorted(sizes.values()) == [50] * (len(got) // 50) + ([len(got) % 50] if len(got) % 50 else []) or set(sizes.values()) <= {50, len(got) % 50}
+    assert len({(r._source, r.slot) for r in got}) == len(got) and all(r._take > 0 for r in got)
+    for s, by in counts.items():
+        assert sum(r._take for r in got if r._source[1:] == s) == round(wanted[s])
+        p, n = sum(by.values()) / len(got), len(sizes)
+        spread = sum((by[k] - 50 * p) ** 2 for k in sizes) / n
+        assert 0.5 * 50 * p * (1 - p) < spread < 1.6 * 50 * p * (1 - p)  # as of a multinomial draw, neither dealt evenly nor clustered
+    mixed = mixing.mix(docs(spark, rows), block=16, shard_blocks=50)
+    first = sorted(map(tuple, mixed.collect()))
+    assert first == sorted(map(tuple, mixing.mix(docs(spark, rows).repartition(7), block=16, shard_blocks=50).collect()))
+
+
+def test_mix_of_tied_rows_and_long_texts(spark):
+    rows = [(1, f"{c} {c} {c}", "s") for c in "abcdefgh"] + [(2, " ".join(map(str, range(60_000))), "s")]
+    runs = {tuple(sorted((r.slot, r.first_word, r.text) for r in mixing.mix(docs(spark, rows).repartition(n), block=64).collect())) for n in (1, 3, 8)}
+    assert len(runs) == 1
+    assert sorted(w for _, _, t in runs.pop() for w in t.split()) == sorted(w for _, t, _ in rows for w in t.split())
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         df = spark.range(n).selectExpr("id", f"{n}L n", "'s' s", "3L t")
