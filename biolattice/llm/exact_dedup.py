@@ -1,13 +1,13 @@
 """Exact deduplication by content-defined chunk recipes.
 
-A text without white space is cut where its content says so; a chunk's hash becomes its identifier
-once a shuffle of the distinct chunks has shown that no two chunks share it.  A document is then the ordered list
-of its identifiers, and only these short lists are grouped and joined, never the long texts.
+A text without white space is cut where its content says so, and a chunk's hash is its identifier.  One shuffle of the distinct chunks verifies them: chunks that share
+an identifier are told apart by numbers.  A document is then the ordered list of its identifiers, and only these short lists are grouped and joined, never the long texts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -34,58 +34,50 @@ def chunks(norm: Column, smallest: int = MIN_CHUNK, largest: int = MAX_CHUNK) ->
     return F.regexp_extract_all(norm, F.lit(rf"(?s).{{{smallest},{largest}}}?(?:{_boundary()}|\z)|.{{1,{largest}}}"), F.lit(0))
 
 
-def recipes(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
-    """doc_id, n_points, text_sha256 and recipe (ordered verified chunk identifiers) for each row.
+def recipes(docs: DataFrame, hash_bits: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A written row for each row: doc_id, the columns in keep, n_points, text_sha256, recipe (ordered chunk identifiers) and ranks (see below).
 
-    hash_bits under 64 makes identifiers collide, for tests of the exact way that follows a collision.
+    Texts are cut once, and written once as chunks.  The distinct chunks tell which identifiers stand for several chunks.  Only those are numbered, and only documents that have one
+    get ranks: the numbers of their shared identifiers, in order.  So two texts are equal if and only if both recipe and ranks are; a collision costs no more than the rows of its chunks.
+    hash_bits under 64 makes identifiers collide, for tests.
     """
     code = (lambda c: F.xxhash64(c)) if hash_bits == 64 else (lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - hash_bits))
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).select(
-        "doc_id", F.length("_text").cast("long").alias("n_points"), normalized(F.col("_text")).alias("_norm")
-    )
-    distinct = base.select(F.explode(chunks(F.col("_norm"))).alias("_chunk")).select(code(F.col("_chunk")).alias("_h"), "_chunk").distinct()
-    shared = distinct.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h")
+    base = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("_text"))
+    # rows of their own for the normalised text and for its chunks, so that each is made once
+    base = base.select("doc_id", *keep, F.length("_text").cast("long").alias("n_points"), F.explode(F.array(normalized(F.col("_text")))).alias("_norm"))
+    cut = base.select("doc_id", *keep, "n_points", F.sha2("_norm", 256).alias("text_sha256"), F.explode(F.array(chunks(F.col("_norm")))).alias("_chunks"))
+    cut = saved(cut.withColumns({"recipe": F.transform("_chunks", code), "_id": F.monotonically_increasing_id()}), "exact-dedup-chunks")
+    distinct = cut.select(F.explode("_chunks").alias("_chunk")).select(code(F.col("_chunk")).alias("_h"), "_chunk").distinct()
+    shared = saved(distinct.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h"), "exact-dedup-shared")
+    none = F.array().cast("array<int>")
     if shared.isEmpty():
-        return base.select("doc_id", "n_points", F.sha2("_norm", 256).alias("text_sha256"), F.transform(chunks(F.col("_norm")), code).alias("recipe"))
-    # A hash stands for several chunks: number those by their bytes, and let identifiers be (hash, number).
-    from pyspark.sql import Window as W
-
-    numbered = saved(
-        distinct.join(shared, "_h").withColumn("_rank", F.row_number().over(W.partitionBy("_h").orderBy("_chunk"))), "exact-dedup-collisions"
-    )
-    texts = base.select("_norm").distinct()
-    exploded = texts.select("_norm", F.posexplode(chunks(F.col("_norm"))).alias("_pos", "_chunk")).withColumn("_h", code(F.col("_chunk")))
-    listed = (
-        exploded.join(numbered, ["_h", "_chunk"], "left")
-        .groupBy("_norm")
-        .agg(F.array_sort(F.collect_list(F.struct("_pos", "_h", F.coalesce("_rank", F.lit(0)).alias("_rank")))).alias("_ids"))
-    )
-    return base.join(listed, "_norm", "left").select(
-        "doc_id",
-        "n_points",
-        F.sha2("_norm", 256).alias("text_sha256"),
-        F.flatten(F.transform(F.coalesce("_ids", F.array()), lambda x: F.array(x["_h"], x["_rank"].cast("long")))).alias("recipe"),
-    )
+        return cut.select("doc_id", *keep, "n_points", "text_sha256", "recipe", none.alias("ranks"))
+    numbered = distinct.join(shared, "_h").withColumn("_rank", F.row_number().over(W.partitionBy("_h").orderBy("_chunk")))
+    hit = cut.select("_id", F.posexplode("_chunks").alias("_pos", "_chunk")).withColumn("_h", code(F.col("_chunk"))).join(shared, "_h", "left_semi")
+    ranks = hit.join(saved(numbered, "exact-dedup-numbers"), ["_h", "_chunk"]).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_pos", "_rank"))).alias("_ranks"))
+    return cut.join(ranks, "_id", "left").select("doc_id", *keep, "n_points", "text_sha256", "recipe", F.coalesce("_ranks._rank", none).alias("ranks"))
 
 
-def exact_dedup(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, hash_bits: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, the columns in keep, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty; all empty texts are one group.  Of equal texts the one with most code points, then the smallest
     doc_id stays; a null doc_id comes after all others.  Rows that repeat both doc_id and text are one document: each is
-    marked as its document is.  Columns other than doc_id and text are not read, so their names can't clash.
+    marked as its document is.  Columns that aren't named are not read, so their names can't clash.
     """
-    listed = recipes(docs, hash_bits)
+    listed = recipes(docs, hash_bits, keep)
+    key = ["recipe", "ranks"]
     best = F.max(F.struct("n_points", F.col("doc_id").isNotNull().alias("known"), F.bitwise_not("doc_id").alias("down")))
-    groups = listed.groupBy("recipe").agg(F.count("*").alias("group_size"), best.alias("_best"))
+    groups = listed.groupBy(*key).agg(F.count("*").alias("group_size"), best.alias("_best"))
     # fewer than HOT groups can hold more than a HOT-th of the rows each: these are broadcast, and their rows, dealt out by doc_id, don't meet in one task
-    hot = groups.where(F.col("group_size") * HOT > groups.agg(F.sum("group_size")).scalar()).select("recipe", F.struct("group_size", "_best").alias("_hot"))
-    marked = listed.join(F.broadcast(hot), "recipe", "left")
+    hot = groups.where(F.col("group_size") * HOT > groups.agg(F.sum("group_size")).scalar()).select(*key, F.struct("group_size", "_best").alias("_hot"))
+    marked = listed.join(F.broadcast(hot), key, "left")
     marked = marked.withColumn("_key", F.when(F.col("_hot").isNotNull(), F.array(F.xxhash64("doc_id"), F.lit(None))).otherwise(F.col("recipe"))).drop("recipe")
-    found = marked.join(groups.withColumnRenamed("recipe", "_key"), "_key", "left")
+    found = marked.join(groups.withColumnRenamed("recipe", "_key"), ["_key", "ranks"], "left")
     found = found.withColumns({"group_size": F.coalesce("_hot.group_size", "group_size"), "_best": F.coalesce("_hot._best", "_best")})
     return found.select(
         "doc_id",
+        *keep,
         F.bitwise_not("_best.down").alias("keep_id"),
         "group_size",
         (F.col("doc_id").eqNullSafe(F.bitwise_not("_best.down")) & (F.col("n_points") == F.col("_best.n_points"))).alias("kept"),

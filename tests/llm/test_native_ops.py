@@ -36,6 +36,15 @@ def test_exact_dedup(spark, bits):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_collisions_cost_no_more_than_their_chunks(spark):
+    # almost all identifiers of four bits collide; long texts that differ in one chunk stay apart
+    parts = [f"{k} quick brown fox jumps over the lazy dog number {k} and runs on " * 4 for k in range(60)]
+    texts = ["".join(parts[:n] + [parts[m]] + parts[n:]) for n in (3, 40) for m in (1, 2, 3)] * 2
+    made = exact_dedup.recipes(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), 4).collect()
+    assert all(len(r.ranks) <= len(r.recipe) for r in made) and any(r.ranks for r in made)
+    assert len({(tuple(r.recipe), tuple(r.ranks)) for r in made}) == len(set(texts))
+
+
 def test_chunks_join_to_the_text(spark):
     got = docs(spark, sample(spark)).select(exact_dedup.normalized("text").alias("t")).select("t", exact_dedup.chunks("t").alias("c")).collect()
     assert all("".join(r.c) == r.t and all(r.c) for r in got)
