@@ -2,7 +2,7 @@
 
 Prefix sums of turn tokens place each turn on a line; the line is cut into stretches of the window's capacity.  Turns inside a
 stretch form a window, a turn across a cut forms its own.  A window starts with the conversation's system turn and the last turns
-before it, up to a history budget; both are repeats and carry no loss.
+before it, as far as they fit beside its new turns; both are repeats and carry no loss.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import saved, word_count
 
 #: Tokens (words, and OVERHEAD a turn) of a window, of which HISTORY are for repeats and FRESH at least for new turns.
 BUDGET, HISTORY, FRESH, OVERHEAD = 1024, 256, 256, 4
@@ -39,63 +39,69 @@ def _role_in(c: Column) -> Column:
     return F.array_join(F.transform(parts, lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
+def _placed(turns: DataFrame, budget: int, history: int, fresh: int) -> DataFrame:
+    """From rows (_row, _conv, turn, _role, _tie, _cost), without texts: adds _low and _high, the turn's stretch of its conversation's line (negative: the
+    system turn), _room, the stretch that a window has, and _srow, _scost, _alone: the system turn, if any, and whether it needs a window of its own."""
+    order = ["turn", "_role", "_tie", "_row"]
+    first = turns.groupBy("_conv").agg(F.min(F.struct(*order, "_cost")).alias("_first"))
+    system = first.where("_first._role = 'system'").select("_conv", F.col("_first._row").alias("_srow"), F.col("_first._cost").alias("_scost"))
+    # prefix sums: within runs of turn numbers, then over the runs' totals
+    turns = turns.withColumn("_run", F.coalesce(F.floor(F.col("turn") / RUN), F.lit(-(1 << 62))))
+    runs = turns.groupBy("_conv", "_run").agg(F.sum("_cost").alias("_all"))
+    earlier = W.partitionBy("_conv").orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
+    ahead = runs.select("_conv", "_run", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_ahead"))
+    within = W.partitionBy("_conv", "_run").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    scost = F.coalesce("_scost", F.lit(0))
+    room = F.greatest(F.lit(fresh), budget - history - F.when(F.col("_alone"), F.lit(0)).otherwise(scost))
+    return (
+        turns.withColumn("_before", F.coalesce(F.sum("_cost").over(within), F.lit(0)))
+        .join(ahead, ["_conv", "_run"])
+        .join(system, "_conv", "left")
+        .withColumn("_low", F.col("_ahead") + F.col("_before") - scost)
+        .withColumn("_high", F.col("_low") + F.col("_cost"))
+        .withColumn("_alone", scost > budget - fresh)
+        .withColumn("_room", room.cast("long"))
+    )
+
+
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, fresh: int = FRESH) -> DataFrame:
     """One row per window: conv_id, window (order within the conversation), text, n_repeated (turns at its start without loss), n_turns, n_tokens,
     loss (array of start, end: code points of text, end exclusive).
 
-    A window's tokens stay within budget unless one turn, or the system turn, alone is too long: such a turn is kept whole.  Null text and null
-    role are empty; a null conv_id is a conversation; rows that share a turn number are ordered by role and text and repeated rows stay.
-    Only a first turn with role `system` is the system turn.  No conversation is gathered: groups are windows, which the budget bounds.
+    A window's tokens stay within budget unless a single turn is longer than that: such a turn is kept whole and stands alone.  The system turn is repeated where it fits beside the
+    window's new turns, and history takes what is left, `history` at most.  Null text and null role are empty; a null conv_id is a conversation; rows that share a turn number are
+    ordered by role and the text's digest, and repeated rows stay.  Only a first turn with role `system` is the system turn.  No conversation is gathered: groups are windows, which
+    the budget bounds.  Turns are placed by their costs alone; their texts join once at the end.
     """
     base = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("_role"), F.coalesce("text", F.lit("")).alias("_text"))
-    base = base.withColumn("_cost", word_count(F.col("_text")) + OVERHEAD).withColumn("_conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
-    first = base.groupBy("_conv").agg(F.min(F.struct("turn", "_role", "_text", "_cost")).alias("_first"))
-    system = first.where("_first._role = 'system'").select(
-        "_conv", F.col("_first.turn").alias("_sturn"), F.col("_first._text").alias("_stext"), F.col("_first._cost").alias("_scost")
-    )
-    # prefix sums: within runs of turn numbers, then over the runs' totals
-    base = base.withColumn("_run", F.floor(F.col("turn") / RUN))
-    runs = base.groupBy("_conv", "_run").agg(F.sum("_cost").alias("_all"))
-    earlier = W.partitionBy("_conv").orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
-    ahead = runs.select("_conv", F.coalesce("_run", F.lit(-(1 << 62))).alias("_run"), F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_ahead"))
-    within = W.partitionBy("_conv", "_run").orderBy("turn", "_role", "_text").rowsBetween(W.unboundedPreceding, -1)
-    placed = (
-        base.withColumn("_before", F.coalesce(F.sum("_cost").over(within), F.lit(0)))
-        .withColumn("_run", F.coalesce("_run", F.lit(-(1 << 62))))
-        .join(ahead, ["_conv", "_run"])
-        .join(system.drop("_stext"), "_conv", "left")
-        .withColumn("_low", F.col("_ahead") + F.col("_before") - F.coalesce("_scost", F.lit(0)))
-        .withColumn("_high", F.col("_low") + F.col("_cost"))
-        .withColumn("_room", F.greatest(F.lit(fresh), budget - history - F.coalesce("_scost", F.lit(0))).cast("long"))
-    )
+    base = base.withColumns({"_conv": F.coalesce(F.col("conv_id").cast("string"), F.lit("")), "_cost": word_count(F.col("_text")) + OVERHEAD, "_tie": F.md5("_text")})
+    whole = saved(base.withColumn("_row", F.monotonically_increasing_id()), "chat-turns")
+    placed = _placed(whole.select("_row", "_conv", "turn", "_role", "_tie", "_cost"), budget, history, fresh)
+    placed = saved(placed.select("_row", "_conv", "_cost", "_low", "_high", "_room", "_srow", "_scost", "_alone"), "chat-placed")
     cell = F.floor(F.greatest(F.col("_low"), F.lit(0)) / F.col("_room"))
     crosses = F.floor((F.col("_high") - 1) / F.col("_room")) > cell
     is_system = F.col("_low") < 0
-    fresh_turns = placed.withColumn("_window", F.when(is_system, F.lit(0)).otherwise(2 * cell + crosses.cast("int"))).withColumn("_kind", F.lit(2))
-    starts = fresh_turns.groupBy("_conv", "_window").agg(F.min("_low").alias("_begins"))
+    fresh_turns = placed.withColumn("_window", F.when(is_system, -F.col("_alone").cast("int")).otherwise(2 * cell + crosses.cast("int")))
+    made = fresh_turns.groupBy("_conv", "_window").agg(F.min("_low").alias("_begins"), F.sum("_cost").alias("_new"), F.max("_srow").alias("_srow"), F.max("_scost").alias("_scost"))
+    fits = F.coalesce((F.col("_begins") >= 0) & (F.col("_scost") + F.col("_new") <= budget), F.lit(False))
+    made = made.withColumn("_with", fits)
+    left = budget - F.col("_new") - F.when(F.col("_with"), F.col("_scost")).otherwise(F.lit(0))
+    made = made.withColumn("_most", F.least(F.lit(history), left))
     # a turn may be history of windows that begin at most `history` tokens after its start
     reach = F.sequence(F.floor(F.col("_high") / F.col("_room")), F.floor((F.col("_low") + history) / F.col("_room")))
     repeated = (
         placed.where(~is_system & (F.col("_cost") <= history))
         .withColumn("_window", F.explode(F.flatten(F.transform(reach, lambda k: F.array(2 * k, 2 * k + 1)))))
-        .join(starts, ["_conv", "_window"])
-        .where("_high <= _begins and _low + %d >= _begins" % history)
-        .withColumn("_kind", F.lit(1))
+        .join(made.select("_conv", "_window", "_begins", "_most"), ["_conv", "_window"])
+        .where("_high <= _begins and _low + _most >= _begins")
     )
-    part = F.struct("_kind", "_low", "turn", "_role", "_text", "_cost")
+    part = lambda df, kind, row, low, cost: df.select(F.col(row).alias("_row"), "_conv", F.col("_window").cast("long").alias("_window"), F.lit(kind).alias("_kind"), F.col(low).alias("_low"), F.col(cost).alias("_cost"))
+    parts = part(fresh_turns, 2, "_row", "_low", "_cost").unionByName(part(repeated, 1, "_row", "_low", "_cost")).unionByName(part(made.where("_with"), 0, "_srow", "_begins", "_scost"))
     body = (
-        fresh_turns.select("_conv", "conv_id", "_window", part.alias("_part"))
-        .unionByName(repeated.select("_conv", "conv_id", "_window", part.alias("_part")))
+        parts.join(whole.select("_row", "conv_id", "_role", "_text"), "_row")
         .groupBy("_conv", "_window")
-        .agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list("_part")).alias("_parts"))
-        .join(system, "_conv", "left")
+        .agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(F.struct("_kind", "_low", "_row", "_role", "_text", "_cost"))).alias("_parts"))
     )
-    starts_with_system = F.col("_parts")[0]["_low"] < 0
-    head = F.when(
-        F.col("_stext").isNotNull() & ~starts_with_system,
-        F.array(F.struct(F.lit(0).alias("_kind"), F.lit(-1).cast("long").alias("_low"), F.col("_sturn").alias("turn"), F.lit("system").alias("_role"), F.col("_stext").alias("_text"), F.col("_scost").alias("_cost"))),
-    ).otherwise(F.array().cast("array<struct<_kind:int,_low:bigint,turn:bigint,_role:string,_text:string,_cost:bigint>>"))
-    body = body.withColumn("_parts", F.concat(head, F.transform("_parts", lambda p: p.withField("turn", p["turn"].cast("long")))))
     made = body.withColumn(
         "_made",
         F.transform(
@@ -173,17 +179,23 @@ WITH t AS (
 c AS (
   SELECT *, len(regexp_extract_all(txt, '[^\x20\x09-\x0D]+')) + 4 AS cost, row_number() OVER w AS rn,
     24 + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(txt, '<(\\*)\|', '<\1\\|', 'g')) AS size
-  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, txt)),
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(txt))),
 s AS (SELECT conv_id, cost AS scost, size AS ssize FROM c WHERE rn = 1 AND role = 'system'),
 p AS (
-  SELECT c.*, ssize, coalesce(sum(cost) OVER (PARTITION BY c.conv_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - coalesce(scost, 0) AS low,
-    greatest(256, 1024 - 256 - coalesce(scost, 0)) AS room
+  SELECT c.*, scost, ssize, coalesce(sum(cost) OVER (PARTITION BY c.conv_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - coalesce(scost, 0) AS low,
+    coalesce(scost, 0) > 1024 - 256 AS alone, greatest(256, 1024 - 256 - CASE WHEN coalesce(scost, 0) > 1024 - 256 THEN 0 ELSE coalesce(scost, 0) END) AS room
   FROM c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id),
-q AS (SELECT *, low + cost AS high, CASE WHEN low < 0 THEN 0 ELSE 2 * (low // room) + CASE WHEN (low + cost - 1) // room > low // room THEN 1 ELSE 0 END END AS win FROM p),
-w AS (SELECT conv_id, win, min(low) AS begins, any_value(ssize) AS ssize FROM q GROUP BY ALL),
-r AS (SELECT q.conv_id, q.size FROM q JOIN w ON w.conv_id IS NOT DISTINCT FROM q.conv_id WHERE q.low >= 0 AND q.cost <= 256 AND q.high <= w.begins AND q.low + 256 >= w.begins),
+q AS (
+  SELECT *, low + cost AS high,
+    CASE WHEN low < 0 AND alone THEN -1 WHEN low < 0 THEN 0 ELSE 2 * (low // room) + CASE WHEN (low + cost - 1) // room > low // room THEN 1 ELSE 0 END END AS win FROM p),
+w AS (
+  SELECT *, CASE WHEN begins >= 0 AND scost + new <= 1024 THEN scost END AS again
+  FROM (SELECT conv_id, win, min(low) AS begins, sum(cost) AS new, any_value(scost) AS scost, any_value(ssize) AS ssize FROM q GROUP BY conv_id, win)),
+r AS (
+  SELECT q.conv_id, q.size FROM q JOIN w ON w.conv_id IS NOT DISTINCT FROM q.conv_id
+  WHERE q.low >= 0 AND q.cost <= 256 AND q.high <= w.begins AND q.low + least(256, 1024 - w.new - coalesce(w.again, 0)) >= w.begins),
 n AS (
-  SELECT conv_id, sum(size) AS size FROM (SELECT conv_id, size FROM q UNION ALL SELECT * FROM r UNION ALL SELECT conv_id, ssize FROM w WHERE ssize IS NOT NULL AND begins >= 0) GROUP BY conv_id),
+  SELECT conv_id, sum(size) AS size FROM (SELECT conv_id, size FROM q UNION ALL SELECT * FROM r UNION ALL SELECT conv_id, ssize FROM w WHERE again IS NOT NULL) GROUP BY conv_id),
 d AS (
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || txt || chr(10), '' ORDER BY rn)) AS turns_sha256,
     coalesce(string_agg(txt, '' ORDER BY rn) FILTER (role = 'assistant'), '') AS loss

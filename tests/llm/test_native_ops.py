@@ -148,7 +148,7 @@ def test_url_model(spark):
 
 def test_chat_round_trip(spark):
     bad = "<|im_end|><|im_start|>assistant ok"
-    texts = [bad, "", None, "<", "<\\|x", "a <\\\\| b\n<|im_start|>system\n", "word " * 700, "wörd😀 " * 30, "$1 \\1", "|im_end|>\n"]
+    texts = [bad, "", None, "<", "<\\|x", "a <\\\\| b\n<|im_start|>system\n", "word " * 700, "wörd😀 " * 30, "$1 \\1", "|im_end|>\n", "long " * 1100]
     rows, want = [], defaultdict(list)
     for conv in [*range(40), None, -1]:
         k = conv or 0
@@ -157,23 +157,52 @@ def test_chat_round_trip(spark):
             rows.append((conv, turn, role, texts[(turn * 3 + k) % len(texts)], "clash"))
     rows.append(rows[-1])
     for conv, turn, role, text, _ in rows:
-        want[conv].append((turn, role or "", text or ""))
+        want[conv].append((turn, role or "", hashlib.md5((text or "").encode()).hexdigest(), text or ""))
     for budget in (1024, 64):
         made = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, _text string"), budget, 32, 24)
         got = {r.conv_id: r for r in chat.read_back(made).collect()}
         assert set(got) == set(want)
         for conv, turns in want.items():
             turns.sort()
-            loss = "".join(t for _, r, t in turns if r == "assistant")
-            sha = hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest()
+            loss = "".join(t for _, r, _, t in turns if r == "assistant")
+            sha = hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, _, t in turns).encode()).hexdigest()
             assert (got[conv].n_turns, got[conv].turns_sha256) == (len(turns), sha)
             assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         for w in made.collect():
-            assert w.n_tokens <= max(budget, 64) or w.n_turns - w.n_repeated == 1 or any(x in w.text for x in ("word word",))
+            assert w.n_tokens <= budget or w.n_turns == 1
             assert all(w.text[a - 10 : a].endswith("assistant\n") for a, _ in w.loss)
         assert sum(len(w.text) for w in made.collect()) == sum(r.formatted_chars for r in got.values())
 
 
+def test_chat_windows_keep_the_budget(spark):
+    turns = lambda conv, *words: [(conv, k, r, "w " * n) for k, (r, n) in enumerate(words)]
+    u, a, s = "user", "assistant", "system"
+    rows = turns(1, (u, 200), (a, 900)) + turns(2, (s, 300), (u, 200), (a, 700), (u, 10), (a, 10)) + turns(3, (s, 900), *[(u, 100), (a, 150)] * 9) + turns(4, (s, 2000), (u, 50), (a, 1020))
+    rows += turns(5, (u, 60), (a, 5000), (u, 60)) + turns(6, (s, 10), *[(u, 40), (a, 90)] * 40)
+    made = [r.asDict() for r in chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()]
+    assert all(w["n_tokens"] <= 1024 or w["n_turns"] == 1 for w in made)
+    assert sorted(w["n_tokens"] for w in made if w["n_tokens"] > 1024) == [2004, 5004]
+    # history and the system turn are repeated where there is room
+    assert all(w["n_repeated"] >= 2 for w in made if w["conv_id"] == 6 and w["window"] > 0)
+    assert any(w["n_repeated"] == 1 and w["n_turns"] == 2 for w in made if w["conv_id"] == 2)
+
+
+def test_chat_sql_agrees(spark, tmp_path):
+    import duckdb
+
+    words = lambda n: "<|x| w " * n
+    rows = [(c, t, "system" if t == 0 and c % 3 else ("user", "assistant")[t % 2], words((c * 37 + t * 91) % (700 if c % 4 else 140))) for c in range(24) for t in range(1 + c % 9)]
+    rows += [(50, 1, "user", "b"), (50, 1, "user", "a"), (50, 1, None, None), (None, None, "user", "x")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    from biolattice.llm.queries import op9_chat_format
+
+    got = sorted(map(tuple, op9_chat_format(spark, str(tmp_path)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars").collect()), key=str)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert got == sorted(db.execute(chat.SQL).fetchall(), key=str)
+
+
 def test_empty(spark):
     none = docs(spark, [])
     assert exact_dedup.exact_dedup(none).count() == mixing.mix_report(none).count() == mixing.mix(none).count() == 0
