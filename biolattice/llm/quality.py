@@ -88,18 +88,23 @@ class Model:
         return np.hstack([np.sqrt(2 / FEATURES) * np.cos(z @ self.w + self.b), np.ones((len(z), 1))])
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
-        return self.features(stats) @ self.coef
+        """Rounded, so that equal texts tie whatever batch they come in."""
+        return np.round(self.features(stats) @ self.coef, 9)
 
     def score(self, stats: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.raw(stats), self.x, self.y), 0, 1)
 
 
 def pooled(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Isotonic regression by pooling adjacent violators: mean raw score and mean label of each pool, at most KNOTS bins to begin with."""
-    order = np.argsort(raw, kind="stable")
+    """Isotonic regression by pooling adjacent violators: mean raw score and mean label of each pool, at most KNOTS bins to begin with.
+
+    Rows of equal raw score are one block from the start, so their order can't matter.
+    """
+    value, at = np.unique(raw, return_inverse=True)
+    hits, rows = np.bincount(at, label, len(value)), np.bincount(at, minlength=len(value))
     blocks: list[list[float]] = []
-    for part in np.array_split(order, min(KNOTS, len(order))):
-        blocks.append([float(label[part].sum()), float(raw[part].sum()), len(part)])
+    for part in np.array_split(np.arange(len(value)), min(KNOTS, len(value))):
+        blocks.append([float(hits[part].sum()), float((value[part] * rows[part]).sum()), int(rows[part].sum())])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][2] >= blocks[-1][0] * blocks[-2][2]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
