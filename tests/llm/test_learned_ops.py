@@ -109,6 +109,44 @@ def test_quality(spark, docs):
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+def test_isotonic_pools_ties():
+    for raw, label in (((1, 1, 1, 1), (0, 0, 1, 1)), ((1, 1, 1, 1), (1, 1, 0, 0)), ((1, 2, 2, 3), (0, 1, 0, 1)), ((1, 2, 2, 3), (0, 0, 1, 1))):
+        x, y = quality.pooled(np.array(raw, float), np.array(label, float))
+        assert (x.tolist(), y.tolist()) == (([1.0], [0.5]) if raw[1] == 1 else ([1.0, 2.0, 3.0], [0.0, 0.5, 1.0]))
+    rng = random.Random(1)
+    for _ in range(50):  # against the minimax formula
+        raw = np.array([rng.randrange(12) for _ in range(40)], float)
+        label = np.array([float(rng.random() < r / 12) for r in raw])
+        x, y = quality.pooled(raw, label)
+        values = sorted(set(raw))
+        mean = lambda a, b: label[(raw >= a) & (raw <= b)].mean()
+        want = {v: max(min(mean(a, b) for b in values if b >= v) for a in values if a <= v) for v in values}
+        # each pool has the mean label of its values
+        assert np.allclose(sorted(set(np.round(list(want.values()), 9))), sorted(set(np.round(y, 9))))
+
+
+def test_quality_against_plain_ridge(spark, docs):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    described = quality._described(with_odd(spark, docs))
+    model = quality.fitted(described, labels.repartition(3))
+    h = {r.doc_id: r.h for r in docs.select("doc_id", quality.F.pmod(quality.F.xxhash64("doc_id", quality.F.lit(quality.SEED)), quality.F.lit(1_000_000)).alias("h")).collect()}
+    marks = {r.doc_id: float(r.quality) for r in labels.collect() if r.quality is not None}
+    rows = [(r.doc_id, r.text or "") for r in docs.collect() if crc(r.doc_id, 3) != 1 and r.doc_id in marks]
+    stats = np.vstack([quality.statistics([t]) for _, t in rows])
+    y = np.array([marks[i] for i, _ in rows])
+    assert np.allclose(model.mean, stats.mean(0)) and np.allclose(model.spread, np.where(stats.std(0) > 1e-9, stats.std(0), 1))
+    fit = np.array([h[i] % 5 != 0 for i, _ in rows])
+    z = np.hstack([np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((stats - model.mean) / model.spread, -8, 8) @ model.w + model.b), np.ones((len(stats), 1))])
+    penalty = quality.RIDGE * np.diag([1.0] * quality.FEATURES + [1e-6])
+    coef = np.linalg.solve(z[fit].T @ z[fit] + penalty, z[fit].T @ y[fit])
+    assert np.allclose(coef, model.coef, atol=1e-6)
+    x, v = quality.pooled(np.round(z[~fit] @ coef, 6), y[~fit])
+    got = {r.doc_id: r.score for r in quality.classify(with_odd(spark, docs), labels).collect()}
+    for (i, _), row in zip(rows, z):
+        assert abs(got[i] - np.clip(np.interp(row @ coef, x, v), 0, 1)) < 1e-3
+    assert quality.classify(odd(spark, []), labels).count() == 0
+
+
 def test_isotonic():
     x, y = quality.pooled(np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 1]))
     assert (np.diff(y) > 0).all() and (np.diff(x) > 0).all() and y[0] == 0 and y[-1] == 1
@@ -291,6 +329,68 @@ def test_common_subsequence():
         assert decontam.common_length(a, decontam.masks_of(b), len(b)) == table[-1][-1]
 
 
+def test_singular_vectors(spark, docs):
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    space = decontam._fitted(docs, decontam.Space(items))
+    terms = {int(h): k for k, h in enumerate(space.terms.hashes)}
+    rows = []
+    for text, weight in [(t, decontam.EMPHASIS) for _, t in items] + [(r.text or "", 1.0) for r in docs.collect()]:
+        h, ends = words.word_hashes([text])
+        starts, _ = decontam._passages(h, ends)
+        for low, high in zip(starts, [*starts[1:], len(h)]):
+            row = np.zeros(len(terms))
+            for x in h[low:high]:
+                if int(x) in terms:
+                    row[terms[int(x)]] += space.weight[terms[int(x)]] * weight
+            rows.append(row)
+    exact = np.linalg.svd(np.array(rows), full_matrices=False)
+    k = len(space.singular)
+    assert k == min(decontam.RANK, len(terms)) and (np.diff(space.singular) <= 0).all()
+    # the leading values and the subspace of the largest half are those of a full decomposition
+    assert np.allclose(space.singular[: k // 2], exact[1][: k // 2], rtol=0.02)
+    basis = space.latent[:-1] / space.weight[:, None]
+    assert np.allclose(basis.T @ basis, np.eye(k), atol=1e-3)
+    kept = np.linalg.norm(basis.T @ exact[2][: k // 4].T, axis=0)
+    assert (kept > 0.98).all()
+
+
+def test_decontamination_against_brute_force(spark, docs):
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    items = {r.item_id: r.text for r in bench.collect()}
+    rng = random.Random(14)
+    kinds = ("copy", "changed", "added", "dropped")
+    rows, rate = [], 0.12
+    for k, (i, t) in enumerate(items.items()):
+        w = t.split()
+        if kinds[k % 4] == "changed":
+            w = [x if rng.random() > rate else "changed" for x in w]
+        elif kinds[k % 4] == "added":
+            w = [y for x in w for y in ([x, "added"] if rng.random() < rate else [x])]
+        elif kinds[k % 4] == "dropped":
+            w = [x for x in w if rng.random() > rate]
+        around = rng.choice([r.text for r in docs.limit(30).collect()]).split()[:60]
+        rows.append((30_000 + k, " ".join([*around, *w, *around])))
+    rows += [(r.doc_id, r.text) for r in docs.collect()]
+    codes: dict[bytes, int] = {}
+    ids = lambda t: [codes.setdefault(x, len(codes)) for x in (t or "").encode().lower().split()]
+    want = set()
+    for i, t in items.items():
+        seq = ids(t)
+        tail = seq[-max(3, round(len(seq) * decontam.ANSWER)) :]
+        for d, text in rows:
+            doc, reach = ids(text), len(seq) + len(seq) // 2
+            for start in range(0, max(1, len(doc)), decontam.BLOCK):  # every region that a window can have
+                region = doc[max(0, start - reach) : start + 2 * decontam.BLOCK + reach]
+                got = decontam.common_length(region, decontam.masks_of(seq), len(seq))
+                if got >= decontam.ALONE * len(seq) or (got >= decontam.WITH_ANSWER * len(seq) and decontam.common_length(region, decontam.masks_of(tail), len(tail)) >= decontam.ANSWER_SHARE * len(tail)):
+                    want.add((d, i))
+                    break
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got <= want and {(30_000 + k, i) for k, i in enumerate(items)} <= want
+    assert len(want - got) <= 0.02 * len(want), sorted(want - got)
+
+
 def test_decontamination(spark, docs):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     items = {r.item_id: r.text for r in bench.collect()}
