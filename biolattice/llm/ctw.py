@@ -1,14 +1,18 @@
 """Language-model scores by context-tree weighting over binary-decomposed bytes.
 
-All bytes of the training texts are counted with their last DEPTH bytes.  Of the contexts of all depths the most frequent ones form the tree, at most
-CONTEXTS of them; what a context sees outside its kept children is one more child, `rest`.  Each of a byte's eight binary decisions has its own weighting over that
-tree: every node mixes its own Krichevsky-Trofimov estimate with its children's product, half and half.  Texts are then
-scored with the frozen tree: a table of byte probabilities by context and of the context that follows, both of a fixed size.
+All bytes of the training texts are counted with their last DEPTH bytes.  Every context of every depth that was seen is a node, so the tree grows with the corpus; each of a byte's
+eight binary decisions has its own weighting over the nodes that met it: a node mixes its own Krichevsky-Trofimov estimate with its children's product, half and half.  A decision that
+a context never met is left to the longest shorter context that did.
+
+The tree is never in one place.  Grams (a context and a byte) are dealt out by the context's last TOP + 1 bytes, so each part holds whole subtrees; what the parts pass up to depth
+TOP, a table that the alphabet bounds, gives the weights that they are sent down again.  The outcome is a written table: the log probability of each gram that any text has.  Texts are
+scored from its commonest rows, which are broadcast, and by a join with all others.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, remainder, saved
-from .walk import active, batches, pieces
+from .walk import batches
 
-#: Bytes of context; contexts kept (67 MB to broadcast at most, whatever the input); tokens whose counts are broadcast, the rest are joined.
-DEPTH, CONTEXTS, COMMON = 6, 32_768, 1 << 17
-#: Distinct tokens, and byte strings, that a worker counts before it passes them on; bytes that are walked in one piece.
-WORDS, GRAMS, PIECE = 500_000, 3_000_000, 512
-END = 0xFF  # never in UTF-8
+#: Bytes of context; depth up to which the tree is one table (255 decisions of 65,536 contexts at most; far fewer occur in UTF-8).
+DEPTH, TOP = 6, 2
+#: Grams whose log probabilities are broadcast (24 MB), and tokens whose counts are; the rest are joined.
+HOT, COMMON = 1 << 21, 1 << 17
+#: Grams in a part of the tree on average; distinct tokens, grams and bytes that a worker holds before it passes counts on or merges them.
+PART, WORDS, GRAMS, HELD = 250_000, 500_000, 6_000_000, 8_000_000
 
 _GRAMS, _TOKENS = 0, 1
 
@@ -34,48 +39,88 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode("utf-8", "replace").lower().split(), b""]
 
 
-def framed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts as bytes, each after DEPTH zero bytes and before END; where each starts and ends (END included)."""
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code of each byte of each text and of its end (0xFF, never in UTF-8) with DEPTH bytes before it, zeros before a text; and how many each text has.
+
+    The byte is the code's lowest one, then come the bytes before it, the nearest first.
+    """
     raw = [t.encode("utf-8", "replace") for t in texts]
-    data = np.frombuffer(b"".join(b"\0" * DEPTH + r + b"\xff" for r in raw), np.uint8)
-    ends = np.cumsum([len(r) + DEPTH + 1 for r in raw])
-    return data, ends - [len(r) + 1 for r in raw], ends
+    sizes = np.array([len(r) + 1 for r in raw], np.int64)
+    data = b"".join([b"\0" * 7, *(b"\0" * DEPTH + r + b"\xff" for r in raw)])
+    windows = np.ndarray(len(data) - 7, ">u8", data, strides=(1,))  # the eight bytes that end at each place
+    inside = np.ones(len(windows), bool)
+    starts = np.cumsum(sizes + DEPTH) - sizes - DEPTH
+    for k in range(DEPTH):
+        inside[starts + k] = False
+    return (windows[inside] & np.uint64((1 << 8 * (DEPTH + 1)) - 1)).astype(np.int64), sizes
+
+
+class _Counts:
+    """Counts of grams in a worker."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.raw: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, codes: np.ndarray, known: bool) -> None:
+        """Codes of training texts (known) count one each, others none: they are only asked for."""
+        if known:
+            self.raw.append(codes)
+            self.held += len(codes)
+            if self.held > HELD:
+                self._count()
+        elif len(codes):
+            asked = np.unique(codes)
+            self.parts.append((asked, np.zeros(len(asked), np.int64)))
+
+    def _count(self) -> None:
+        if self.raw:
+            self.parts.append(np.unique(np.concatenate(self.raw), return_counts=True))
+        self.raw, self.held = [], 0
+
+    def full(self) -> bool:
+        return sum(len(c) for c, _ in self.parts) > GRAMS
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        self._count()
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        codes, at = np.unique(np.concatenate([c for c, _ in self.parts]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n for _, n in self.parts]), len(codes)).astype(np.int64)
+        self.parts = []
+        return codes, n
 
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial counts: (kind, code, token, n), code being DEPTH bytes of context and the byte."""
+    """Partial counts: (kind, code, token, n)."""
     words: Counter[bytes] = Counter()
-    grams = none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    counts = _Counts()
 
-    def out(some_words: Counter, some_grams: tuple) -> Iterator[pd.DataFrame]:
-        tokens = list(some_words)
+    def some_words(words: Counter) -> Iterator[pd.DataFrame]:
+        tokens = list(words)
         for low in range(0, len(tokens), 100_000):
             part = tokens[low : low + 100_000]
-            yield pd.DataFrame({"kind": _TOKENS, "code": 0, "token": part, "n": [some_words[t] for t in part]})
-        for low in range(0, len(some_grams[0]), 100_000):
-            yield pd.DataFrame({"kind": _GRAMS, "code": some_grams[0][low : low + 100_000], "token": b"", "n": some_grams[1][low : low + 100_000]})
+            yield pd.DataFrame({"kind": _TOKENS, "code": 0, "token": part, "n": [words[t] for t in part]})
+
+    def some_grams(codes: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
+        for low in range(0, len(codes), 100_000):
+            yield pd.DataFrame({"kind": _GRAMS, "code": codes[low : low + 100_000], "token": b"", "n": n[low : low + 100_000]})
 
     for frame in batches(frames):
-        texts = frame["text"].tolist()
-        for t in texts:
-            words.update(tokens(t))
-        data, starts, ends = framed(texts)
-        code = data.astype(np.int64)
-        for k in range(1, DEPTH + 1):
-            code[DEPTH:] |= data[DEPTH - k : len(data) - k].astype(np.int64) << (8 * k)
-        inside = np.zeros(len(data) + 1, np.int8)
-        np.add.at(inside, starts, 1)
-        np.add.at(inside, ends, -1)
-        got, n = np.unique(code[np.cumsum(inside[:-1]) > 0], return_counts=True)
-        both, at = np.unique(np.concatenate([grams[0], got]), return_inverse=True)
-        grams = (both, np.bincount(at, np.concatenate([grams[1], n]), len(both)).astype(np.int64))
+        for held_out, part in frame.groupby("held_out"):
+            texts = part["text"].tolist()
+            if not held_out:
+                for t in texts:
+                    words.update(tokens(t))
+            counts.add(grams(texts)[0], not held_out)
         if len(words) > WORDS:
-            yield from out(words, none)
+            yield from some_words(words)
             words = Counter()
-        if len(both) > GRAMS:
-            yield from out(Counter(), grams)
-            grams = none
-    yield from out(words, grams)
+        if counts.full():
+            yield from some_grams(*counts.taken())
+    yield from some_words(words)
+    yield from some_grams(*counts.taken())
 
 
 def _threshold(n: str, df: DataFrame, most: int) -> int:
@@ -99,115 +144,163 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From counts by byte, zeros and ones of the 255 binary decisions, those on the first bit first."""
-    zeros, ones = np.empty((len(counts), 255)), np.empty((len(counts), 255))
-    for level in range(8):
-        both = counts.reshape(len(counts), 1 << level, 2, 128 >> level).sum(-1)
-        zeros[:, (1 << level) - 1 : (2 << level) - 1], ones[:, (1 << level) - 1 : (2 << level) - 1] = both[:, :, 0], both[:, :, 1]
-    return zeros, ones
-
-
-def _kt(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of all that a node has seen, and its estimate for a one; by decision."""
-    zeros, ones = _decisions(counts)
-    block = _log_gamma(ones + 0.5) + _log_gamma(zeros + 0.5) - _log_gamma(zeros + ones + 1) - math.log(math.pi)
-    return block, (ones + 0.5) / (zeros + ones + 1)
-
-
-class Tree:
-    """log10 probabilities by context and byte, and the context that follows."""
-
-    def __init__(self, depth: np.ndarray, context: np.ndarray, code: np.ndarray, n: np.ndarray):
-        """From rows of (context depth, context bytes, byte, count), the empty context among them."""
-        keys, at = np.unique(np.stack([depth, context], 1), axis=0, return_inverse=True)
-        if not len(keys):
-            keys = np.zeros((1, 2), np.int64)
-        place = {(int(d), int(c)): k for k, (d, c) in enumerate(keys)}
-        counts = np.zeros((len(keys), 256), np.float32)
-        np.add.at(counts, (at.ravel(), code), n)
-        parent = np.array([place[(d - 1, c & ((1 << 8 * (d - 1)) - 1))] if d else 0 for d, c in keys.tolist()])
-        has = np.zeros(len(keys), bool)
-        has[parent[1:]] = True
-        rest = counts.copy()  # what no kept child has seen
-        for k in range(1, len(keys)):
-            rest[parent[k]] -= counts[k]
-        # float32 but for the block probabilities, which are large; in parts, for the driver's memory
-        below = np.zeros((len(keys), 255))
-        own, stop, last = (np.ones((len(keys), 255), np.float32) for _ in range(3))
-        for d in range(DEPTH, -1, -1):
-            level = np.flatnonzero(keys[:, 0] == d)
-            for part in np.array_split(level, len(level) // 2048 + 1):
-                weighted, own[part] = _kt(counts[part])
-                last[part] = own[part]
-                inner = part[has[part]]
-                if len(inner):
-                    block, estimate = _kt(rest[inner])
-                    alone = weighted[has[part]] - math.log(2)
-                    mixed = np.logaddexp(alone, below[inner] + block - math.log(2))
-                    weighted[has[part]] = mixed
-                    stop[inner] = np.exp(alone - mixed)
-                    # a decision that `rest` never met is left to the node itself
-                    met = np.stack(_decisions(rest[inner])).sum(0) > 0
-                    last[inner] = np.where(met, stop[inner] * own[inner] + (1 - stop[inner]) * estimate, own[inner])
-                if d:
-                    np.add.at(below, parent[part], weighted)
-        del below, rest
-        # what the shorter contexts add to a row, and the share they leave to it
-        add, share = np.zeros_like(own), np.ones_like(own)
-        for d in range(1, DEPTH + 1):
-            level = np.flatnonzero(keys[:, 0] == d)
-            p = parent[level]
-            add[level] = add[p] + share[p] * stop[p] * own[p]
-            share[level] = share[p] * (1 - stop[p])
-        one = np.clip(add + share * last, 1e-7, 1 - 1e-7)
-        del add, share, last, own, stop
-        logs = np.zeros((len(keys), 1), np.float32)
-        for level in range(8):
-            q = one[:, (1 << level) - 1 : (2 << level) - 1]
-            logs = np.stack([logs + np.log10(1 - q), logs + np.log10(q)], 2).reshape(len(keys), 2 << level)
-        self.log = logs.astype(np.float32).ravel()
-        follow = np.zeros((len(keys), 256), np.int32)
-        for d in range(DEPTH + 1):
-            level = np.flatnonzero(keys[:, 0] == d)
-            if d:
-                follow[level] = follow[parent[level]]
-            for k in level.tolist() if d < DEPTH else ():
-                for b in np.flatnonzero(counts[k]).tolist():
-                    follow[k, b] = place.get((d + 1, (int(keys[k, 1]) << 8) | b), follow[k, b])
-            if d < DEPTH:  # a context may be kept though its bytes were never seen together as context and byte: zeros before a text
-                zero = place.get((d + 1, 0))
-                if zero is not None and (d, 0) in place:
-                    follow[place[(d, 0)], 0] = zero
-        self.next = follow.ravel()
-
-    def score(self, texts: list[str]) -> np.ndarray:
-        """log10 probability of each text and its end. Pieces are read DEPTH bytes ahead, which makes their first context exact."""
-        data, starts, ends = framed(texts)
-        owner, start, size = pieces(starts, ends, PIECE)
-        state = np.zeros(len(owner), np.int64)
-        total = np.zeros(len(owner))
-        for t in range(-DEPTH, 0):
-            state = self.next.take(state * 256 + data[start + t]).astype(np.int64)
-        for t in range(int(size.max(initial=0))):
-            n = active(size, t)
-            at = state[:n] * 256 + data[start[:n] + t]
-            total[:n] += self.log.take(at)
-            state[:n] = self.next.take(at)
-        return np.bincount(owner, total, len(texts))
-
-
-def trained(counts: DataFrame) -> Tree:
-    """The tree from the saved counts; at most CONTEXTS * 256 rows reach the driver."""
-    grams = counts.where(f"kind = {_GRAMS}").select("code", "n")
-    each = grams.select(F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("depth"), "code", "n")
-    mask = F.expr("CASE WHEN depth >= 7 THEN -1L ELSE shiftleft(1L, 8 * (depth + 1)) - 1 END")
-    each = saved(each.groupBy("depth", F.col("code").bitwiseAND(mask).alias("code")).agg(F.sum("n").alias("n")), "ctw-grams")
-    contexts = each.groupBy("depth", F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("total"))
-    least = _threshold("total", contexts, CONTEXTS)
-    kept = contexts.where((F.col("total") >= least) | (F.col("depth") == 0)).select("depth", "context")
-    rows = each.select("depth", F.shiftright("code", 8).alias("context"), F.col("code").bitwiseAND(F.lit(255)).alias("byte"), "n").join(kept, ["depth", "context"]).toPandas()
-    return Tree(*(rows[c].to_numpy(np.int64) for c in ("depth", "context", "byte", "n")))
+def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log probability that the Krichevsky-Trofimov estimate gives to all that a node has seen."""
+    return _log_gamma(ones + 0.5) + _log_gamma(zeros + 0.5) - _log_gamma(zeros + ones + 1) - math.log(math.pi)
+
+
+def _decisions(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each gram the keys of its eight decisions (context and the byte's bits before, after a leading one), and the bits themselves."""
+    b, byte = np.arange(8), (codes & 255)[:, None]
+    return (codes >> 8)[:, None] << 8 | (1 << b) | (byte >> (8 - b)), (byte >> (7 - b)) & 1
+
+
+def _shorter(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Keys of the same decisions after the last `depth` bytes alone."""
+    return (keys >> 8 & ((1 << 8 * depth) - 1)) << 8 | keys & 255
+
+
+class Nodes:
+    """The decisions met in a set of contexts of one depth: counts, weights, and the place of each one's parent in the next shorter depth."""
+
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None):
+        self.keys, self.zeros, self.ones = keys, zeros, ones
+        alone = _kt(zeros, ones)
+        self.weighted = alone if below is None else np.logaddexp(alone, below) - math.log(2)
+        self.own = (ones + 0.5) / (zeros + ones + 1)
+        self.stop = np.ones(len(keys)) if below is None else np.exp(alone - math.log(2) - self.weighted)
+
+    def parents(self, depth: int) -> Nodes:
+        keys, self.up = np.unique(_shorter(self.keys, depth), return_inverse=True)
+        return Nodes(keys, *(np.bincount(self.up, x, len(keys)) for x in (self.zeros, self.ones, self.weighted)))
+
+    def settle(self, add: np.ndarray, share: np.ndarray, final: np.ndarray) -> None:
+        """From what the shorter contexts give to a one and the share that they leave, and from their word where this context never met the decision: the same for longer ones."""
+        self.final = np.where(self.zeros + self.ones > 0, add + share * self.own, final)
+        self.add, self.share = add + share * self.stop * self.own, share * (1 - self.stop)
+
+    def following(self, up: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.add[up], self.share[up], self.final[up]
+
+
+def subtree(codes: np.ndarray, n: np.ndarray) -> tuple[list[Nodes], np.ndarray, np.ndarray]:
+    """The nodes above these grams, of depths DEPTH to TOP + 1; where each gram's decisions are in the first of them; their bits."""
+    keys, bits = _decisions(codes)
+    first, at = np.unique(keys.ravel(), return_inverse=True)
+    times = np.repeat(n.astype(float), 8)
+    levels = [Nodes(first, np.bincount(at, times * (1 - bits.ravel()), len(first)), np.bincount(at, times * bits.ravel(), len(first)), None)]
+    for depth in range(DEPTH - 1, TOP, -1):
+        levels.append(levels[-1].parents(depth))
+    return levels, at, bits
+
+
+def passed_up(frame: pd.DataFrame) -> pd.DataFrame:
+    """From grams (code, n): key, zeros, ones and the weight of the longer contexts, by decision at depth TOP."""
+    last = subtree(frame["code"].to_numpy(), frame["n"].to_numpy())[0][-1]
+    keys, up = np.unique(_shorter(last.keys, TOP), return_inverse=True)
+    return pd.DataFrame({"key": keys, **{c: np.bincount(up, x, len(keys)) for c, x in (("zeros", last.zeros), ("ones", last.ones), ("below", last.weighted))}})
+
+
+class Top:
+    """The tree's depths 0 to TOP, from the sums of what the subtrees pass up."""
+
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray):
+        order = np.argsort(keys)
+        self.levels = [Nodes(keys[order], zeros[order], ones[order], below[order])]
+        for depth in range(TOP - 1, -1, -1):
+            self.levels.append(self.levels[-1].parents(depth))
+        root = self.levels[-1]
+        root.settle(np.zeros(len(root.keys)), np.ones(len(root.keys)), np.full(len(root.keys), 0.5))
+        for longer, shorter in zip(self.levels[-2::-1], self.levels[::-1]):
+            longer.settle(*shorter.following(longer.up))
+        for nodes in self.levels:  # what is sent on is little
+            del nodes.zeros, nodes.ones, nodes.weighted, nodes.own, nodes.stop
+
+    def following(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As Nodes.following, for keys of depth TOP + 1; a decision never met at depth TOP has its word from a shorter context, or else one half."""
+        add, share, final = np.zeros(len(keys)), np.ones(len(keys)), np.full(len(keys), 0.5)
+        for depth, nodes in zip(range(TOP + 1), self.levels[::-1]):
+            if len(nodes.keys):
+                want = _shorter(keys, depth)
+                at = np.minimum(np.searchsorted(nodes.keys, want), len(nodes.keys) - 1)
+                hit = nodes.keys[at] == want
+                add, share, final = (np.where(hit, new, old) for new, old in zip(nodes.following(at), (add, share, final)))
+        return add, share, final
+
+
+def passed_down(frame: pd.DataFrame, top: Top) -> pd.DataFrame:
+    """From grams (code, n): code, n and log10 of the byte's probability after its context."""
+    codes = frame["code"].to_numpy()
+    levels, at, bits = subtree(codes, frame["n"].to_numpy())
+    levels[-1].settle(*top.following(levels[-1].keys))
+    for longer, shorter in zip(levels[-2::-1], levels[::-1]):
+        longer.settle(*shorter.following(longer.up))
+    one = np.clip(levels[0].final, 1e-12, 1 - 1e-12)[at].reshape(-1, 8)
+    return pd.DataFrame({"code": codes, "n": frame["n"].to_numpy(), "log": np.log10(np.where(bits == 1, one, 1 - one)).sum(1).astype(np.float32)})
+
+
+def modelled(counts: DataFrame) -> DataFrame:
+    """From saved grams (code, n), n being 0 for those that only texts to score have: code, n, log (float), written."""
+    spark = counts.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + counts.count() // PART)
+    suffix = F.col("code").bitwiseAND(F.lit((1 << 8 * (TOP + 2)) - 256))  # the context's last TOP + 1 bytes
+    dealt = counts.withColumn("part", F.pmod(F.xxhash64(suffix), F.lit(parts)).cast("int"))
+    up = dealt.groupBy("part").applyInPandas(passed_up, "key long, zeros double, ones double, below double")
+    sums = up.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toPandas()
+    shared = spark.sparkContext.broadcast(Top(*(sums[c].to_numpy() for c in ("key", "zeros", "ones", "below"))))
+    return saved(dealt.groupBy("part").applyInPandas(lambda frame: passed_down(frame, shared.value), "code long, n long, log float"), "ctw-model")
+
+
+class Table:
+    """log10 probabilities of the commonest grams, found by hashing into a direct table."""
+
+    def __init__(self, codes: np.ndarray, logs: np.ndarray):
+        self.codes, self.logs = np.append(codes, -1), np.append(logs, 0).astype(np.float32)
+        self.bits = max(10, (4 * len(codes)).bit_length())
+        self.slots = np.full(1 << self.bits, len(codes), np.int32)
+        self.steps, left = 0, np.arange(len(codes), dtype=np.int32)
+        while len(left):
+            slot = self._slot(codes[left], self.steps)
+            free = self.slots[slot] == len(codes)
+            self.slots[slot[free]] = left[free]
+            left = left[self.slots[slot] != left]
+            self.steps += 1
+
+    def _slot(self, codes: np.ndarray, step: int) -> np.ndarray:
+        h = codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((h >> np.uint64(64 - self.bits)).astype(np.int64) + step * (1 + 2 * (h >> np.uint64(8) & np.uint64(1023)).astype(np.int64))) & ((1 << self.bits) - 1)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Places of the codes, the last place for those that aren't there."""
+        none = len(self.codes) - 1
+        out = self.slots[self._slot(codes, 0)]
+        left = np.flatnonzero((self.codes[out] != codes) & (out != none))
+        for step in range(1, self.steps):
+            at = self.slots[self._slot(codes[left], step)]
+            out[left] = at
+            left = left[(self.codes[at] != codes[left]) & (at != none)]
+        out[left] = none
+        return out
+
+    def score(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """For each text the sum over its common grams, and its other grams with how often they come."""
+        codes, sizes = grams(texts)
+        at = self.find(codes)
+        ends = np.cumsum(sizes)
+        total = np.add.reduceat(self.logs[at].astype(float), ends - sizes) if len(texts) else np.zeros(0)
+        other = np.flatnonzero(at == len(self.codes) - 1)
+        cuts = np.searchsorted(other, ends[:-1])
+        rare = [np.unique(codes[x], return_counts=True) for x in np.split(other, cuts)]
+        return total, [c for c, _ in rare], [n for _, n in rare]
+
+
+_TABLES: dict[str, Table] = {}
+
+
+def _rest(scored: DataFrame, names: str, times: str, key: str, table: DataFrame, *sums) -> DataFrame:
+    """By _row, sums over the listed keys joined with the table; column times is how often each comes."""
+    listed = scored.where(F.size(names) > 0).select("_row", F.inline(F.arrays_zip(F.col(names).alias(key), F.col(times).alias("times")))).toDF("_row", key, "times")
+    return listed.join(table, key, "left").groupBy("_row").agg(*sums)
 
 
 def language_model(docs: DataFrame) -> DataFrame:
@@ -218,16 +311,24 @@ def language_model(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(id_text(), (remainder(F.col("doc_id"), 5) == 1).alias("held_out"), "text")
-    partial = rows.where(~F.col("held_out")).select("text").mapInPandas(_counted, "kind int, code long, token binary, n long")
+    partial = rows.select("held_out", "text").mapInPandas(_counted, "kind int, code long, token binary, n long")
     counts = saved(partial.groupBy("kind", "code", "token").agg(F.sum("n").alias("n")), "lm-counts")
     vocabulary = counts.where(f"kind = {_TOKENS}").select("token", "n")
     kinds, total = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     least = _threshold("n", vocabulary, COMMON)
     common = {bytes(r["token"]): math.log10(r["n"] + 0.5) for r in vocabulary.where(F.col("n") >= least).toLocalIterator()}
-    shared = spark.sparkContext.broadcast((common, trained(counts)))
+    model = modelled(counts.where(f"kind = {_GRAMS}").select("code", "n"))
+    least_gram = _threshold("n", model.where("n > 0"), HOT)
+    hot = model.where(F.col("n") >= least_gram).select("code", "log").toPandas()
+    name = uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast((common, hot["code"].to_numpy(), hot["log"].to_numpy()))
+    del common, hot
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        logs, tree = shared.value
+        logs, codes, of_codes = shared.value
+        if name not in _TABLES:
+            _TABLES.clear()
+            _TABLES[name] = Table(codes, of_codes)
         for frame in batches(frames):
             texts = frame["text"].tolist()
             out = []
@@ -238,27 +339,26 @@ def language_model(docs: DataFrame) -> DataFrame:
             made = pd.DataFrame(out, columns=["n_tokens", "n_common", "base", "rare", "times"])
             made.insert(0, "doc_id", frame["doc_id"].to_numpy())
             made.insert(1, "held_out", frame["held_out"].to_numpy())
-            made["score"] = tree.score(texts)
+            made["score"], made["grams"], made["gram_times"] = _TABLES[name].score(texts)
             made["n_bytes"] = [len(t.encode("utf-8", "replace")) for t in texts]
             yield made
 
-    scored = rows.mapInPandas(run, "doc_id string, held_out boolean, n_tokens long, n_common long, base double, rare array<binary>, times array<long>, score double, n_bytes long")
+    schema = "doc_id string, held_out boolean, n_tokens long, n_common long, base double, rare array<binary>, times array<long>, score double, grams array<long>, gram_times array<long>, n_bytes long"
+    scored = rows.mapInPandas(run, schema)
     scored = saved(scored.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
-    rare = scored.select("_row", F.inline(F.arrays_zip(F.col("rare").alias("token"), F.col("times").alias("times"))))
-    rare = rare.toDF("_row", "token", "times").join(vocabulary.where(F.col("n") < least), "token", "left")
-    rare = rare.groupBy("_row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(F.lit(0))).alias("_known"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("_logs"),
-    )
+    known = F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(F.lit(0))).alias("_known")
+    rare = _rest(scored, "rare", "times", "token", vocabulary.where(F.col("n") < least), known, F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("_logs"))
+    other = _rest(scored, "grams", "gram_times", "code", model.where(F.col("n") < least_gram).select("code", "log"), F.sum(F.col("times") * F.col("log")).alias("_more"))
     per_token = math.log10(total + 0.5 * (kinds + 1))
-    return scored.drop("rare", "times").join(rare, "_row", "left").select(
+    score = F.col("score") + F.coalesce("_more", F.lit(0.0))
+    return scored.drop("rare", "times", "grams", "gram_times").join(rare, "_row", "left").join(other, "_row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_common") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("_logs", F.lit(0.0)) - F.col("n_tokens") * per_token).alias("base_score"),
-        "score",
+        score.alias("score"),
         "n_bytes",
-        (-F.col("score") * math.log2(10) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
+        (-score * math.log2(10) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
     )

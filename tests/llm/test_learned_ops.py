@@ -169,29 +169,106 @@ def test_language_model_base(spark, docs):
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
     held = [r for r in got if r.held_out and (r.doc_id or 900000) < 900000]
     assert -sum(r.score for r in held) * math.log2(10) / sum(r.n_bytes for r in held) < 3.5
+    assert ctw.language_model(odd(spark, [])).count() == 0
     nothing = ctw.language_model(odd(spark, [(i, t) for i, t in ODD if crc(i, 5) == 1])).collect()
     assert all(r.train_tokens == 0 and r.base_score == 0 and abs(r.bits_per_byte - 8 * (r.n_bytes + 1) / max(1, r.n_bytes)) < 1e-3 for r in nothing)
 
 
-def test_tree_is_a_distribution_and_follows_contexts():
-    texts = ["abracadabra", "abrahaha", "ü" * 9, ""]
-    depth, tables = ctw.DEPTH, Counter()
-    for t in texts:
-        data = b"\0" * depth + t.encode() + b"\xff"
+def plain_ctw(training):
+    """log10 probability of texts by the definition: recursive weighting, one tree per binary decision, context by context."""
+    depth, seen = ctw.DEPTH, {}
+
+    def steps(t):
+        data = b"\0" * depth + t.encode("utf-8", "replace") + b"\xff"
         for i in range(depth, len(data)):
+            for b in range(8):
+                yield data[i - depth : i], (b, data[i] >> (8 - b)), data[i] >> (7 - b) & 1
+
+    for t, times in training:
+        for context, decision, bit in steps(t):
             for d in range(depth + 1):
-                tables[(d, int.from_bytes(data[i - d : i], "big"), data[i])] += 1
-    rows = [(d, c, b, n) for (d, c, b), n in tables.items() if d < 3 or sum(m for (e, f, _), m in tables.items() if (e, f) == (d, c)) > 1]
-    tree = ctw.Tree(*(np.array(x) for x in zip(*rows)))
-    assert np.allclose((10 ** tree.log.reshape(-1, 256).astype(float)).sum(1), 1, atol=1e-4)
-    kept = {(d, c) for d, c, _, _ in rows}
-    keys = sorted(kept)
-    for t in texts + ["zabr", "abra" * 400]:
-        data, total = b"\0" * depth + t.encode() + b"\xff", 0.0
-        for i in range(depth, len(data)):
-            d = max(d for d in range(depth + 1) if (d, int.from_bytes(data[i - d : i], "big")) in kept)
-            total += float(tree.log.reshape(-1, 256)[keys.index((d, int.from_bytes(data[i - d : i], "big"))), data[i]])
-        assert abs(tree.score([t, "x"])[0] - total) < 1e-3
+                seen.setdefault((context[depth - d :], decision), [0, 0])[bit] += times
+    children = {}
+    for context, decision in seen:
+        if context:
+            children.setdefault((context[1:], decision), []).append((context, decision))
+    kt = lambda z, o: math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
+    memo = {}
+
+    def both(node):
+        if node not in memo:
+            alone = kt(*seen[node])
+            if len(node[0]) == depth:
+                memo[node] = (alone, alone)
+            else:
+                memo[node] = (alone, float(np.logaddexp(alone, sum(both(c)[1] for c in children[node]))) - math.log(2))
+        return memo[node]
+
+    def one(context, decision, d):
+        node = (context[depth - d :], decision)
+        own = (seen[node][1] + 0.5) / (sum(seen[node]) + 1)
+        if d == depth or (context[depth - d - 1 :], decision) not in seen:
+            return own
+        alone, weighted = both(node)
+        stop = math.exp(alone - math.log(2) - weighted)
+        return stop * own + (1 - stop) * one(context, decision, d + 1)
+
+    def score(text):
+        total = 0.0
+        for context, decision, bit in steps(text):
+            p = one(context, decision, 0) if (b"", decision) in seen else 0.5
+            total += math.log10(p if bit else 1 - p)
+        return total
+
+    return score
+
+
+def test_context_tree_weighting_by_definition(spark, docs):
+    rows = [(r.doc_id, (r.text or "")[:300]) for r in docs.orderBy("doc_id").limit(60).collect()] + [(70_000, None), (70_001, ""), (70_002, "ü😀" * 20), (70_003, "abracadabra" * 30), (70_003, "abracadabra" * 30)]
+    training = [(t or "", 1) for i, t in rows if crc(i, 5) != 1]
+    plain = plain_ctw(training)
+    want = {i: plain(t or "") for i, t in rows}
+    old = ctw.HOT, ctw.PART
+    try:
+        for ctw.HOT, ctw.PART in ((1 << 21, 250_000), (500, 300)):  # all grams broadcast, nearly all joined
+            got = ctw.language_model(odd(spark, rows)).collect()
+            assert len(got) == len(rows) and any(r.held_out for r in got)
+            assert all(abs(r.score - want[r.doc_id]) < 1e-3 + 1e-5 * abs(want[r.doc_id]) for r in got)
+    finally:
+        ctw.HOT, ctw.PART = old
+
+
+def test_huge_counts_keep_scores_finite(spark):
+    texts = ["the cat sat on the mat", "the dog sat", "zebra", "the the the"]
+    training = [(texts[0], 10**12), (texts[1], 2**24 + 1), (texts[3], 3)]
+    counts = Counter()
+    for t, times in training:
+        for c in ctw.grams([t])[0].tolist():
+            counts[c] += times
+    for t in texts:
+        for c in ctw.grams([t])[0].tolist():
+            counts[c] += 0
+    model = {r.code: r.log for r in ctw.modelled(spark.createDataFrame(list(counts.items()), "code long, n long")).collect()}
+    assert set(model) == set(counts) and all(math.isfinite(v) and v <= 0 for v in model.values())
+    plain = plain_ctw(training)
+    for t in texts:  # a probability under 1e-12 counts as that, which only the text that wasn't trained on meets
+        got = sum(model[c] for c in ctw.grams([t])[0].tolist())
+        assert abs(got - plain(t)) < 1e-3 + (0.1 if t == "zebra" else 1e-3) * abs(got)
+
+
+def test_grams_and_their_table():
+    texts = ["", "ab", "é" * 5, "x" * 100, ""]
+    codes, sizes = ctw.grams(texts)
+    want = []
+    for t in texts:
+        data = b"\0" * ctw.DEPTH + t.encode() + b"\xff"
+        want += [int.from_bytes(data[i - ctw.DEPTH : i + 1], "big") for i in range(ctw.DEPTH, len(data))]
+    assert codes.tolist() == want and sizes.tolist() == [1, 3, 11, 101, 1] and len(ctw.grams([])[0]) == 0
+    rng = np.random.default_rng(3)
+    some = np.unique(rng.integers(0, 1 << 56, 20_000))
+    table = ctw.Table(some[::2], np.arange(len(some[::2])))
+    assert (table.find(some)[::2] == np.arange(len(some[::2]))).all() and (table.find(some)[1::2] == len(some[::2])).all()
+    assert (ctw.Table(some[:0], some[:0]).find(some) == 0).all()
 
 
 def test_the_sixth_byte_back_counts(spark):
