@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +72,8 @@ class _Counts:
             if self.held > HELD:
                 self._count()
         elif len(codes):
-            asked = np.unique(codes)
+            asked = np.sort(codes)
+            asked = asked[np.append(True, asked[1:] != asked[:-1])]
             self.parts.append((asked, np.zeros(len(asked), np.int64)))
 
     def _count(self) -> None:
@@ -92,22 +94,26 @@ class _Counts:
         return codes, n
 
 
-def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial counts: (kind, code, token, n)."""
+def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts: (kind, code, token, n); grams have no token and tokens the code 0."""
     words: Counter[bytes] = Counter()
     counts = _Counts()
 
-    def some_words(words: Counter) -> Iterator[pd.DataFrame]:
-        tokens = list(words)
+    def batch(kind: int, codes: np.ndarray, tokens: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(codes), tokens, pa.array(n)], ["kind", "code", "token", "n"])
+
+    def some_words(words: Counter) -> Iterator[pa.RecordBatch]:
+        tokens, n = list(words), np.fromiter(words.values(), np.int64, len(words))
         for low in range(0, len(tokens), 100_000):
             part = tokens[low : low + 100_000]
-            yield pd.DataFrame({"kind": _TOKENS, "code": 0, "token": part, "n": [words[t] for t in part]})
+            yield batch(_TOKENS, np.zeros(len(part), np.int64), pa.array(part, pa.binary()), n[low : low + 100_000])
 
-    def some_grams(codes: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
+    def some_grams(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for low in range(0, len(codes), 100_000):
-            yield pd.DataFrame({"kind": _GRAMS, "code": codes[low : low + 100_000], "token": b"", "n": n[low : low + 100_000]})
+            part = codes[low : low + 100_000]
+            yield batch(_GRAMS, part, pa.nulls(len(part), pa.binary()), n[low : low + 100_000])
 
-    for frame in batches(frames):
+    for frame in batches(p.to_pandas() for p in parts):
         for held_out, part in frame.groupby("held_out"):
             texts = part["text"].tolist()
             if not held_out:
@@ -246,7 +252,7 @@ def modelled(counts: DataFrame) -> DataFrame:
     suffix = F.col("code").bitwiseAND(F.lit((1 << 8 * (TOP + 2)) - 256))  # the context's last TOP + 1 bytes
     dealt = counts.withColumn("part", F.pmod(F.xxhash64(suffix), F.lit(parts)).cast("int"))
     up = dealt.groupBy("part").applyInPandas(passed_up, "key long, zeros double, ones double, below double")
-    sums = up.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toPandas()
+    sums = up.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow()
     shared = spark.sparkContext.broadcast(Top(*(sums[c].to_numpy() for c in ("key", "zeros", "ones", "below"))))
     return saved(dealt.groupBy("part").applyInPandas(lambda frame: passed_down(frame, shared.value), "code long, n long, log float"), "ctw-model")
 
@@ -311,7 +317,7 @@ def language_model(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(id_text(), (remainder(F.col("doc_id"), 5) == 1).alias("held_out"), "text")
-    partial = rows.select("held_out", "text").mapInPandas(_counted, "kind int, code long, token binary, n long")
+    partial = rows.select("held_out", "text").mapInArrow(_counted, "kind int, code long, token binary, n long")
     counts = saved(partial.groupBy("kind", "code", "token").agg(F.sum("n").alias("n")), "lm-counts")
     vocabulary = counts.where(f"kind = {_TOKENS}").select("token", "n")
     kinds, total = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -319,7 +325,7 @@ def language_model(docs: DataFrame) -> DataFrame:
     common = {bytes(r["token"]): math.log10(r["n"] + 0.5) for r in vocabulary.where(F.col("n") >= least).toLocalIterator()}
     model = modelled(counts.where(f"kind = {_GRAMS}").select("code", "n"))
     least_gram = _threshold("n", model.where("n > 0"), HOT)
-    hot = model.where(F.col("n") >= least_gram).select("code", "log").toPandas()
+    hot = model.where(F.col("n") >= least_gram).select("code", "log").toArrow()
     name = uuid.uuid4().hex
     shared = spark.sparkContext.broadcast((common, hot["code"].to_numpy(), hot["log"].to_numpy()))
     del common, hot
