@@ -30,7 +30,7 @@ DEPTH, TOP = 6, 2
 #: Grams whose log probabilities are broadcast (24 MB), and tokens whose counts are; the rest are joined.
 HOT, COMMON = 1 << 21, 1 << 17
 #: Grams in a part of the tree on average; distinct tokens, grams and bytes that a worker holds before it passes counts on or merges them.
-PART, WORDS, GRAMS, HELD = 250_000, 500_000, 6_000_000, 8_000_000
+PART, WORDS, GRAMS, HELD = 120_000, 250_000, 3_000_000, 4_000_000
 
 _GRAMS, _TOKENS = 0, 1
 
@@ -82,16 +82,24 @@ class _Counts:
         self.raw, self.held = [], 0
 
     def full(self) -> bool:
-        return sum(len(c) for c, _ in self.parts) > GRAMS
+        """Whether too many grams are held even when those of the parts are merged."""
+        if sum(len(c) for c, _ in self.parts) > GRAMS:
+            self._merge()
+        return bool(self.parts) and len(self.parts[0][0]) > GRAMS * 3 // 4
+
+    def _merge(self) -> None:
+        if len(self.parts) > 1:
+            codes = np.concatenate([c for c, _ in self.parts])
+            order = np.argsort(codes, kind="stable")
+            codes = codes[order]
+            first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            self.parts = [(codes[first], np.add.reduceat(np.concatenate([n for _, n in self.parts])[order], first))]
 
     def taken(self) -> tuple[np.ndarray, np.ndarray]:
         self._count()
-        if not self.parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        codes, at = np.unique(np.concatenate([c for c, _ in self.parts]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([n for _, n in self.parts]), len(codes)).astype(np.int64)
-        self.parts = []
-        return codes, n
+        self._merge()
+        out, self.parts = self.parts, []
+        return out[0] if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
