@@ -30,9 +30,7 @@ DEPTH, TOP = 6, 2
 #: Grams whose log probabilities are broadcast (24 MB), and tokens whose counts are; the rest are joined.
 HOT, COMMON = 1 << 21, 1 << 17
 #: Grams in a part of the tree on average; distinct tokens, grams and bytes that a worker holds before it passes counts on or merges them.
-PART, WORDS, GRAMS, HELD = 120_000, 250_000, 3_000_000, 4_000_000
-
-_GRAMS, _TOKENS = 0, 1
+PART, WORDS, GRAMS, HELD = 120_000, 250_000, 2_000_000, 2_000_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -103,23 +101,24 @@ class _Counts:
 
 
 def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts: (kind, code, token, n); grams have no token and tokens the code 0."""
+    """Partial counts: (code, token, n); grams have no token and tokens the code 0."""
+    _TABLES.clear()
     words: Counter[bytes] = Counter()
     counts = _Counts()
 
-    def batch(kind: int, codes: np.ndarray, tokens: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(codes), tokens, pa.array(n)], ["kind", "code", "token", "n"])
+    def batch(codes: np.ndarray, tokens: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(codes), tokens, pa.array(n)], ["code", "token", "n"])
 
     def some_words(words: Counter) -> Iterator[pa.RecordBatch]:
         tokens, n = list(words), np.fromiter(words.values(), np.int64, len(words))
         for low in range(0, len(tokens), 100_000):
             part = tokens[low : low + 100_000]
-            yield batch(_TOKENS, np.zeros(len(part), np.int64), pa.array(part, pa.binary()), n[low : low + 100_000])
+            yield batch(np.zeros(len(part), np.int64), pa.array(part, pa.binary()), n[low : low + 100_000])
 
     def some_grams(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for low in range(0, len(codes), 100_000):
             part = codes[low : low + 100_000]
-            yield batch(_GRAMS, part, pa.nulls(len(part), pa.binary()), n[low : low + 100_000])
+            yield batch(part, pa.nulls(len(part), pa.binary()), n[low : low + 100_000])
 
     for frame in batches(p.to_pandas() for p in parts):
         for held_out, part in frame.groupby("held_out"):
@@ -262,7 +261,9 @@ def modelled(counts: DataFrame) -> DataFrame:
     up = dealt.groupBy("part").applyInPandas(passed_up, "key long, zeros double, ones double, below double")
     sums = up.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow()
     shared = spark.sparkContext.broadcast(Top(*(sums[c].to_numpy() for c in ("key", "zeros", "ones", "below"))))
-    return saved(dealt.groupBy("part").applyInPandas(lambda frame: passed_down(frame, shared.value), "code long, n long, log float"), "ctw-model")
+    model = saved(dealt.groupBy("part").applyInPandas(lambda frame: passed_down(frame, shared.value), "code long, n long, log float"), "ctw-model")
+    shared.unpersist()
+    return model
 
 
 class Table:
@@ -325,13 +326,15 @@ def language_model(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(id_text(), (remainder(F.col("doc_id"), 5) == 1).alias("held_out"), "text")
-    partial = rows.select("held_out", "text").mapInArrow(_counted, "kind int, code long, token binary, n long")
-    counts = saved(partial.groupBy("kind", "code", "token").agg(F.sum("n").alias("n")), "lm-counts")
-    vocabulary = counts.where(f"kind = {_TOKENS}").select("token", "n")
+    partial = rows.select("held_out", "text").mapInArrow(_counted, "code long, token binary, n long")
+    # workers have combined their counts, so the rows are dealt out before any more of that
+    partial = partial.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "code", "token")
+    counts = saved(partial.groupBy("code", "token").agg(F.sum("n").alias("n")), "lm-counts")
+    vocabulary = counts.where("token is not null").select("token", "n")
     kinds, total = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     least = _threshold("n", vocabulary, COMMON)
     common = {bytes(r["token"]): math.log10(r["n"] + 0.5) for r in vocabulary.where(F.col("n") >= least).toLocalIterator()}
-    model = modelled(counts.where(f"kind = {_GRAMS}").select("code", "n"))
+    model = modelled(counts.where("token is null").select("code", "n"))
     least_gram = _threshold("n", model.where("n > 0"), HOT)
     hot = model.where(F.col("n") >= least_gram).select("code", "log").toArrow()
     name = uuid.uuid4().hex
@@ -360,6 +363,7 @@ def language_model(docs: DataFrame) -> DataFrame:
     schema = "doc_id string, held_out boolean, n_tokens long, n_common long, base double, rare array<binary>, times array<long>, score double, grams array<long>, gram_times array<long>, n_bytes long"
     scored = rows.mapInPandas(run, schema)
     scored = saved(scored.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
+    shared.unpersist()
     known = F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(F.lit(0))).alias("_known")
     rare = _rest(scored, "rare", "times", "token", vocabulary.where(F.col("n") < least), known, F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("_logs"))
     other = _rest(scored, "grams", "gram_times", "code", model.where(F.col("n") < least_gram).select("code", "log"), F.sum(F.col("times") * F.col("log")).alias("_more"))
