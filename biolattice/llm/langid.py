@@ -16,14 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, remainder
+from .common import id_text, remainder, saved
 from .walk import active, batches, pieces
 
-#: Sample of each language: documents, and symbols of each; fewer where there are so many languages that TOTAL would be passed.
-DOCS, SYMBOLS, TOTAL = 48, 512, 1 << 18
-MOST_LANGS = 2048
+#: Sample of each language: documents, and symbols of each. Languages whose automata a worker holds at a time; more are parsed in passes over the documents.
+DOCS, SYMBOLS, LANGS = 48, 512, 32
 #: Symbols: 0 is whatever isn't a letter, 1 a letter that no sample has; each learnt letter has one of its own. Transitions on symbols from ALPHABET on are sparse.
-ALPHABET, PIECE = 64, 512
+#: Texts are parsed in pieces of PIECE symbols at once and then joined; states are kept every CHECK symbols.
+ALPHABET, PIECE, CHECK = 64, 512, 32
 
 _LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
@@ -37,6 +37,7 @@ def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     keep[1:] = (out[1:] != 0) | (out[:-1] != 0)
     ends = np.cumsum([len(t) + 1 for t in low]) - 1
     keep[ends] = True  # a separator of its own, which no text has
+    keep[ends[:-1] + 1] = True  # and after it the text's first symbol, whatever it is
     return out[keep], np.cumsum(keep)[ends] - 1
 
 
@@ -80,23 +81,24 @@ class Parser:
             self.table[ord(c)] = k + 2
         self.letters = len(seen) + 2
         sparse: list[tuple[int, int]] = []
-        share = max(1024, min(DOCS * SYMBOLS, TOTAL // max(1, len(self.langs))))
         tables, self.roots, self.bits, base = [], [], [], 0
         for lang in self.langs:
-            codes, _ = symbols(samples[lang], self.table)
-            go = suffix_automaton(codes[:share].tolist())
-            # next state times two, plus one if the phrase ends before the symbol
+            codes, ends = symbols(samples[lang], self.table)
+            codes = np.concatenate([np.append(codes[low : min(high, low + SYMBOLS)], 0) for low, high in zip([0, *(ends[:-1] + 1)], ends)])
+            go = suffix_automaton(codes.tolist())
+            # next state times four, plus the phrases that this symbol completes: the one before it, and itself if the sample lacks it
             step = np.empty((len(go), ALPHABET), np.int32)
-            step[:] = [(base + go[0].get(c, 0)) * 2 + 1 for c in range(ALPHABET)]
+            step[:] = [(base + go[0][c]) * 4 + 1 if c in go[0] else base * 4 + 2 for c in range(ALPHABET)]
+            step[0] = base * 4 + 1
             for state, to in enumerate(go):
                 for c, t in to.items():
                     if c < ALPHABET:
-                        step[state, c] = (base + t) * 2
+                        step[state, c] = (base + t) * 4
                     else:
                         sparse.append(((base + state) * self.letters + c, base + t))
             tables.append(step)
             self.roots.append(base)
-            self.bits.append(math.log2(min(share, len(codes)) + 1))
+            self.bits.append(math.log2(len(codes) + 1))
             base += len(go)
         self.step = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.keys, self.to = np.array(sorted(sparse), np.int64).reshape(-1, 2).T.copy()
@@ -110,58 +112,109 @@ class Parser:
 
         roots = np.array(self.roots, np.int64)[:, None]
         on, anew = find(state * self.letters + codes), find(roots * self.letters + codes)
-        return np.where(on >= 0, on * 2, np.where(anew >= 0, anew, roots) * 2 + 1)
+        return np.where(on >= 0, on * 4, np.where(anew >= 0, anew * 4 + 1, roots * 4 + 2 - (state == roots)))
+
+    def _steps(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Next states times four, plus the phrases completed, of states (languages x texts)."""
+        rare = np.flatnonzero(codes >= ALPHABET)
+        got = self.step.take(state * ALPHABET + np.minimum(codes, ALPHABET - 1))
+        if len(rare):
+            got[:, rare] = self._sparse(state[:, rare], codes[rare])
+        return got
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text: phrases by language, symbols, and whether it has a letter. A text is parsed in pieces of PIECE symbols."""
+        """For each text: phrases by language, symbols, and whether it has a letter.
+
+        All pieces are parsed at once, each as if a phrase began with it.  Then each is parsed again from the state in which the one before it ends, until the two parses are in the
+        same state; from there on they agree.  So the counts are those of the whole text.
+        """
         codes, ends = symbols(texts, self.table)
         starts = np.concatenate([[0], ends[:-1] + 1])
         letters = np.add.reduceat(codes != 0, starts)
         owner, start, size = pieces(starts, ends, PIECE)
-        state = np.repeat(np.array(self.roots, np.int64)[:, None], len(owner), 1)
-        count = np.ones(state.shape, np.int64)  # the last phrase of a piece ends with it
+        roots = np.array(self.roots, np.int64)[:, None]
+        state = np.repeat(roots, len(owner), 1)
+        count = np.zeros(state.shape, np.int64)
+        kept = []  # (states, counts) after every CHECK symbols
         for t in range(int(size.max(initial=0))):
             n = active(size, t)
-            code = codes[start[:n] + t]
-            rare = np.flatnonzero(code >= ALPHABET)
-            got = self.step.take(state[:, :n] * ALPHABET + np.minimum(code, ALPHABET - 1))
-            if len(rare):
-                got[:, rare] = self._sparse(state[:, rare], code[rare])
-            state[:, :n] = got >> 1
-            count[:, :n] += got & 1
+            got = self._steps(state[:, :n], codes[start[:n] + t])
+            state[:, :n] = got >> 2
+            count[:, :n] += got & 3
+            if t % CHECK == CHECK - 1:
+                kept.append((state[:, :n].astype(np.int32), count[:, :n].astype(np.int16)))
+        order = np.lexsort((start, owner))
+        self._join(codes, owner, start, size, order, state, count, kept)
         total = np.array([np.bincount(owner, row, len(texts)) for row in count]).reshape(len(self.langs), len(texts))
+        ending = order[np.append(owner[order][1:] != owner[order][:-1], True)] if len(order) else order
+        total[:, owner[ending]] += state[:, ending] != roots  # a last phrase that the text's end completes
         return total, ends - starts, letters > 0
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, winner's share of the inverse entropies, and by which part its entropy is below the next language's."""
+    def _join(self, codes: np.ndarray, owner: np.ndarray, start: np.ndarray, size: np.ndarray, order: np.ndarray, state: np.ndarray, count: np.ndarray, kept: list) -> None:
+        """Corrects the pieces' end states and counts for the states that the pieces before them end in."""
+        before, after = np.full(len(owner), -1), np.full(len(owner), -1)
+        inner = np.flatnonzero(owner[order][1:] == owner[order][:-1])
+        before[order[inner + 1]], after[order[inner]] = order[inner], order[inner + 1]
+        alone_state, alone_count = state.copy(), count.copy()
+        todo = np.sort(np.flatnonzero(before >= 0))  # the longest first
+        while len(todo):
+            now = state[:, before[todo]]
+            made, synced = np.zeros(now.shape, np.int64), np.zeros(now.shape, bool)
+            for t in range(int(size[todo[0]])):
+                live = np.flatnonzero((size[todo] > t) & ~synced.all(0))
+                if not len(live):
+                    break
+                got = self._steps(now[:, live], codes[start[todo[live]] + t])
+                open_ = ~synced[:, live]
+                now[:, live] = np.where(open_, got >> 2, now[:, live])
+                made[:, live] += (got & 3) * open_
+                if t % CHECK == CHECK - 1:
+                    states, counts = (x[:, todo[live]] for x in kept[t // CHECK])
+                    same = open_ & (now[:, live] == states)
+                    made[:, live] += np.where(same, alone_count[:, todo[live]] - counts, 0)
+                    now[:, live] = np.where(same, alone_state[:, todo[live]], now[:, live])
+                    synced[:, live] |= same
+            changed = (state[:, todo] != now).any(0)
+            state[:, todo], count[:, todo] = now, made
+            todo = np.sort(after[todo[changed]])
+            todo = todo[todo >= 0]
+
+    def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Entropy by language and text, and whether a text has a letter."""
         total, size, known = self.phrases(texts)
-        if not self.langs:
-            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-        cost = total * np.array(self.bits)[:, None] / np.maximum(size, 1)
-        best = cost.argmin(0)
-        share = 1 / np.maximum(cost, 1e-9)
-        score = np.where(known, share.max(0) / share.sum(0), 0.0)
-        low = np.sort(cost, 0)[:2]
-        lead = 1 - low[0] / np.maximum(low[-1], 1e-9) if len(low) > 1 else np.ones(len(texts))
-        return [self.langs[b] if k else "und" for b, k in zip(best, known)], score, np.where(known, lead, 0.0)
+        return total * np.array(self.bits).reshape(-1, 1) / np.maximum(size, 1), known
 
 
-_PARSERS: dict[str, Parser] = {}
+def ranked(cost: np.ndarray, langs: list[str], frame: pd.DataFrame) -> pd.DataFrame:
+    """_lang, _best, _second and _sum (of inverse entropies), as in frame from other languages and here from these."""
+    best, second, lang = (frame[c].to_numpy() for c in ("_best", "_second", "_lang"))
+    at = cost.argmin(0)
+    low = cost[at, np.arange(cost.shape[1])]
+    both = np.sort(np.vstack([cost, best, second]), 0)
+    return pd.DataFrame({"_lang": np.where(low < best, np.array(langs, object)[at], lang), "_best": both[0], "_second": both[1], "_sum": frame["_sum"].to_numpy() + (1 / np.maximum(cost, 1e-9)).sum(0)})
 
 
-def sampled(docs: DataFrame) -> dict[str, list[str]]:
-    """Texts to learn from, by language: of each of DOCS hash slots the learnable document with the smallest hash, at most 2 * SYMBOLS code points of each.
+_PARSERS: dict[str, Parser] = {}
 
-    The choice reads ids only; the texts of the chosen few are fetched by a broadcast of at most MOST_LANGS * DOCS keys.
-    """
+
+def picked(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows to learn from with their hash and slot, of each language and slot the smallest hash, and the languages. The choice reads ids only."""
     h = F.xxhash64("doc_id")
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 4) != 2)).select(
         "lang", "text", h.alias("_h"), F.pmod(h, F.lit(DOCS)).alias("_slot")
     )
-    picks = rows.groupBy("lang", "_slot").agg(F.min("_h").alias("_h"))
-    if picks.select("lang").distinct().count() > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
-    got = rows.join(F.broadcast(picks), ["lang", "_slot", "_h"]).groupBy("lang", "_slot").agg(F.min(F.substring("text", 1, 2 * SYMBOLS)).alias("text")).collect()
+    picks = saved(rows.groupBy("lang", "_slot").agg(F.min("_h").alias("_h")), "langid-picks")
+    return rows, picks, sorted(r["lang"] for r in picks.select("lang").distinct().collect())
+
+
+def sampled(rows: DataFrame, picks: DataFrame, langs: list[str]) -> dict[str, list[str]]:
+    """Texts to learn from, by language: a stretch of at most 2 * SYMBOLS code points of each picked document, at a place chosen by hash.
+
+    The texts of the chosen few are fetched by a broadcast of at most LANGS * DOCS keys.
+    """
+    some = picks.where(F.col("lang").isin(langs))
+    low = F.pmod(F.xxhash64("_h"), F.greatest(F.lit(1), F.length("text") - 2 * SYMBOLS + 1)).cast("int") + 1
+    got = rows.join(F.broadcast(some), ["lang", "_slot", "_h"]).groupBy("lang", "_slot").agg(F.min(F.substr("text", low, F.lit(2 * SYMBOLS))).alias("text")).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["_slot"])):
         out.setdefault(r["lang"], []).append(r["text"])
@@ -172,23 +225,46 @@ def identify(docs: DataFrame, *keep: str) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score, lead, and the columns named in keep.
 
     Null texts and texts without a letter are `und` with score and lead 0; so is everything if there is nothing to learn from.  The learnt sample is bounded
-    (DOCS, SYMBOLS, TOTAL), whole texts are parsed.  score is the winner's share of the inverse entropies, lead the part by which its entropy is below
-    the next language's.  Repeated rows each get a row; columns not named aren't read.
+    (DOCS stretches of SYMBOLS symbols a language), whole texts are parsed.  score is the winner's share of the inverse entropies, lead the part by which its entropy is below
+    the next language's.  Of languages that tie the first by code point is named.  More than LANGS languages take more than one pass, between which the rows are written.
+    Repeated rows each get a row; columns not named aren't read.
     """
     spark = docs.sparkSession
-    samples, name = spark.sparkContext.broadcast(sampled(docs)), uuid.uuid4().hex
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if name not in _PARSERS:
-            _PARSERS.clear()
-            _PARSERS[name] = Parser(samples.value)
-        for frame in batches(frames, "_text"):
-            langs, score, lead = _PARSERS[name].predict(frame["_text"].tolist())
-            yield frame.drop(columns="_text").assign(lang_pred=langs, score=score, lead=lead)
-
+    learnable, picks, langs = picked(docs)
     kinds = {f.name: f.dataType.simpleString() for f in docs.select(*keep).schema}
     whole = [c for c, k in kinds.items() if k in ("tinyint", "smallint", "int", "bigint")]
     rows = docs.select(id_text(), (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), *[id_text(c) if c in whole else c for c in keep], F.col("text").alias("_text"))
+    far = F.lit(float("inf"))
+    rows = rows.withColumns({"_known": F.lit(False), "_lang": F.lit("und"), "_best": far, "_second": far, "_sum": F.lit(0.0)})
     kept = "".join(f"`{c}` {'string' if c in whole else k}, " for c, k in kinds.items())
-    out = rows.mapInPandas(parse, f"doc_id string, held_out boolean, {kept}lang_pred string, score double, lead double")
-    return out.withColumns({"doc_id": F.col("doc_id").cast("long"), **{c: F.col(c).cast(kinds[c]) for c in whole}})
+    schema = f"doc_id string, held_out boolean, {kept}_text string, _known boolean, _lang string, _best double, _second double, _sum double"
+
+    def passed(rows: DataFrame, some: list[str], last: bool) -> DataFrame:
+        samples, name = spark.sparkContext.broadcast(sampled(learnable, picks, some)), uuid.uuid4().hex
+
+        def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if name not in _PARSERS:
+                _PARSERS.clear()
+                _PARSERS[name] = Parser(samples.value)
+            parser = _PARSERS[name]
+            for frame in batches(frames, "_text"):
+                cost, known = parser.costs(frame["_text"].tolist())
+                frame = frame.assign(_known=known, **ranked(cost, parser.langs, frame).set_index(frame.index))
+                yield frame.assign(_text=None) if last else frame
+
+        return rows.mapInPandas(parse, schema)
+
+    blocks = [langs[k : k + LANGS] for k in range(0, len(langs), LANGS)]
+    for k, some in enumerate(blocks):
+        last = k == len(blocks) - 1
+        rows = passed(rows, some, last)
+        rows = rows if last else saved(rows, "langid-pass")
+    one = F.lit(1.0)
+    return rows.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "held_out",
+        *[F.col(c).cast(kinds[c]).alias(c) if c in whole else c for c in keep],
+        F.when(F.col("_known"), F.col("_lang")).otherwise("und").alias("lang_pred"),
+        F.when(F.col("_known"), one / F.greatest(F.col("_best"), F.lit(1e-9)) / F.col("_sum")).otherwise(F.lit(0.0)).alias("score"),
+        F.when(F.col("_known"), one - F.col("_best") / F.greatest(F.col("_second"), F.lit(1e-9))).otherwise(F.lit(0.0)).alias("lead"),
+    )

@@ -48,22 +48,45 @@ def test_automaton_has_exactly_the_substrings():
     assert reach == subs and len(go) <= 2 * len(s) and count
 
 
+def parsed(x, has):
+    """Phrases of the greedy parse; a symbol that the sample lacks is one by itself."""
+    i, n = 0, 0
+    while i < len(x):
+        j = i + 1
+        while j < len(x) and tuple(x[i : j + 1]) in has:
+            j += 1
+        i, n = j, n + 1
+    return n
+
+
 def test_cross_parse_counts_longest_matches():
-    p = langid.Parser({"a": ["the cat sat on the mat"], "b": ["ein hund lief"]})
-    for text in ("the hat", "cat on mat zzz", "hund", "sat on the mat the cat"):
-        codes, _ = langid.symbols([text], p.table)
-        total, _, _ = p.phrases([text])
-        for k, sample in enumerate(("the cat sat on the mat", "ein hund lief")):
-            ref = langid.symbols([sample], p.table)[0].tolist()
-            has = {tuple(ref[i:j]) for i in range(len(ref)) for j in range(i + 1, len(ref) + 1)}
-            x, i, n = codes[:-1].tolist(), 0, 0
-            while i < len(x):
-                j = i + 1
-                while j <= len(x) and tuple(x[i:j]) in has:
-                    j += 1
-                # a symbol that the sample lacks starts its phrase anew and ends it
-                i, n = max(i + 1, j - 1), n + 1
-            assert abs(total[k, 0] - n) <= sum(1 for c in x if (c,) not in has) + 1
+    samples = ("the cat sat on the mat", "ein hund lief")
+    p = langid.Parser({"a": [samples[0]], "b": [samples[1]]})
+    rng = random.Random(5)
+    texts = ["the hat", "cat on mat zzz", "hund", "sat on the mat the cat", "zz", "z the z", "", "the the? 3", "é"]
+    texts += ["".join(rng.choices("thecasonmdilf zé", k=n)) for n in (31, 32, 33, 511, 512, 513, 1024, 1500, 5000)]  # longer than a piece
+    texts += [" ".join(rng.choices(("the cat", "sat on", "hund lief", "zzz"), k=n)) for n in (200, 900)] + ["a" * 3000, "the cat sat on the mat " * 300]
+    total, size, _ = p.phrases(texts)
+    for k, sample in enumerate(samples):
+        ref = langid.symbols([sample], p.table)[0].tolist()
+        has = {tuple(ref[i:j]) for i in range(len(ref)) for j in range(i + 1, len(ref) + 1)}
+        for n, text in enumerate(texts):
+            x = langid.symbols([text], p.table)[0][:-1].tolist()
+            assert size[n] == len(x) and total[k, n] == parsed(x, has), (sample, text[:40])
+
+
+def test_many_languages_take_passes(spark, docs):
+    rows = [(r.doc_id * 10 + k, f"{r.text} x{k}", f"{r.lang}{k}", None, None) for r in docs.where("lang is not null").limit(60).collect() for k in range(2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted(map(tuple, langid.identify(table, "lang").collect()))
+    old, langid.LANGS = langid.LANGS, 3
+    try:
+        got = sorted(map(tuple, langid.identify(table, "lang").collect()))
+    finally:
+        langid.LANGS = old
+    assert len(got) == len(want) == len(rows)
+    for g, w in zip(got, want):
+        assert g[:4] == w[:4] and np.allclose(g[4:], w[4:])
 
 
 def test_language(spark, docs):
@@ -93,8 +116,9 @@ def test_languages_of_several_scripts():
     words["z2"] = ["".join(rng.choices(alphabets["zh"], k=rng.randrange(2, 6))) for _ in range(80)]
     parser = langid.Parser({lang: [text(lang, words) for _ in range(20)] for lang in words})
     truth = [lang for lang in words for _ in range(5)]
-    got, _, lead = parser.predict([text(lang, words) for lang in truth])
-    assert got == truth and (lead > 1e-9).all()
+    cost, known = parser.costs([text(lang, words) for lang in truth])
+    low = np.sort(cost, 0)
+    assert [parser.langs[k] for k in cost.argmin(0)] == truth and known.all() and (low[0] < low[1]).all()
 
 
 def test_quality(spark, docs):
