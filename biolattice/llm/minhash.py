@@ -3,7 +3,8 @@
 Two permutations make the whole signature: the first scatters the shingles over the ring of 32-bit numbers, the second ranks them, and coordinate k ranks the
 scattered set shifted by k places round the ring.  Documents with the same set are one class from the start.  Of a bucket only pairs with its leader, the
 member that meets most others, are verified at first.  Then documents that share a bucket and are still apart are compared: in small buckets all such pairs, in
-large ones those that an exact prefix filter leaves.  So a large group costs about one pair a document, and no link within a bucket is left out.
+large ones those that an exact prefix filter leaves.  So a large group round a centre costs about one pair a document, and no link within a bucket is left out.  Only of a
+large group without a centre, whose members share buckets but no links, is more compared: all pairs of similar size that the filter can't exclude.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ ROWS, MISS = 6, 1.2e-5
 LINK = 85
 #: Members of a bucket whose pairs are taken as they are; width of the size classes of the prefix filter.
 SMALL, CLASS = 24, 1.08
+#: A node is hot if it is in more than one in so many pairs; parts that a hot one's pairs are dealt into.
+HOT, SALTS = 1000, 64
 _CHUNK = 1 << 16
 
 
@@ -75,7 +78,7 @@ def _described(frames: Iterator[pd.DataFrame], bands: int) -> Iterator[pd.DataFr
         of = iter(keys.view(np.int64).tolist())
         yield pd.DataFrame(
             {
-                "doc_id": frame["doc_id"],
+                **{c: frame[c] for c in frame.columns if c != "text"},
                 "n_shingles": [len(s) for s in sets],
                 "node": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                 "bands": [next(of) if len(s) else None for s in sets],
@@ -99,10 +102,24 @@ def _verified(frames: Iterator[pd.DataFrame], threshold: int) -> Iterator[pd.Dat
         yield frame.loc[linked, ["a", "b"]]
 
 
+def _beside(many: DataFrame, one: DataFrame, key: str, other: str, keys: DataFrame) -> DataFrame:
+    """many joined with one (a row a key), where a key may hold a large part of many's rows; keys is many without its wide columns.
+
+    Fewer than HOT keys can be hot; these are broadcast, their rows dealt out by the other column, and the one row that they all need is repeated for each part.
+    """
+    counts = keys.groupBy(key).agg(F.count("*").alias("_c"))
+    hot = F.broadcast(counts.where(F.col("_c") * HOT > counts.agg(F.sum("_c")).scalar()).select(key, F.lit(SALTS).alias("_n")))
+    salt = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    salts = F.when(F.col("_n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    left = many.join(hot, key, "left").withColumn("_salt", salt).drop("_n")
+    right = one.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_n")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def _links(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """Of pairs (a, b) of nodes those that are similar on their full sets; each pair's texts move to it."""
-    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = _beside(pairs, texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b", "a", pairs)
+    both = _beside(with_b, texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a", "b", pairs)
     return both.select("a", "b", "text_a", "text_b").mapInPandas(lambda frames: _verified(frames, threshold), "a binary, b binary")
 
 
@@ -137,16 +154,16 @@ def _prefixes(frames: Iterator[pd.DataFrame], threshold: int) -> Iterator[pd.Dat
                 yield pd.concat(out)
 
 
-def _apart(members: DataFrame, roots: DataFrame, *by: str) -> DataFrame:
-    """Members of the groups that hold several components, with their root and the root of the group's largest component."""
+def _apart(members: DataFrame, roots: DataFrame, by: str) -> DataFrame:
+    """Members of the groups that hold several components, with their root, the root of the group's largest component and the smallest n of the group."""
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    counted = placed.groupBy(*by, "root").agg(F.count("*").alias("c"))
-    several = counted.groupBy(*by).agg(F.count("*").alias("k"), F.max(F.struct("c", "root")).alias("most")).where("k > 1")
-    return placed.join(several.select(*by, F.col("most.root").alias("main")), [*by])
+    counted = placed.groupBy(by, "root").agg(F.count("*").alias("c"), F.min("n").alias("least"))
+    several = counted.groupBy(by).agg(F.count("*").alias("k"), F.max(F.struct("c", "root")).alias("most"), F.min("least").alias("least")).where("k > 1")
+    return _beside(placed, several.select(by, F.col("most.root").alias("main"), "least"), by, "node", members)
 
 
-def near_duplicates(docs: DataFrame, threshold: int = LINK) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, threshold: int = LINK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, the columns in keep (text columns), n_shingles, component_id, kept, component (null for an empty set, else the same for all of a component).
 
     Documents are linked whose shingles have a Jaccard similarity of at least threshold (1 to 100) per cent.  Null texts and texts without words have an empty set, n_shingles 0, and are linked with nothing.  A component's id is its smallest doc_id (nulls come last); rows that
     repeat a doc_id with other texts are documents of their own.  Shingles are 64-bit hashes, classes 128-bit digests of the whole set.  Other columns aren't read.
@@ -154,7 +171,8 @@ def near_duplicates(docs: DataFrame, threshold: int = LINK) -> DataFrame:
     if not 1 <= threshold <= 100:
         raise ValueError(f"threshold {threshold} is not between 1 and 100")
     bands = bands_for(threshold)
-    rows = docs.select(id_text(), "text").mapInPandas(lambda frames: _described(frames, bands), "doc_id string, n_shingles long, node binary, bands array<long>")
+    more = "".join(f"`{c}` string, " for c in keep)
+    rows = docs.select(id_text(), *keep, "text").mapInPandas(lambda frames: _described(frames, bands), f"doc_id string, {more}n_shingles long, node binary, bands array<long>")
     rows = saved(rows.withColumn("doc_id", F.col("doc_id").cast("long")), "minhash-rows")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = nodes.select("node", "n", "doc_id", F.explode("bands").alias("key"))
@@ -177,15 +195,15 @@ def near_duplicates(docs: DataFrame, threshold: int = LINK) -> DataFrame:
     links = saved(_links(tried, texts, threshold), "minhash-links")
     roots = components(links)
     # second round, small buckets: all pairs that are still apart
-    few = _apart(buckets.where(f"size between 3 and {SMALL}").select("key", "node", "n"), roots, "key")
+    few = _apart(buckets.where(f"size between 3 and {SMALL}").select("key", "node", "n"), roots, "key").drop("least")
     p = few.where("root != main").select("key", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("root").alias("p_root"))
     pairs = ends(p.join(few, "key").where((F.col("root") != F.col("p_root")) & close(F.col("n"), F.col("p_n"))), "p", "node")
     # large buckets: pairs that meet in their prefixes
-    many = _apart(buckets.where((F.col("size") > SMALL) & (F.col("node") != F.col("lead"))).select("lead", "node", "n").distinct(), roots, "lead")
-    many = saved(many.join(many.groupBy("lead").agg(F.min("n").alias("least")), "lead"), "minhash-apart")
+    grouped = saved(buckets.where((F.col("size") > SMALL) & (F.col("node") != F.col("lead"))).select("lead", "node", "n").distinct(), "minhash-groups")
+    many = saved(_apart(grouped, roots, "lead"), "minhash-apart")
     if not many.isEmpty():
         with_lead = many.select("lead", "node", "least").join(texts.select("node", F.col("text").alias("text_node")), "node")
-        with_lead = with_lead.join(texts.select(F.col("node").alias("lead"), F.col("text").alias("text_lead")), "lead")
+        with_lead = _beside(with_lead, texts.select(F.col("node").alias("lead"), F.col("text").alias("text_lead")), "lead", "node", many.select("lead"))
         meet = with_lead.select("lead", "node", "least", "text_lead", "text_node").mapInPandas(lambda frames: _prefixes(frames, threshold), "lead binary, node binary, n long, token long, class int, most long, larger boolean")
         meet = saved(meet.join(many.select("lead", "node", "root", (F.col("root") != F.col("main")).alias("few")), ["lead", "node"]), "minhash-prefixes")
         y = meet.where("not larger").select("lead", "token", "class", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "most", "root", "few")])
@@ -207,12 +225,14 @@ def near_duplicates(docs: DataFrame, threshold: int = LINK) -> DataFrame:
         roots = roots.unionByName(alone).withColumnRenamed("root", "_r").join(joined.select(F.col("node").alias("_r"), "root"), "_r", "left").select("node", F.coalesce("root", "_r").alias("root"))
     named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.join(smallest, "root").select("node", "component_id")
-    return rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select(
+    of_node = named.join(smallest, "root").select("node", "component_id", F.hex("root").alias("component"))
+    return rows.select("doc_id", *keep, "n_shingles", "node").join(of_node, "node", "left").select(
         "doc_id",
+        *keep,
         "n_shingles",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         (F.col("node").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
+        "component",
     )
 
 

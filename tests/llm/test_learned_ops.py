@@ -535,6 +535,31 @@ def test_decontamination_finds_every_copy_of_many_items(spark):
     assert not {(i, i) for i, _ in rows} - got
 
 
+def test_stages_decide_by_row(spark, docs):
+    t, u, v = (" ".join(f"{c}{k}" for k in range(60)) for c in "tuv")
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    item = bench.first().text
+    make = lambda rows: spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], docs.schema)
+    left = lambda stage, rows, at=DATA: sorted(((r.doc_id, r.text) for r in stage(spark, make(rows), at).collect()), key=str)
+    rows = [(3, t), (7, t), (7, u), (7, u), (9, v + " "), (9, v)]
+    assert left(corpus_pipeline.stage_exact_dedup, rows) == [(3, t), (7, u), (9, v + " ")]
+    near = [(3, t), (7, t + " x"), (7, u), (7, u + " y"), (None, v), (None, ""), (8, None)]
+    assert [i for i, _ in left(corpus_pipeline.stage_near_dedup, near)] == [3, 7, 8, None, None]
+    found = [(5, item), (5, t), (None, item), (None, u)]
+    assert left(corpus_pipeline.stage_decontaminate, found) == sorted([(5, t), (None, u)], key=str)
+    for stage in (corpus_pipeline.stage_language, corpus_pipeline.stage_exact_dedup, corpus_pipeline.stage_near_dedup, corpus_pipeline.stage_decontaminate, corpus_pipeline.stage_mix):
+        assert not left(stage, []) if stage is not corpus_pipeline.stage_mix else stage(spark, make([]), DATA).count() == 0
+    # a text that two languages explain equally well is rejected, one that a language wins stays
+    two = spark.createDataFrame([(k, f"same words here {k % 7}", lang, "s", 1) for k in range(80) for lang in ("de", "fr")] + [(500, "same words here", None, "s", 1)], docs.schema)
+    assert 500 not in {r.doc_id for r in corpus_pipeline.stage_language(spark, two, DATA).collect()}
+
+
+def test_pipeline_without_benchmark(spark, docs, tmp_path):
+    spark.read.parquet(f"{DATA}/benchmark.parquet").limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs.limit(40).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
 def test_pipeline(spark, docs, tmp_path):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
