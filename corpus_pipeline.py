@@ -1,11 +1,12 @@
 """Corpus preparation: language identification, exact and near dedup, benchmark decontamination, mixing.
 
-Each stage takes the documents that the one before kept, works on all of them, and is written and read again before the next.  Stages decide by
-doc_id: rows that repeat an id share its fate.  Nulls and empty texts follow the operators' docstrings: texts without a letter go in the first stage.
+Each stage takes the documents that the one before kept, works on all of them, and is written and read again before the next.  Stages decide by row: where rows repeat a doc_id with
+other texts, each has its own fate, and of rows that repeat as a whole one stays.  Nulls and empty texts follow the operators' docstrings: texts without a letter go in the first stage.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +20,16 @@ LEAD = 1e-9
 NEAR = 80
 
 
-def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how).select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with _row, which names a row: its file and its place there. Documents that aren't read from files are written first."""
+    try:
+        return docs.select(*COLUMNS, F.concat_ws("/", "_metadata.file_name", "_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return _keyed(saved(docs.select(*COLUMNS), "pipeline-docs"))
+
+
+def _chosen(rows: DataFrame, kept: DataFrame, how: str) -> DataFrame:
+    return rows.join(kept.select("_row").distinct(), "_row", how).select(*COLUMNS)
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,21 +39,23 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts; also one row where rows repeat as a whole."""
-    kept = saved(exact_dedup.exact_dedup(docs).where("kept").select("doc_id"), "pipeline-kept")
-    out = _by_id(docs, kept, "left_semi")
-    repeated = kept.groupBy("doc_id").count().where("count > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    """One row of each group of equal texts."""
+    rows = _keyed(docs)
+    kept = exact_dedup.exact_dedup(rows, keep=("_row",)).where("kept")
+    return _chosen(rows, kept.groupBy("text_sha256").agg(F.min("_row").alias("_row")), "left_semi")
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    return _by_id(docs, minhash.near_duplicates(docs, NEAR).where("kept"), "left_semi")
+    """One document of each group of near duplicates, the one with the smallest id; all without words."""
+    rows = _keyed(docs)
+    kept = minhash.near_duplicates(rows, NEAR, keep=("_row",)).where("kept")
+    return _chosen(rows, kept.groupBy(F.coalesce("component", "_row")).agg(F.min("_row").alias("_row")), "left_semi")
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return _by_id(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark")), "left_anti")
+    rows = _keyed(docs)
+    return _chosen(rows, decontam.contaminated(rows, table(spark, sf_dir, "benchmark"), keep=("_row",)), "left_anti")
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
