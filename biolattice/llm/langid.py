@@ -24,6 +24,8 @@ DOCS, SYMBOLS, LANGS = 48, 512, 32
 #: Symbols: 0 is whatever isn't a letter, 1 a letter that no sample has; each learnt letter has one of its own. Transitions on symbols from ALPHABET on are sparse.
 #: Texts are parsed in pieces of PIECE symbols at once and then joined; states are kept every CHECK symbols.
 ALPHABET, PIECE, CHECK = 64, 512, 32
+#: Pieces and languages that are finished one by one.
+FEW = 400
 
 _LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
@@ -81,13 +83,16 @@ class Parser:
             self.table[ord(c)] = k + 2
         self.letters = len(seen) + 2
         sparse: list[tuple[int, int]] = []
-        tables, self.roots, self.bits, base = [], [], [], 0
+        cut = []
         for lang in self.langs:
             codes, ends = symbols(samples[lang], self.table)
-            codes = np.concatenate([np.append(codes[low : min(high, low + SYMBOLS)], 0) for low, high in zip([0, *(ends[:-1] + 1)], ends)])
+            cut.append(np.concatenate([np.append(codes[low : min(high, low + SYMBOLS)], 0) for low, high in zip([0, *(ends[:-1] + 1)], ends)]))
+        # an automaton has at most twice as many states as symbols
+        table, self.roots, self.bits, base = np.empty((sum(2 * len(c) for c in cut), ALPHABET), np.int32), [], [], 0
+        for codes in cut:
             go = suffix_automaton(codes.tolist())
             # next state times four, plus the phrases that this symbol completes: the one before it, and itself if the sample lacks it
-            step = np.empty((len(go), ALPHABET), np.int32)
+            step = table[base : base + len(go)]
             step[:] = [(base + go[0][c]) * 4 + 1 if c in go[0] else base * 4 + 2 for c in range(ALPHABET)]
             step[0] = base * 4 + 1
             for state, to in enumerate(go):
@@ -96,11 +101,11 @@ class Parser:
                         step[state, c] = (base + t) * 4
                     else:
                         sparse.append(((base + state) * self.letters + c, base + t))
-            tables.append(step)
             self.roots.append(base)
             self.bits.append(math.log2(len(codes) + 1))
             base += len(go)
-        self.step = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.step = table[:base].ravel()
+        self.quick = memoryview(self.step)
         self.keys, self.to = np.array(sorted(sparse), np.int64).reshape(-1, 2).T.copy()
 
     def _sparse(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -174,11 +179,31 @@ class Parser:
                     made[:, live] += np.where(same, alone_count[:, todo[live]] - counts, 0)
                     now[:, live] = np.where(same, alone_state[:, todo[live]], now[:, live])
                     synced[:, live] |= same
+                    cells = np.argwhere(~synced[:, live] & (size[todo[live]] > t + 1))
+                    if len(cells) <= FEW and not len(self.keys):
+                        for lang, k in cells.tolist():
+                            now[lang, live[k]], made[lang, live[k]] = self._walk(
+                                codes[start[todo[live[k]]] :][: size[todo[live[k]]]].tolist(), t + 1, int(now[lang, live[k]]), int(made[lang, live[k]]),
+                                [(a[lang, todo[live[k]]], b[lang, todo[live[k]]]) for a, b in kept[: size[todo[live[k]]] // CHECK]], (int(alone_state[lang, todo[live[k]]]), int(alone_count[lang, todo[live[k]]])),
+                            )
+                        break
             changed = (state[:, todo] != now).any(0)
             state[:, todo], count[:, todo] = now, made
             todo = np.sort(after[todo[changed]])
             todo = todo[todo >= 0]
 
+    def _walk(self, codes: list[int], t: int, state: int, made: int, kept: list, alone: tuple[int, int]) -> tuple[int, int]:
+        """One piece and language to the end or to where both parses agree: the last few, which numpy would take one by one."""
+        step = self.quick
+        while t < len(codes):
+            for c in codes[t : t + CHECK]:
+                got = step[state * ALPHABET + c]
+                state, made = got >> 2, made + (got & 3)
+            t += CHECK
+            if t <= len(codes) and state == kept[t // CHECK - 1][0]:
+                return alone[0], made + alone[1] - int(kept[t // CHECK - 1][1])
+        return state, made
+
     def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Entropy by language and text, and whether a text has a letter."""
         total, size, known = self.phrases(texts)
@@ -233,11 +258,12 @@ def identify(docs: DataFrame, *keep: str) -> DataFrame:
     learnable, picks, langs = picked(docs)
     kinds = {f.name: f.dataType.simpleString() for f in docs.select(*keep).schema}
     whole = [c for c, k in kinds.items() if k in ("tinyint", "smallint", "int", "bigint")]
-    rows = docs.select(id_text(), (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), *[id_text(c) if c in whole else c for c in keep], F.col("text").alias("_text"))
+    text = "text" if "text" in keep else "_text"  # a kept text goes through Python once
+    rows = docs.select(id_text(), (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), *[id_text(c) if c in whole else c for c in keep if c != text], F.col("text").alias(text), F.col("text").isNull().alias("_null"))
     far = F.lit(float("inf"))
     rows = rows.withColumns({"_known": F.lit(False), "_lang": F.lit("und"), "_best": far, "_second": far, "_sum": F.lit(0.0)})
-    kept = "".join(f"`{c}` {'string' if c in whole else k}, " for c, k in kinds.items())
-    schema = f"doc_id string, held_out boolean, {kept}_text string, _known boolean, _lang string, _best double, _second double, _sum double"
+    kept = "".join(f"`{c}` {'string' if c in whole else k}, " for c, k in kinds.items() if c != text)
+    schema = f"doc_id string, held_out boolean, {kept}{text} string, _null boolean, _known boolean, _lang string, _best double, _second double, _sum double"
 
     def passed(rows: DataFrame, some: list[str], last: bool) -> DataFrame:
         samples, name = spark.sparkContext.broadcast(sampled(learnable, picks, some)), uuid.uuid4().hex
@@ -247,10 +273,10 @@ def identify(docs: DataFrame, *keep: str) -> DataFrame:
                 _PARSERS.clear()
                 _PARSERS[name] = Parser(samples.value)
             parser = _PARSERS[name]
-            for frame in batches(frames, "_text"):
-                cost, known = parser.costs(frame["_text"].tolist())
+            for frame in batches(frames, text):
+                cost, known = parser.costs(frame[text].tolist())
                 frame = frame.assign(_known=known, **ranked(cost, parser.langs, frame).set_index(frame.index))
-                yield frame.assign(_text=None) if last else frame
+                yield frame.assign(_text=None) if last and text == "_text" else frame
 
         return rows.mapInPandas(parse, schema)
 
@@ -263,7 +289,7 @@ def identify(docs: DataFrame, *keep: str) -> DataFrame:
     return rows.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "held_out",
-        *[F.col(c).cast(kinds[c]).alias(c) if c in whole else c for c in keep],
+        *[F.col(c).cast(kinds[c]).alias(c) if c in whole else F.when(~F.col("_null"), F.col(c)).alias(c) if c == text else F.col(c) for c in keep],
         F.when(F.col("_known"), F.col("_lang")).otherwise("und").alias("lang_pred"),
         F.when(F.col("_known"), one / F.greatest(F.col("_best"), F.lit(1e-9)) / F.col("_sum")).otherwise(F.lit(0.0)).alias("score"),
         F.when(F.col("_known"), one - F.col("_best") / F.greatest(F.col("_second"), F.lit(1e-9))).otherwise(F.lit(0.0)).alias("lead"),
