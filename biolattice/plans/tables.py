@@ -29,6 +29,14 @@ def saved(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete a table that saved() wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_saved(spark: SparkSession) -> None:
     """Delete this application's written tables; DataFrames that read them can't be used afterwards."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
