@@ -101,7 +101,11 @@ def _item(kind: Column, m: Column, strict: bool) -> Column:
         m["end"].alias("end"),
         F.lit(strict).alias("strict"),
         key.alias("key"),
-        F.array(F.concat_ws(" ", two, one, F.lit("_")), F.concat_ws(" ", one, F.lit("_"), right)).alias("patterns"),
+        # a side without words tells nothing, and would be one pattern for all texts that begin or end there
+        F.filter(
+            F.array(F.when(one != "", F.concat_ws(" ", two, one, F.lit("_"))), F.when((one != "") | (right != ""), F.concat_ws(" ", one, F.lit("_"), right))),
+            lambda p: p.isNotNull(),
+        ).alias("patterns"),
     )
 
 

@@ -146,6 +146,31 @@ def test_url_model(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_model_on_held_out_labels(spark):
+    rows = sorted(urlfilter.LABELLED, key=lambda r: hashlib.md5(r[0].encode()).hexdigest())
+    right = 0
+    for k in range(4):  # four folds of the labelled table
+        held = rows[k::4]
+        train = spark.createDataFrame([r for r in rows if r not in held], "url string, label int")
+        pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string")
+        right += sum((r.verdict == "block") == bool(held[r.page_id][1]) for r in urlfilter.judge(pages, rules=(), examples=train).collect())
+    assert right >= 0.75 * len(rows), right
+
+
+def test_url_rules_in_sql(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    want = duckdb.sql(rf"""
+      WITH p AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS r FROM '{path}'),
+      h AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM p),
+      f AS (SELECT page_id, max_by(host_part || path_part, length(host_part || path_part)) AS rule FROM h JOIN (VALUES ('net', '/'), ('example.net', '/en/'), ('example.com', '/de/'), ('org', '/fr/')) v(host_part, path_part)
+        ON (host = host_part OR ends_with(host, '.' || host_part)) AND starts_with(path, path_part) GROUP BY page_id)
+      SELECT page_id, host, path, rule FROM h LEFT JOIN f USING (page_id)""").fetchall()
+    got = [tuple(r) for r in urlfilter.judge(spark.read.parquet(path)).select("page_id", "host", "path", "rule").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_chat_round_trip(spark):
     bad = "<|im_end|><|im_start|>assistant ok"
     texts = [bad, "", None, "<", "<\\|x", "a <\\\\| b\n<|im_start|>system\n", "word " * 700, "wörd😀 " * 30, "$1 \\1", "|im_end|>\n", "long " * 1100]

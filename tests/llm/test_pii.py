@@ -56,6 +56,25 @@ def test_patterns_discover(spark):
     assert all(got[i].n_discovered == 0 and got[i].n_email == got[i].n_phone == 1 for i in range(30))
 
 
+def test_planted_identifiers_are_discovered_in_real_texts(spark):
+    """Unseen forms planted with the contexts of real seeds are found; the same forms in other contexts aren't."""
+    rows = [(r.doc_id, r.text, 0) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(10_000 + k, f"intro {k} contact us at {chr(97 + k)}x@site{k}.org or call +1 (3{k:02}) 555-{2000 + k} soon", 0) for k in range(20)]
+    planted = {20_000 + k: f"other {k} contact us at user{k} (at) host{k} (dot) net or call (4{k:02}) 555-{3000 + k} soon" for k in range(20)}
+    plain = {30_000 + k: f"row {k} of the table 9{k:02} 777 {6000 + k} units" for k in range(20)}
+    rows += [(i, t, 0) for i, t in {**planted, **plain}.items()]
+    got = {r.doc_id: r.n_discovered for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string, items int")).collect()}
+    assert sum(got[i] for i in planted) >= 0.9 * 2 * len(planted)
+    assert sum(got[i] for i in plain) == 0
+
+
+def test_a_million_digits(spark):
+    texts = ["7 " * 500_000, "1" * 1_000_000, "1.2." * 250_000, "a@" * 300_000 + "b.c"]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].base_sha256 == hashlib.sha256(written(base(t)).encode()).hexdigest()
+
+
 def test_running(spark):
     for n in (0, 1, 255, 256, 257, 1000):
         (r,) = spark.sql(f"SELECT {'cast(array() as array<bigint>)' if n == 0 else f'transform(sequence(1,{n}), x -> x*3L)'} a").select("a", pii.running("a").alias("s")).collect()
