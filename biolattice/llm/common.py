@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import drop as drop
 from ..plans.tables import saved as saved
 
 #: White space as all operators here understand it: space and U+0009 to U+000D.

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import drop, saved
 
 #: Code points a chunk has at least and at most.
 MIN_CHUNK, MAX_CHUNK = 192, 2048
@@ -37,7 +37,7 @@ def chunks(norm: Column, smallest: int = MIN_CHUNK, largest: int = MAX_CHUNK) ->
 def recipes(docs: DataFrame, hash_bits: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
     """A written row for each row: doc_id, the columns in keep, n_points, text_sha256, recipe (ordered chunk identifiers) and ranks (see below).
 
-    Texts are cut once, and written once as chunks.  The distinct chunks tell which identifiers stand for several chunks.  Only those are numbered, and only documents that have one
+    Texts are cut once, and written once as chunks, which are dropped when the recipes are written.  The distinct chunks tell which identifiers stand for several chunks.  Only those are numbered, and only documents that have one
     get ranks: the numbers of their shared identifiers, in order.  So two texts are equal if and only if both recipe and ranks are; a collision costs no more than the rows of its chunks.
     hash_bits under 64 makes identifiers collide, for tests.
     """
@@ -51,11 +51,16 @@ def recipes(docs: DataFrame, hash_bits: int = 64, keep: tuple[str, ...] = ()) ->
     shared = saved(distinct.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h"), "exact-dedup-shared")
     none = F.array().cast("array<int>")
     if shared.isEmpty():
-        return cut.select("doc_id", *keep, "n_points", "text_sha256", "recipe", none.alias("ranks"))
+        listed = saved(cut.select("doc_id", *keep, "n_points", "text_sha256", "recipe", none.alias("ranks")), "exact-dedup-recipes")
+        drop(cut)
+        return listed
     numbered = distinct.join(shared, "_h").withColumn("_rank", F.row_number().over(W.partitionBy("_h").orderBy("_chunk")))
     hit = cut.select("_id", F.posexplode("_chunks").alias("_pos", "_chunk")).withColumn("_h", code(F.col("_chunk"))).join(shared, "_h", "left_semi")
     ranks = hit.join(saved(numbered, "exact-dedup-numbers"), ["_h", "_chunk"]).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_pos", "_rank"))).alias("_ranks"))
-    return cut.join(ranks, "_id", "left").select("doc_id", *keep, "n_points", "text_sha256", "recipe", F.coalesce("_ranks._rank", none).alias("ranks"))
+    listed = cut.join(ranks, "_id", "left").select("doc_id", *keep, "n_points", "text_sha256", "recipe", F.coalesce("_ranks._rank", none).alias("ranks"))
+    listed = saved(listed, "exact-dedup-recipes")
+    drop(cut)
+    return listed
 
 
 def exact_dedup(docs: DataFrame, hash_bits: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, saved
+from .common import drop, id_text, saved
 from .components import components
 from .walk import batches
 from .words import mixed, shingles
@@ -223,6 +223,7 @@ def near_duplicates(docs: DataFrame, threshold: int = LINK, keep: tuple[str, ...
         joined = components(more.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
         alone = joined.select(F.col("node"), F.col("node").alias("root")).join(roots.select("node"), "node", "left_anti")
         roots = roots.unionByName(alone).withColumnRenamed("root", "_r").join(joined.select(F.col("node").alias("_r"), "root"), "_r", "left").select("node", F.coalesce("root", "_r").alias("root"))
+    drop(texts)
     named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = named.join(smallest, "root").select("node", "component_id", F.hex("root").alias("component"))
