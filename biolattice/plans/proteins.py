@@ -71,8 +71,8 @@ def api_entries(rows: DataFrame) -> Graph:
     kind = (
         F.when(F.col("entryType") == "UniProtKB reviewed (Swiss-Prot)", "sprot")
         .when(F.col("entryType") == "UniProtKB unreviewed (TrEMBL)", "trembl")
-        .when(F.col("entryType") == "Inactive", F.raise_error(F.concat(F.lit("inactive record: "), F.coalesce("primaryAccession", F.lit("")))).cast("string"))
-        .otherwise(F.raise_error(F.concat(F.lit("unable to type: "), F.coalesce("entryType", F.lit("null")))).cast("string"))
+        .when(F.col("entryType") == "Inactive", F.raise_error(F.concat(F.lit("entry is inactive: "), F.coalesce("primaryAccession", F.lit("")))).cast("string"))
+        .otherwise(F.raise_error(F.concat(F.lit("entry of unknown type: "), F.coalesce("entryType", F.lit("null")))).cast("string"))
     )
     r = rows.withColumn("_kind", kind).withColumn("ord", F.monotonically_increasing_id())
     r = r.withColumn("_ids", F.concat(F.array("primaryAccession"), F.coalesce("secondaryAccessions", F.array().cast("array<string>"))))

@@ -9,6 +9,8 @@ from .functions import gpr, keys, sequences, tags
 from .functions.casts import try_columns
 from .operators import curation, graph, profile, store, traverse
 from .operators.graph import Graph
+from .plans import biochem
+from .sources import summaries
 
 QUERIES, SQL = {}, {}
 
@@ -140,10 +142,10 @@ def insert_missing(spark, sf):
 
 @query("""
 SELECT 'Nation/' || n_nationkey AS src_id, 'Customer/' || c_custkey AS dst_id, sha256('Nation/' || n_nationkey) AS src_eid, sha256('Customer/' || c_custkey) AS dst_eid
-FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey < 3
+FROM customer JOIN nation ON c_nationkey = n_nationkey
 """)
 def edge_endpoint_resolve(spark, sf):
-    c, n = _t(spark, sf, "customer"), _t(spark, sf, "nation").where("n_regionkey < 3")
+    c, n = _t(spark, sf, "customer"), _t(spark, sf, "nation")
     name = lambda label, k: F.concat(F.lit(label + "/"), F.col(k))
     stored = n.select(name("Nation", "n_nationkey").alias("id")).unionByName(c.select(name("Customer", "c_custkey").alias("id"))).withColumn("eid", store.eid())
     return store.endpoints(c.select(name("Nation", "c_nationkey").alias("src_id"), name("Customer", "c_custkey").alias("dst_id")), stored).select("src_id", "dst_id", "src_eid", "dst_eid")
@@ -161,10 +163,68 @@ def node_upsert(spark, sf):
 
 
 @query("""
-SELECT 'Nation/' || n_nationkey AS id, 'has_customer' AS edge_label, 'Customer/' || c_custkey AS neighbor FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = 2
+WITH e AS (SELECT c_custkey, c_nationkey, c_name FROM customer),
+o AS (SELECT *, c_name AS note, 100 AS at FROM e WHERE c_nationkey < 15), n AS (SELECT *, c_name || '*' AS note, 200 AS at FROM e WHERE c_nationkey BETWEEN 10 AND 20)
+SELECT 'Nation/' || coalesce(o.c_nationkey, n.c_nationkey) || '>' || coalesce(o.c_custkey, n.c_custkey) AS id, coalesce(o.note, n.note) AS note, coalesce(o.at, n.at) AS created_at, coalesce(n.at, o.at) AS updated_at
+FROM o FULL JOIN n ON o.c_custkey = n.c_custkey
+""")
+def edge_upsert(spark, sf):
+    c = _t(spark, sf, "customer")
+    e = c.select(
+        F.concat(F.lit("Nation/"), F.col("c_nationkey")).alias("src_id"), F.concat(F.lit("Customer/"), F.col("c_custkey")).alias("dst_id"),
+        F.concat(F.lit("Nation/"), F.col("c_nationkey"), F.lit(">"), F.col("c_custkey")).alias("id"), F.col("c_name").alias("note"), "c_nationkey",
+    )
+    old = e.where("c_nationkey < 15").drop("c_nationkey").withColumns({"created_at": F.lit(100).cast("long"), "updated_at": F.lit(100).cast("long")})
+    new = e.where("c_nationkey >= 10").withColumn("note", F.concat("note", F.lit("*")))
+    # nations above 20 aren't stored, so their edges are left out
+    stored = e.where("c_nationkey <= 20").select(F.col("src_id").alias("id")).unionByName(e.select(F.col("dst_id").alias("id"))).distinct()
+    return store.upsert_edges(old, new, stored, 200).select("id", "note", "created_at", "updated_at")
+
+
+@query("""
+SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)
+""")
+def delete(spark, sf):
+    c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return store.delete(c, _t(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("id")))
+
+
+@query("""
+SELECT DISTINCT o_custkey AS key, CASE WHEN o_custkey % 3 = 0 THEN 'cached' ELSE c_name END AS value, o_custkey % 3 <> 0 AS fetched FROM orders JOIN customer ON o_custkey = c_custkey
+""")
+def cache_misses(spark, sf):
+    c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
+    cache = c.where("key % 3 = 0").withColumn("value", F.lit("cached"))
+    rows, more = summaries.read_through(_t(spark, sf, "orders").select(F.col("o_custkey").alias("key")), cache, lambda misses: c.join(misses, "key", "left_semi"))
+    return rows.join(more.select("key", F.lit(True).alias("_new")), "key", "left").select("key", "value", F.col("_new").isNotNull().alias("fetched"))
+
+
+@query("""
+SELECT p_partkey, p_type AS dotted, p_brand AS plain, 2 AS n FROM part
+""")
+def map_key_unescape(spark, sf):
+    m = keys.unescape_keys(F.create_map(F.lit("a#b"), "p_name", F.lit("c"), "p_brand", F.lit("a.b"), "p_type"))
+    return _t(spark, sf, "part").select("p_partkey", m.alias("m")).select("p_partkey", F.col("m")["a.b"].alias("dotted"), F.col("m")["c"].alias("plain"), F.size("m").alias("n"))
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, CASE WHEN p_size % 2 = 0 THEN p_type END AS formula, p_brand || '; ' || p_type AS notes, 3 + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS n FROM part
+""")
+def null_drop(spark, sf):
+    made = F.create_map(
+        F.lit("id"), F.col("p_partkey").cast("string"), F.lit("name"), "p_name", F.lit("formula"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")),
+        F.lit("notes"), F.to_json(F.array("p_brand", "p_type")), F.lit("aliases"), F.lit("[]"),
+    )
+    d = biochem.compounds(_t(spark, sf, "part").select(made.alias("props"), F.col("p_partkey").alias("ord"))).select("_id", F.col("_data").alias("d"))
+    at = lambda k: F.try_element_at("d", F.lit(k)).alias(k)
+    return d.select(F.col("_id").alias("id"), at("name"), at("formula"), at("notes"), F.size("d").alias("n"))
+
+
+@query("""
+SELECT 'Nation/' || n_nationkey AS id, 'has_customer' AS edge_label, 'Customer/' || c_custkey AS neighbor FROM nation JOIN customer ON c_nationkey = n_nationkey
 """)
 def children(spark, sf):
-    ids = _t(spark, sf, "nation").where("n_regionkey = 2").select(F.concat(F.lit("Nation/"), F.col("n_nationkey")).alias("id"))
+    ids = _t(spark, sf, "nation").select(F.concat(F.lit("Nation/"), F.col("n_nationkey")).alias("id"))
     return traverse.children(_trade(spark, sf), ids)
 
 

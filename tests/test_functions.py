@@ -82,7 +82,7 @@ def test_gene_rules(rule, full, narrow):
 def test_gene_rules_as_columns(spark):
     rows = spark.createDataFrame([(r,) for r, _, _ in GPR], "rule string").select(gpr.complexes("rule").alias("c")).collect()
     assert [r.c for r in rows] == [f for _, f, _ in GPR]
-    assert gpr.note_rule("<p>GENE_ASSOCIATION: (a and b)</p>") == "(a and b)" and gpr.note_rule("x") is None and gpr.note_rule("GENE ASSOCIATION: none") is None
+    assert gpr.note_rule("<p>GENE_ASSOCIATION: (a and b)</p>") == "(a and b)" and gpr.note_rule("x") is None and gpr.note_rule("GENE ASSOCIATION: none") is None and gpr.note_rule("<p>gene association : b1 or b2\nnext</p>") == "b1 or b2" and gpr.note_rule("GENE_ASSOCIATION:") is None
 
 
 VERDICT = """```xml
@@ -99,7 +99,7 @@ def test_verdict(spark):
     assert v[0].conflicts[0].asDict() == {"type": "name", "severity": "info", "description": "", "nodes_involved": ["a", "b"], "suggested_resolution": ""}
     assert [r.confidence for r in v[0].reactions] == [0.5, None] and v[0].reactions[0].substrates == ["x", "y"] and v[0].reactions[1].direction == "unknown"
     assert v[0].issues[0].severity == "high" and v[0].issues[0].affected_elements == []
-    assert v[1].error.startswith("Response missing") and v[2].error.startswith("Could not") and v[3].error
+    assert v[1].error.startswith("no evaluation") and v[2].error.startswith("empty evaluation") and v[3].error
     assert v[4].confidence == 0.7 and v[4].gene_function == "Unknown"
 
 

@@ -203,7 +203,7 @@ def test_protein_api(spark, tmp_path):
     assert json.loads(g.node("uniprotkb_sprot", "P1_P2").first().props["gene"]) == [{"a": 1}] and g.node("uniprotkb_trembl", "A1").first().props["name"] == '["A_B"]'
     for bad in ("Inactive", "other"):
         path = write(tmp_path / f"{bad}.json", json.dumps({"entryType": bad, "primaryAccession": "X"}))
-        with pytest.raises(Exception, match="inactive record|unable to type"):
+        with pytest.raises(Exception, match="entry is inactive|entry of unknown type"):
             protein_plan.api_entries(proteins.api_entries(spark, path)).nodes.collect()
 
 
