@@ -69,6 +69,17 @@ def last_wins(entries: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]))
 
 
+def quoted(c: Column | str) -> Column:
+    """Percent-encoded as part of a URL's path: all but letters, digits and `-._~` as UTF-8 bytes; null for null."""
+    form = F.url_encode(col(c))
+    return F.replace(F.replace(F.replace(form, F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def role_key(c: Column | str) -> Column:
+    """A functional role's name for comparison: in lower case, letters and digits only."""
+    return F.regexp_replace(F.lower(col(c)), r"[^\p{L}\p{N}]+", "")
+
+
 def split_composite(c: Column | str) -> tuple[Column, Column]:
     """Both parts of `left@right`; null unless there is exactly one `@`."""
     parts = F.split(col(c), "@")

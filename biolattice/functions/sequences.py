@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from .keys import col
 
@@ -55,3 +59,15 @@ def bad_letters(c: Column | str, alphabet: str, upper: bool = True) -> Column:
     text = F.upper(col(c)) if upper else col(c)
     rest = F.regexp_replace(text, f"[{alphabet}]+", "")
     return F.when(text.isNotNull(), F.array_sort(F.array_distinct(F.filter(F.split(rest, ""), lambda x: x != ""))))
+
+
+@F.pandas_udf(BinaryType())
+def compressed(seqs: pd.Series) -> pd.Series:
+    """Deflated UTF-8 with a zlib header, as sequence stores keep it; null for null."""
+    return seqs.map(lambda s: None if s is None else zlib.compress(s.encode()))
+
+
+@F.pandas_udf(StringType())
+def decompressed(packed: pd.Series) -> pd.Series:
+    """The sequence of a compressed one; null for null."""
+    return packed.map(lambda b: None if b is None else zlib.decompress(b).decode())

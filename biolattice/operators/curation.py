@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import last_wins, split_composite
+from ..functions.keys import split_composite
+
+#: What a document's maps are made of: where the log first names a target, the target, and its last action.
+_SET = "array<struct<_first:struct<pos:bigint,timestamp:bigint,user_id:string,action:string,comment:string>,target:string,action:string>>"
 
 EVENT = (
     "collection string, doc_id string, pos bigint, timestamp bigint, user_id string, action string, target string, comment string, kind string"
@@ -62,24 +65,28 @@ def from_seed(documents: DataFrame, order: str = "ord") -> DataFrame:
 def documents(events: DataFrame, collection: str, wanted: DataFrame | None = None) -> DataFrame:
     """doc_id, fields (map of the current actions), log, comments and attributes of a collection's documents.
 
-    wanted (doc_id) adds empty documents for ids without events: empty maps and lists.
+    wanted (doc_id) adds empty documents for ids without events: empty maps and lists.  The maps are made by an aggregate over each target, so a long log is walked once;
+    their keys stand in the order in which the log first names them, and events without a target set nothing.
     """
     rows = events.where(F.col("collection") == collection)
+    place = F.struct("pos", "timestamp", "user_id", "action", "comment")
+    current = rows.where(F.col("kind").isin(COLLECTIONS[collection], "attributes") & F.col("target").isNotNull())
+    current = current.groupBy("doc_id", "kind", "target").agg(F.max_by("action", place).alias("action"), F.min(place).alias("_first"))
+    set_by = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("_first", "target", "action"))))
+    current = current.groupBy("doc_id").agg(set_by(COLLECTIONS[collection]).alias("_fields"), set_by("attributes").alias("_set"))
+    pairs = lambda c: F.map_from_entries(F.transform(F.coalesce(c, F.array().cast(_SET)), lambda e: F.struct(e["target"], e["action"])))
     entry = F.struct("pos", "timestamp", "user_id", "action", "target", "comment")
     listed = lambda cond: F.array_sort(F.collect_list(F.when(cond, entry)))
     kind = F.col("kind")
-    grouped = rows.groupBy("doc_id").agg(
-        listed(kind == COLLECTIONS[collection]).alias("log"), listed(kind == "comments").alias("_comments"), listed(kind == "attributes").alias("_attributes")
-    )
+    grouped = rows.groupBy("doc_id").agg(listed(kind == COLLECTIONS[collection]).alias("log"), listed(kind == "comments").alias("_comments")).join(current, "doc_id", "left")
     if wanted is not None:
         grouped = wanted.select("doc_id").distinct().join(grouped, "doc_id", "left")
     none = F.array().cast("array<struct<pos:bigint,timestamp:bigint,user_id:string,action:string,target:string,comment:string>>")
-    grouped = grouped.withColumns({c: F.coalesce(c, none) for c in ("log", "_comments", "_attributes")})
-    pairs = lambda c: last_wins(F.transform(c, lambda e: F.struct(e["target"].alias("key"), e["action"].alias("value"))))
+    grouped = grouped.withColumns({c: F.coalesce(c, none) for c in ("log", "_comments")})
     return grouped.select(
         "doc_id",
-        pairs("log").alias("fields"),
+        pairs("_fields").alias("fields"),
         "log",
         F.transform("_comments", lambda e: F.struct(e["timestamp"].alias("timestamp"), e["user_id"].alias("user_id"), e["comment"].alias("comment"))).alias("comments"),
-        pairs("_attributes").alias("attributes"),
+        pairs("_set").alias("attributes"),
     )

@@ -48,10 +48,17 @@ def edges(df: DataFrame, src: Column | str, label: str | Column, dst: Column | s
 def _one(df: DataFrame, pick) -> DataFrame:
     """One row per id by an aggregate, which combines before it shuffles, so that an id with many rows is no one's task.
 
+    Nodes are grouped by label and key, edges by source, label and target, and ids are made afterwards: filters on any of these then reach the rows before they are grouped.
     Each column is picked by itself: the picks see the rows in one order and so take the same row, and columns that no one reads are pruned.
     """
-    rest = [c for c in df.columns if c != "id"]
-    return df.groupBy("id").agg(*[pick(F.col(c), F.col("ord")).alias(c) for c in rest]).select(*df.columns)
+    of_node, of_edge = ("label", "key"), ("src_id", "label", "dst_id")
+    by, made = ("id",), F.col("id")
+    if {*of_node} <= {*df.columns}:
+        by, made = of_node, F.concat("label", F.lit("/"), "key")
+    elif {*of_edge} <= {*df.columns}:
+        by, made = of_edge, edge_id(*of_edge)
+    rest = [c for c in df.columns if c not in (*by, "id")]
+    return df.groupBy(*by).agg(*[pick(F.col(c), F.col("ord")).alias(c) for c in rest]).select(*[made.alias(c) if c == "id" else c for c in df.columns])
 
 
 def first_wins(df: DataFrame) -> DataFrame:
@@ -65,8 +72,8 @@ def last_wins(df: DataFrame) -> DataFrame:
 
 
 def guarded(edge_rows: DataFrame, node_rows: DataFrame) -> DataFrame:
-    """Edges whose both ends are nodes."""
-    ids = node_rows.select("id")
+    """Edges whose both ends are nodes; nodes may repeat."""
+    ids = node_rows.select("id").distinct()
     return edge_rows.join(ids.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi").select(*edge_rows.columns)
 
 
@@ -78,9 +85,13 @@ class Graph:
     @staticmethod
     def build(node_parts: list[DataFrame], edge_parts: list[DataFrame], keep_all_edges: bool = False) -> Graph:
         """Nodes first-wins, edges last-wins (or all of them), edges without both ends left out."""
-        node_rows = first_wins(reduce(DataFrame.unionByName, node_parts))
-        edge_rows = guarded(reduce(DataFrame.unionByName, edge_parts), node_rows)
-        return Graph(node_rows, edge_rows if keep_all_edges else last_wins(edge_rows))
+        node_rows = reduce(DataFrame.unionByName, node_parts)
+        edge_rows = reduce(DataFrame.unionByName, edge_parts)
+        return Graph(first_wins(node_rows), guarded(edge_rows if keep_all_edges else last_wins(edge_rows), node_rows))
+
+    def query(self, text: str, args: dict | None = None) -> DataFrame:
+        """The result of a SQL query in which {nodes} and {edges} are the graph's tables; args: values of its :named parameters."""
+        return self.nodes.sparkSession.sql(text, args=args, nodes=self.nodes, edges=self.edges)
 
     def concat(self, other: Graph) -> Graph:
         """Union in which the other graph's nodes and edges win."""

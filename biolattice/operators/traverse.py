@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import saved
@@ -38,13 +40,15 @@ def expand(graph: Graph, roots: DataFrame, allowed: dict[str, tuple[bool, bool]]
 
     allowed: by label, whether children and parents are followed; nodes of other labels are leaves.  A node has its shortest depth.  One round of joins per
     level, whose frontier is written to the shared folder, so the plan stays short and lost executors cost a level at most.  materialize: write the graph's ids and
-    edges first, for a graph that is computed rather than read.
+    those edges first that can be followed, for a graph that is computed rather than read.
     """
-    if materialize:
-        graph = Graph(saved(graph.nodes.select("id", "label")), saved(graph.edges))
-    labels = graph.nodes.select("id", "label")
     down = [k for k, (child, _) in allowed.items() if child]
     up = [k for k, (_, parent) in allowed.items() if parent]
+    if materialize:
+        # an id begins with its label, so edges from or to other labels are never followed
+        starts = [F.startswith(c, F.lit(f"{label}/")) for c, labels in (("src_id", down), ("dst_id", up)) for label in labels]
+        graph = Graph(saved(graph.nodes.select("id", "label")), saved(graph.edges.where(reduce(Column.__or__, starts, F.lit(False)))))
+    labels = graph.nodes.select("id", "label")
     seen = saved(roots.select("id").distinct().join(labels.select("id"), "id", "left_semi").withColumn("depth", F.lit(0)))
     frontier, met = seen, []
     for depth in range(1, max_depth + 1):

@@ -294,12 +294,16 @@ def seed_last_doc(spark, sf):
 
 @query("""
 WITH w AS (SELECT DISTINCT c_custkey AS k FROM customer)
-SELECT 'rxn' || k || '@t' || k % 3 AS doc_id, coalesce(n, 0) AS n_log, coalesce(t, 0) AS n_fields FROM w
-LEFT JOIN (SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS t FROM events GROUP BY user_id) ON user_id = k
+SELECT 'rxn' || k || '@t' || k % 3 AS doc_id, coalesce(n, 0) AS n_log, coalesce(t, 0) AS n_fields, coalesce(f, '') AS fields FROM w
+LEFT JOIN (SELECT user_id, sum(n)::BIGINT AS n, count(*) AS t, string_agg(event_type || '=' || a, ';' ORDER BY event_type) AS f
+  FROM (SELECT user_id, event_type, count(*) AS n, 'a' || max(event_id) AS a FROM events GROUP BY ALL) GROUP BY user_id) ON user_id = k
 """)
 def curation_documents(spark, sf):
     wanted = _t(spark, sf, "customer").select(F.concat(F.lit("rxn"), F.col("c_custkey"), F.lit("@t"), F.col("c_custkey") % 3).alias("doc_id"))
-    return curation.documents(_events(spark, sf), "template_reactions", wanted).select("doc_id", F.size("log").cast("long").alias("n_log"), F.size(F.map_keys("fields")).cast("long").alias("n_fields"))
+    entries = F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return curation.documents(_events(spark, sf), "template_reactions", wanted).select(
+        "doc_id", F.size("log").cast("long").alias("n_log"), F.size("fields").cast("long").alias("n_fields"), F.array_join(entries, ";").alias("fields")
+    )
 
 
 @query("""
@@ -482,7 +486,8 @@ def bulk_load(spark, sf):
 WITH contig AS (SELECT 'c' || s_suppkey AS id, translate(sha256(s_name), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM supplier),
 protein AS (SELECT 'P' || p_partkey AS id, upper(p_type) AS seq FROM part),
 f AS (SELECT 'c' || (l_suppkey + l_linenumber % 2 * 3) AS contig_id, CASE WHEN l_linestatus = 'O' THEN 'gene' ELSE 'CDS' END AS type, l_linenumber AS s, l_linenumber + 10 + l_partkey % 5 AS e,
-  l_returnflag = 'R' AS minus, 'b' || l_orderkey AS tag, 'P' || (l_partkey + l_linenumber % 2 * 100) AS protein_id FROM lineitem),
+  l_returnflag = 'R' AS minus, 'b' || l_orderkey AS tag, 'P' || (l_partkey + l_linenumber % 2 * 100) AS protein_id,
+  ((l_linenumber::BIGINT * 1073741824 + l_partkey) * 8388608 + l_suppkey) * 2 + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS ord FROM lineitem),
 g AS (SELECT f.*, contig_id || '_' || type || '_' || s || '_' || e AS fid, c.seq AS cseq, substr(c.seq, s, e - s + 1) AS cut, p.seq AS pseq
   FROM f LEFT JOIN contig c ON c.id = contig_id LEFT JOIN protein p ON p.id = protein_id AND type = 'CDS'),
 d AS (SELECT *, CASE WHEN type = 'gene' AND cseq IS NOT NULL THEN CASE WHEN minus THEN reverse(translate(cut, 'ACGT', 'TGCA')) ELSE cut END END AS dna FROM g)
@@ -497,6 +502,8 @@ UNION ALL SELECT 'edge', 'has_feature', count(DISTINCT (cseq, fid)) FROM d WHERE
 UNION ALL SELECT 'edge', 'has_locus_tag', count(DISTINCT (fid, tag)) FROM d
 UNION ALL SELECT 'edge', 'has_dna_sequence', count(DISTINCT (fid, dna)) FROM d WHERE dna <> ''
 UNION ALL SELECT 'edge', 'has_protein_sequence', count(DISTINCT (fid, pseq)) FROM d WHERE pseq IS NOT NULL
+UNION ALL SELECT 'edge', 'has_protein_translation', count(DISTINCT (dna, pseq)) FROM (SELECT tag, arg_max(dna, ord) AS dna FROM d WHERE dna <> '' GROUP BY tag)
+  JOIN (SELECT tag, arg_max(pseq, ord) AS pseq FROM d WHERE pseq IS NOT NULL GROUP BY tag) USING (tag)
 UNION ALL SELECT 'unmatched', 'contig_not_found', count(*) FROM d WHERE cseq IS NULL
 UNION ALL SELECT 'unmatched', 'contig_not_found_for_dna', count(*) FROM d WHERE cseq IS NULL AND type = 'gene'
 UNION ALL SELECT 'unmatched', 'protein_not_found', count(*) FROM d WHERE pseq IS NULL AND type = 'CDS'
@@ -507,15 +514,17 @@ def genome_transform(spark, sf):
     contigs = _t(spark, sf, "supplier").select(F.concat(F.lit("c"), "s_suppkey").alias("id"), F.translate(F.sha2("s_name", 256), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"), F.col("s_suppkey").alias("ord"))
     proteins = _t(spark, sf, "part").select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.upper("p_type").alias("seq"), F.col("p_partkey").alias("ord"))
     odd, kind = F.col("l_linenumber") % 2, F.when(F.col("l_linestatus") == "O", "gene").otherwise("CDS")
-    protein_id = F.concat(F.lit("P"), F.col("l_partkey") + odd * 100)
+    protein_id, minus = F.concat(F.lit("P"), F.col("l_partkey") + odd * 100), F.col("l_returnflag") == "R"
     features = _t(spark, sf, "lineitem").select(
         F.concat(F.lit("c"), F.col("l_suppkey") + odd * 3).alias("contig_id"), F.lit("table").alias("source"), kind.alias("feature_type"), F.col("l_linenumber").cast("long").alias("start"),
         (F.col("l_linenumber") + 10 + F.col("l_partkey") % 5).alias("end"), F.lit(".").alias("score"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("strand"), F.lit(".").alias("phase"),
-        F.create_map(F.lit("locus_tag"), F.concat(F.lit("b"), "l_orderkey"), F.lit("protein_id"), protein_id).alias("attrs"), F.monotonically_increasing_id().alias("ord"),
+        F.create_map(F.lit("locus_tag"), F.concat(F.lit("b"), "l_orderkey"), F.lit("protein_id"), protein_id).alias("attrs"),
+        # rows of one order that are equal in all of these are alike in all that the graph has of them
+        (((F.col("l_linenumber").cast("long") * (1 << 30) + F.col("l_partkey")) * (1 << 23) + F.col("l_suppkey")) * 2 + minus.cast("long")).alias("ord"),
     )
     made = genome("G", contigs, proteins, features)
     lost = made.unmatched.groupBy("reason").agg(F.count("*").alias("n")).select(F.lit("unmatched").alias("kind"), F.col("reason").alias("label"), "n")
-    return made.graph.summary().where("label <> 'has_protein_translation'").unionByName(lost)
+    return made.graph.summary().unionByName(lost)
 
 
 def _models(spark, sf):
@@ -648,3 +657,105 @@ def protein_transform(spark, sf):
     g = entries(both.select(F.from_json(joined, ENTRY.replace("\n", " ")).alias("e")).select("e.*"))
     eco = g.edges.where(F.col("props")["eco"].isNotNull()).groupBy(F.col("props")["eco"].alias("label")).agg(F.count("*").alias("n"))
     return g.summary().unionByName(eco.select(F.lit("eco").alias("kind"), "label", "n"))
+
+
+@query("""
+SELECT 'Nation/' || n_nationkey AS id, n_name AS name, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL HAVING count(*) >= 5
+""")
+def graph_query(spark, sf):
+    text = """
+    SELECT v.id, v.props['name'] AS name, count(*) AS n FROM {edges} e JOIN {nodes} v ON v.id = e.src_id WHERE v.label = :label GROUP BY ALL HAVING count(*) >= :least
+    """
+    return _trade(spark, sf, orders=False).query(text, {"label": "Nation", "least": 5})
+
+
+@query("SELECT p_partkey, sha256(upper(p_name)) AS hash, upper(p_name) AS seq, upper(p_name) AS again FROM part")
+def sequence_compression(spark, sf):
+    packed = _t(spark, sf, "part").select("p_partkey", keys.digest("p_name", "upper").alias("hash"), sequences.compressed(F.upper("p_name")).alias("z"))
+    twice = sequences.compressed(sequences.decompressed("z"))
+    return packed.select("p_partkey", "hash", sequences.decompressed("z").alias("seq"), sequences.decompressed(twice).alias("again"))
+
+
+@query("SELECT page_id, url_encode(url) AS quoted FROM pages")
+def url_quote(spark, sf):
+    return _t(spark, sf, "pages").select("page_id", keys.quoted("url").alias("quoted"))
+
+
+@query("SELECT p_partkey, regexp_replace(lower(p_type || ' (' || p_brand || '), ' || p_size), '[^a-z0-9]+', '', 'g') AS role FROM part")
+def role_key(spark, sf):
+    role = F.concat("p_type", F.lit(" ("), "p_brand", F.lit("), "), F.col("p_size").cast("string"))
+    return _t(spark, sf, "part").select("p_partkey", keys.role_key(role).alias("role"))
+
+
+@query("""
+SELECT DISTINCT 'ProteinSequence/' || sha256(p_name) AS src_id, 'has_annotation' AS label, 'ProteinAnnotation/' || replace(f, ' ', '_') AS dst_id, p_size AS quality, 'm' AS method
+FROM (SELECT *, CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN 'NONE' ELSE trim(p_type) END AS f FROM part)
+""")
+def annotation(spark, sf):
+    function = F.when(F.col("p_size") % 5 == 0, " ").when(F.col("p_size") % 7 != 0, F.concat(F.lit(" "), "p_type"))
+    return store.annotation(_t(spark, sf, "part").select(F.sha2("p_name", 256).alias("hash"), function.alias("function"), F.col("p_size").alias("quality")), "m")[1]
+
+
+@query("""
+SELECT l_orderkey AS batch, 'h' || l_orderkey % 3 AS host,
+  '[' || string_agg('{"step":"s' || l_linenumber || '","parameters":"' || l_returnflag || ' ' || l_linestatus || '"}', ',' ORDER BY l_linenumber, l_returnflag, l_linestatus) || ']' AS execs
+FROM lineitem GROUP BY l_orderkey
+""")
+def execution_record(spark, sf):
+    runs = _t(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("batch"), F.concat(F.lit("h"), F.col("l_orderkey") % 3).alias("host"), F.array("l_returnflag", "l_linestatus").alias("parameters"),
+        F.concat(F.lit("s"), F.col("l_linenumber")).alias("step"), F.col("l_linenumber").alias("ord"),
+    )
+    return store.execution(runs)
+
+
+@query("""
+SELECT 'species' AS kind, 'm' || p_partkey % 3 AS model_id, CASE WHEN p_partkey % 2 = 0 THEN 'q' ELSE 'p' END || p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'c0' WHEN 1 THEN 'e' ELSE 'x' END AS place, count(*) AS n
+FROM part WHERE p_partkey % 5 <> 0 GROUP BY ALL
+UNION ALL SELECT 'product', 'm' || l_orderkey % 3, CASE WHEN l_partkey % 2 = 0 THEN 'q' ELSE 'p' END || l_partkey, NULL, count(*) FROM lineitem WHERE l_returnflag <> 'R' AND l_partkey % 5 <> 0 GROUP BY ALL
+""")
+def model_translate(spark, sf):
+    from .plans.models import translated
+
+    p, k = _t(spark, sf, "part"), F.col("p_partkey")
+    names = p.where(k % 2 == 0).select(F.concat(F.lit("p"), k).alias("old_id"), F.concat(F.lit("q"), k).alias("new_id")).distinct()
+    places = spark.createDataFrame([("c", "c0")], "old_id string, new_id string")
+    m = translated(_models(spark, sf), names, places, p.where(k % 5 == 0).select(F.concat(F.lit("p"), k).alias("id")))
+    of = lambda name: F.col("props")[name]
+    species = m.species.select(F.lit("species").alias("kind"), "model_id", of("id").alias("id"), of("compartment").alias("place"))
+    products = m.reactions.select("model_id", F.explode("products").alias("s")).select(F.lit("product").alias("kind"), "model_id", F.col("s.species").alias("id"), F.lit(None).cast("string").alias("place"))
+    return species.unionByName(products).groupBy("kind", "model_id", "id", "place").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH c AS (SELECT *, CASE WHEN c_custkey % 2 = 0 THEN 'uniprotkb_sprot' ELSE 'uniprotkb_trembl' END AS k FROM customer)
+SELECT 'node' AS kind, k AS label, count(*) AS n FROM c GROUP BY k
+UNION ALL SELECT 'node', 'uniprotkb_accession', count(*) + count(DISTINCT c_nationkey) FROM c
+UNION ALL SELECT 'node', 're_seq_protein', count(DISTINCT upper(c_mktsegment)) FROM c
+UNION ALL SELECT 'edge', k || '_has_accession', 2 * count(*) FROM c GROUP BY k
+UNION ALL SELECT 'edge', k || '_has_protein_sequence', count(*) FROM c GROUP BY k
+""")
+def protein_api_transform(spark, sf):
+    from .plans.proteins import api_entries
+
+    key, none = F.col("c_custkey").cast("string"), F.lit(None).cast("string")
+    kind = F.when(F.col("c_custkey") % 2 == 0, "UniProtKB reviewed (Swiss-Prot)").otherwise("UniProtKB unreviewed (TrEMBL)")
+    rows = _t(spark, sf, "customer").select(
+        kind.alias("entryType"), F.concat(F.lit("P"), key).alias("primaryAccession"), F.array(F.concat(F.lit("A"), F.col("c_nationkey"))).alias("secondaryAccessions"), F.concat(F.lit("N"), key).alias("uniProtkbId"),
+        none.alias("proteinExistence"), none.alias("genes"), none.alias("comments"), F.col("c_name").alias("proteinDescription"), F.struct(F.col("c_mktsegment").alias("value"), F.length("c_mktsegment").alias("length")).alias("sequence"),
+    )
+    return api_entries(rows).summary()
+
+
+@query("""
+SELECT n_nationkey, 'N:' || chr(10) || string_agg('[Customer] ' || c_custkey || ': name=' || c_name, chr(10) ORDER BY c_custkey) || chr(10) || 'E:' || chr(10)
+  || string_agg('Nation/' || n_nationkey || ' -[has_customer]-> Customer/' || c_custkey || ': segment=' || c_mktsegment, chr(10) ORDER BY c_custkey) AS prompt
+FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey
+""")
+def evidence_prompts(spark, sf):
+    rows = _t(spark, sf, "nation").join(_t(spark, sf, "customer"), F.col("c_nationkey") == F.col("n_nationkey"))
+    customer = F.col("c_custkey").cast("string")
+    node = tags.node_line(F.lit("Customer"), customer, graph.props(name=F.col("c_name")))
+    edge = tags.edge_line(F.concat(F.lit("Nation/"), F.col("n_nationkey")), F.lit("has_customer"), F.concat(F.lit("Customer/"), customer), graph.props(segment=F.col("c_mktsegment")))
+    lines = lambda line: rows.select("n_nationkey", F.col("c_custkey").alias("ord"), line.alias("line"))
+    return tags.prompts(lines(node), lines(edge), "n_nationkey", "N:\n{nodes}\nE:\n{edges}")

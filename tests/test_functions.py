@@ -1,6 +1,8 @@
 """Column functions against truth tables."""
 
 import hashlib
+import zlib
+from urllib.parse import quote
 
 import pytest
 
@@ -116,3 +118,17 @@ def test_prompts(spark):
 def test_typed(spark):
     row = spark.sql("SELECT map('Taxid', '9606', 'Coverage', 'x', 'Name', 'n') m").select(*typed(F.col("m"), ["Taxid", "Coverage", "Name", "TaxId"])).first()
     assert tuple(row) == (9606, None, "n", None)
+
+
+def test_compressed_sequences(spark):
+    seqs = ["", "MKV", "M" * 100_000, None, "é"]
+    rows = spark.createDataFrame([(k, s) for k, s in enumerate(seqs)], "k int, s string").withColumn("z", sequences.compressed("s"))
+    got = rows.select("k", "z", sequences.decompressed("z").alias("s")).orderBy("k").collect()
+    assert [r.s for r in got] == seqs and [None if r.z is None else zlib.decompress(r.z).decode() for r in got] == seqs and len(got[2].z) < 1000
+
+
+def test_quoted_and_role_key(spark):
+    texts = ["a b/c?d=é&~*+%.-_", "", None, "Alanine--tRNA ligase (EC 6.1.1.7)"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", keys.quoted("t").alias("q"), keys.role_key("t").alias("r")).orderBy("k").collect()
+    assert [r.q for r in rows] == [None if t is None else quote(t, safe="") for t in texts]
+    assert [r.r for r in rows][1:] == ["", None, "alaninetrnaligaseec6117"]

@@ -31,6 +31,14 @@ def test_build_and_concat(spark):
     assert got == {("L/a", "new"), ("L/b", "3"), ("L/c", "5")} == {(r.id, r.props["v"]) for r in right.nodes.collect()}
     assert {(r.id, r.props["v"]) for r in left.edges.collect()} == {("L/a/e/L/b", "w"), ("L/a/f/L/b", "z")}
     assert a.node("L", "a").count() == 1 and a.of_label("M").count() == 0
+    assert [tuple(r) for r in a.query("SELECT n.key, count(*) AS c FROM {edges} e JOIN {nodes} n ON n.id = e.src_id WHERE n.key = :key GROUP BY n.key", {"key": "a"}).collect()] == [("a", 2)]
+
+
+def test_edges_whose_ids_read_alike_stay_apart(spark):
+    rows = edges(spark, [("L/x", "e", "L/y/e/L/z", "1", 1), ("L/x/e/L/y", "e", "L/z", "2", 2)])
+    assert sorted(r.props["v"] for r in graph.last_wins(rows).collect()) == ["1", "2"]
+    assert {r.id for r in graph.last_wins(rows).collect()} == {"L/x/e/L/y/e/L/z"}
+    assert graph.first_wins(nodes(spark, [])).count() == 0
 
 
 def test_write_and_read(spark, tmp_path):
@@ -113,6 +121,10 @@ def test_traversal(spark):
     seen, met = traverse.expand(g, root, {"A": (True, False), "B": (True, False)}, 3)
     assert {(r.id, r.depth) for r in seen.collect()} == {("A/a", 0), ("B/b", 1), ("B/c", 2), ("C/d", 3)}
     assert met.count() == 5
+    for way in ({"A": (True, False), "B": (True, False)}, {"B": (False, True)}):
+        both = [traverse.expand(g, root, way, 3, materialize=m) for m in (False, True)]
+        assert [{tuple(r) for r in s.collect()} for s, _ in both][0] == {tuple(r) for r in both[1][0].collect()}
+        assert {r.id for r in both[0][1].collect()} == {r.id for r in both[1][1].collect()}
     seen, _ = traverse.expand(g, root, {"A": (True, True), "B": (True, True), "C": (True, True)}, 2)
     assert {(r.id, r.depth) for r in seen.collect()} == {("A/a", 0), ("B/b", 1), ("B/c", 1), ("C/d", 2)}
     assert traverse.expand(g, root, {}, 0)[0].count() == 1
@@ -140,6 +152,7 @@ def test_curation(spark):
     docs = {r.doc_id: r for r in curation.documents(events, "template_reactions", wanted).collect()}
     assert docs["none@t"].fields == {} and docs["none@t"].log == [] and docs["none@t"].comments == [] and docs["none@t"].attributes == {}
     assert docs["rxn1@t"].fields == {"f1": "C", "f2": "D"} and docs["rxn1@t"].comments[0].comment == "a note" and docs["rxn1@t"].attributes == {"k": "v"} and len(docs["rxn1@t"].log) == 4
+    assert [r.k for r in curation.documents(events, "template_reactions").where("doc_id = 'rxn1@t'").select(F.map_keys("fields").alias("k")).collect()] == [["f1", "f2"]]
     rows = spark.createDataFrame([("r", "t", "g@x.1", "yes")], "i string, t string, g string, a string")
     e = curation.event(rows, "reaction_gene_annotation", F.col("i"), F.col("t"), F.col("g"), F.col("a"), F.lit("u"), F.lit(3)).first()
     assert (e.doc_id, e.target, e.kind) == ("r@t", "g@x.1", "genes")
