@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, decontam, exact_dedup, langid, minhash, mixing, pii, quality, urlfilter
+from . import alignment, chat, collocations, ctw, decontam, exact_dedup, langid, minhash, mixing, pii, quality, toxicity, urlfilter
 from .common import table
 
 
@@ -53,5 +53,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_minhash, op4_ctw, op5_language_id, op6_mixing, op7_url_filter, op8_pii, op9_chat_format, op10_decontamination)}
-SQL = {"op1_exact_dedup": exact_dedup.SQL, "op3_minhash": minhash.SQL, "op9_chat_format": chat.SQL}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_quality, op3_minhash, op4_ctw, op5_language_id, op6_mixing, op7_url_filter, op8_pii, op9_chat_format, op10_decontamination, op11_collocations, op12_alignment,
+        op13_toxicity,
+    )
+}
+SQL = {"op1_exact_dedup": exact_dedup.SQL, "op3_minhash": minhash.SQL, "op9_chat_format": chat.SQL, "op11_collocations": collocations.SQL}
