@@ -19,11 +19,11 @@ from .walk import batches
 from .words import mixed
 
 #: Labelled documents used at most (about; picked by hash of the id); bits of a term's hash; code points of a term.
-MOST_LABELLED, BITS, GRAM = 50_000, 20, 5
+MOST_LABELLED, BITS, GRAM = 20_000, 20, 5
 #: A term counts if this many fitted documents have it and its share of toxic ones is this many standard errors off the whole's; at most so many do, the surest.
 LEAST_DOCS, ERRORS, MOST_TERMS = 3, 4.5, 1 << 16
 #: Factors of a term; rounds of averaging, epochs in each, documents in a step, step size, ridge; partitions that fit side by side.
-FACTORS, ROUNDS, EPOCHS, STEP_DOCS, RATE, RIDGE, PARTS = 8, 5, 12, 32, 0.2, 1e-5, 8
+FACTORS, ROUNDS, EPOCHS, STEP_DOCS, RATE, RIDGE, PARTS = 8, 5, 4, 32, 0.2, 1e-5, 8
 #: Score from which a document is predicted toxic.
 LIMIT = 0.7
 
@@ -71,6 +71,19 @@ def distinct_terms(texts: list[str], index: np.ndarray | None = None) -> list[np
     return np.split(keys & ((1 << BITS) - 1), cuts)
 
 
+def _flat(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All documents' terms one after another, and whose each is."""
+    return np.concatenate([*docs, np.zeros(0, np.int64)]), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+
+
+def _sums(rows: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
+    """The rows, one for each term of each document, added up by document."""
+    out, sizes = np.zeros((len(docs), rows.shape[1])), np.array([len(d) for d in docs], np.int64)
+    if len(rows):
+        out[sizes > 0] = np.add.reduceat(rows, (np.cumsum(sizes) - sizes)[sizes > 0])
+    return out
+
+
 class Machine:
     """Bias, weights and factors; index gives the number of a term's hash, -1 for terms that don't count."""
 
@@ -80,10 +93,8 @@ class Machine:
         self.factor = np.random.default_rng(7).normal(scale=0.05, size=(terms, FACTORS))
 
     def raw(self, docs: list[np.ndarray]) -> np.ndarray:
-        ids, at = np.concatenate([*docs, np.zeros(0, np.int64)]), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        total, squares = np.zeros((len(docs), FACTORS)), np.zeros(len(docs))
-        np.add.at(total, at, self.factor[ids])
-        np.add.at(squares, at, (self.factor[ids] ** 2).sum(axis=1))
+        ids, at = _flat(docs)
+        total, squares = _sums(self.factor[ids], docs), _sums((self.factor[ids] ** 2).sum(axis=1, keepdims=True), docs)[:, 0]
         return self.bias + np.bincount(at, self.weight[ids], len(docs)) + 0.5 * ((total**2).sum(axis=1) - squares)
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -98,14 +109,14 @@ class Machine:
             for low in range(0, len(order), STEP_DOCS):
                 some = [docs[i] for i in order[low : low + STEP_DOCS]]
                 off = (self.score(some) - y[order[low : low + STEP_DOCS]]) / len(some)
-                ids, at = np.concatenate([*some, np.zeros(0, np.int64)]), np.repeat(np.arange(len(some)), [len(d) for d in some])
-                total = np.zeros((len(some), FACTORS))
-                np.add.at(total, at, self.factor[ids])
-                used, place = np.unique(ids, return_inverse=True)
-                gw = np.bincount(place, off[at], len(used)) + RIDGE * self.weight[used]
-                gv = np.zeros((len(used), FACTORS))
-                np.add.at(gv, place, off[at, None] * (total[at] - self.factor[ids]))
-                gv += RIDGE * self.factor[used]
+                ids, at = _flat(some)
+                total = _sums(self.factor[ids], some)
+                by = np.argsort(ids, kind="stable")
+                used, first = np.unique(ids[by], return_index=True)
+                slope = off[at, None] * np.hstack([np.ones((len(ids), 1)), total[at] - self.factor[ids]])
+                slope = np.add.reduceat(slope[by], first) if len(ids) else np.zeros((0, FACTORS + 1))
+                gw, gv = slope[:, 0] + RIDGE * self.weight[used], slope[:, 1:]
+                gv = gv + RIDGE * self.factor[used]
                 gb = float(off.sum())
                 past_b += gb * gb
                 past_w[used] += gw**2
