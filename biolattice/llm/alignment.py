@@ -126,18 +126,28 @@ class Alignment:
         self.docs = len(packed)
         # both sides of a document have the same bytes, so the running sum goes on from document to document, one apart lest tokens without bytes meet those of another document
         end_a, end_b = (np.cumsum(size[x]) + np.repeat(np.arange(self.docs), n) for size, x, n in ((a_size, self.a, self.n_a), (b_size, self.b, self.n_b)))
-        common = np.intersect1d(end_a, end_b)
-        self.group_a, self.group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
-        self.group_doc = np.searchsorted(np.cumsum(self.n_a), np.searchsorted(end_a, common), side="right")
+        if not len(self.a):
+            self.group_a = self.group_b = self.group_doc = self.link_a = self.link_b = self.link_doc = _EMPTY
+            self.n_groups = np.zeros(self.docs, np.int64)
+            return
+        ends = np.zeros((2, int(end_a[-1]) + 1), bool)
+        ends[0, end_a] = ends[1, end_b] = True
+        last_a, last_b = ends[1][end_a], ends[0][end_b]  # tokens that end where one of the other side does
+        # of tokens that end at one place only the first opens a group: one a side, or more where tokens have no bytes
+        first_a, first_b = (last & np.append(True, end[1:] != end[:-1]) for last, end in ((last_a, end_a), (last_b, end_b)))
+        self.group_a, self.group_b = (np.cumsum(first) - np.where(last, 1, 0) for first, last in ((first_a, last_a), (first_b, last_b)))
+        self.group_doc = np.repeat(np.arange(self.docs), self.n_a)[first_a]
         self.n_groups = np.bincount(self.group_doc, minlength=self.docs)
-        # tokens that end at a common place: one a side, or more where tokens have no bytes
-        last_a, last_b = np.flatnonzero(np.isin(end_a, common)), np.flatnonzero(np.isin(end_b, common))
-        many_b = np.bincount(self.group_b[last_b], minlength=len(common))
+        last_a, last_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
+        if len(last_a) == len(self.group_doc) == len(last_b):
+            self.link_a, self.link_b, self.link_doc = self.a[last_a], self.b[last_b], self.group_doc
+            return
+        many_b = np.bincount(self.group_b[last_b], minlength=len(self.group_doc))
         repeat = many_b[self.group_a[last_a]]
         start_b = np.searchsorted(self.group_b[last_b], self.group_a[last_a])
         nth = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
         self.link_a = np.repeat(self.a[last_a], repeat)
-        self.link_b = self.b[last_b][np.repeat(start_b, repeat) + nth] if len(nth) else _EMPTY
+        self.link_b = self.b[last_b][np.repeat(start_b, repeat) + nth]
         self.link_doc = np.repeat(self.group_doc[self.group_a[last_a]], repeat)
 
     def keys(self) -> np.ndarray:
@@ -236,9 +246,13 @@ def distinct_pairs(ids: DataFrame, sizes: tuple[np.ndarray, np.ndarray]) -> np.n
     """The distinct pairs that are linked anywhere, in order; each task sends each of its own once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = _EMPTY
+        seen, lately = _EMPTY, np.full(1 << 18, -1, np.int64)  # lately: the last pair of each remainder, which most repeats meet
         for _, aligned in _parts(frames, sizes):
-            seen = np.union1d(seen, aligned.keys())
+            keys = aligned.keys()
+            at = (keys * 0x9E3779B1 >> 12) & (len(lately) - 1)
+            new = lately[at] != keys
+            lately[at[new]] = keys[new]
+            seen = np.union1d(seen, keys[new])
         yield pd.DataFrame({"pair": seen})
 
     found = ids.select("a", "b").mapInPandas(run, "pair long").distinct()
