@@ -29,11 +29,11 @@ def entries(rows: DataFrame, kind: str = "sprot", hash_store: bool = True) -> Gr
     """Accessions, evidence terms, locations, reactions, cofactors, references and sequences of entries read by sources.proteins.
 
     Catalytic activities count if their comment has exactly one reaction with a Rhea id.  Evidence is attached where it is a single known key.  Edges are
-    kept as they come, repeats too.
+    kept as they come, repeats too; of nodes that repeat the entry with the smallest ord counts.
     """
     label, edge = f"uniprotkb_{kind}", {n: f"uniprotkb_{kind}_{n}" for n in NAMES}
-    r = rows.where(F.size("accession") > 0).withColumn("_key", F.array_join(F.array_sort("accession"), "_")).withColumn("ord", F.monotonically_increasing_id())
-    r = r.withColumn("_at", node_id(label, F.col("_key"))).withColumn("evidence", F.coalesce("evidence", F.array().cast("array<struct<_key:string,_type:string>>")))
+    r = rows.where(F.size("accession") > 0).withColumn("_key", F.array_join(F.array_sort("accession"), "_"))
+    r = r.withColumn("_at", node_id(label, F.col("_key"))).withColumn("evidence", F.coalesce(F.transform("evidence", lambda e: F.struct(e["_key"].alias("_key"), e["_type"].alias("_type"))), F.array().cast("array<struct<_key:string,_type:string>>")))
     kept = props(**{c: F.to_json(c) for c in ("gene", "proteinExistence", "protein", "comment")}, name=F.to_json("name"))
     comments = r.select("_at", "ord", "evidence", F.explode("comment").alias("c"))
     of = lambda t: comments.where(F.col("c._type") == t)
@@ -67,14 +67,14 @@ def entries(rows: DataFrame, kind: str = "sprot", hash_store: bool = True) -> Gr
 
 
 def api_entries(rows: DataFrame) -> Graph:
-    """Accessions and sequences of entries of the API; inactive entries and unknown types fail the query."""
+    """Accessions and sequences of entries of the API, whose ord decides between repeats; inactive entries and unknown types fail the query."""
     kind = (
         F.when(F.col("entryType") == "UniProtKB reviewed (Swiss-Prot)", "sprot")
         .when(F.col("entryType") == "UniProtKB unreviewed (TrEMBL)", "trembl")
         .when(F.col("entryType") == "Inactive", F.raise_error(F.concat(F.lit("entry is inactive: "), F.coalesce("primaryAccession", F.lit("")))).cast("string"))
         .otherwise(F.raise_error(F.concat(F.lit("entry of unknown type: "), F.coalesce("entryType", F.lit("null")))).cast("string"))
     )
-    r = rows.withColumn("_kind", kind).withColumn("ord", F.monotonically_increasing_id())
+    r = rows.withColumn("_kind", kind)
     r = r.withColumn("_ids", F.concat(F.array("primaryAccession"), F.coalesce("secondaryAccessions", F.array().cast("array<string>"))))
     r = r.withColumn("_key", F.array_join(F.array_sort("_ids"), "_")).withColumn("_label", F.concat(F.lit("uniprotkb_"), F.col("_kind"))).withColumn("_at", node_id(F.col("_label"), F.col("_key")))
     kept = props(gene=F.col("genes"), proteinExistence=F.col("proteinExistence"), protein=F.col("proteinDescription"), name=F.to_json(F.array_compact(F.array("uniProtkbId"))), comment=F.col("comments"))

@@ -652,9 +652,9 @@ def protein_transform(spark, sf):
             F.struct(F.concat(F.lit(" "), segment, F.lit("* ")).alias("_VALUE")).alias("sequence"),
         )
     )
-    both = c.select(text.alias("t"), *[F.to_json(x).alias(f"c{k}") for k, x in enumerate(comments)])
+    both = c.select("c_custkey", text.alias("t"), *[F.to_json(x).alias(f"c{k}") for k, x in enumerate(comments)])
     joined = F.concat(F.substr("t", F.lit(1), F.length("t") - 1), F.lit(',"comment":['), F.col("c0"), F.lit(","), F.col("c1"), F.lit("]}"))
-    g = entries(both.select(F.from_json(joined, ENTRY.replace("\n", " ")).alias("e")).select("e.*"))
+    g = entries(both.select(F.from_json(joined, ENTRY.replace("\n", " ")).alias("e"), F.col("c_custkey").alias("ord")).select("e.*", "ord"))
     eco = g.edges.where(F.col("props")["eco"].isNotNull()).groupBy(F.col("props")["eco"].alias("label")).agg(F.count("*").alias("n"))
     return g.summary().unionByName(eco.select(F.lit("eco").alias("kind"), "label", "n"))
 
@@ -741,7 +741,7 @@ def protein_api_transform(spark, sf):
     key, none = F.col("c_custkey").cast("string"), F.lit(None).cast("string")
     kind = F.when(F.col("c_custkey") % 2 == 0, "UniProtKB reviewed (Swiss-Prot)").otherwise("UniProtKB unreviewed (TrEMBL)")
     rows = _t(spark, sf, "customer").select(
-        kind.alias("entryType"), F.concat(F.lit("P"), key).alias("primaryAccession"), F.array(F.concat(F.lit("A"), F.col("c_nationkey"))).alias("secondaryAccessions"), F.concat(F.lit("N"), key).alias("uniProtkbId"),
+        F.col("c_custkey").alias("ord"), kind.alias("entryType"), F.concat(F.lit("P"), key).alias("primaryAccession"), F.array(F.concat(F.lit("A"), F.col("c_nationkey"))).alias("secondaryAccessions"), F.concat(F.lit("N"), key).alias("uniProtkbId"),
         none.alias("proteinExistence"), none.alias("genes"), none.alias("comments"), F.col("c_name").alias("proteinDescription"), F.struct(F.col("c_mktsegment").alias("value"), F.length("c_mktsegment").alias("length")).alias("sequence"),
     )
     return api_entries(rows).summary()

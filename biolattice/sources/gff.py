@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import last_wins
+from .places import numbered, placed
 
 
 def attributes(c: Column) -> Column:
@@ -16,10 +17,13 @@ def attributes(c: Column) -> Column:
 
 
 def gff(spark: SparkSession, path: str) -> DataFrame:
-    """contig_id, source, feature_type, start, end, score, strand, phase, attrs, ord of each line with nine fields or more; comments are left out, types aren't filtered."""
-    lines = spark.read.text(path).where(~F.startswith("value", F.lit("#")))
+    """contig_id, source, feature_type, start, end, score, strand, phase, attrs, ord of each line with nine fields or more; comments are left out, types aren't filtered.
+
+    ord is the line's number over all files in the order of their paths, comments counted.
+    """
+    lines = numbered(placed(spark.read.text(path), "value")).where(~F.startswith("value", F.lit("#")))
     f = F.split(F.regexp_replace("value", r"[\r\n]+\z", ""), "\t")
-    rows = lines.select(f.alias("f"), F.monotonically_increasing_id().alias("ord")).where(F.size("f") >= 9)
+    rows = lines.select(f.alias("f"), "ord").where(F.size("f") >= 9)
     text = lambda k, name: F.get("f", F.lit(k)).alias(name)
     return rows.select(
         text(0, "contig_id"),
