@@ -1,3 +1,33 @@
 """Registered queries of stored expansion, patterns and families of gene sets over the driver's tables."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .functions import gpr
+from .queries import _t, query
+
+
+@query("""
+SELECT o_custkey, CASE WHEN count(*) <= 10 THEN count(*) * 2 ELSE 0 END AS listed_genes, count(*) * 2 AS genes, (pow(2, count(*))::HUGEINT + 1)::VARCHAR AS complexes, pow(2, count(*))::HUGEINT::VARCHAR AS minimal,
+       count(*) AS smallest, count(*) * 2 AS nodes, bool_and(o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0) AS possible,
+       CASE WHEN count(*) <= 10 THEN pow(2, count(*))::BIGINT + 1 ELSE 0 END AS listed
+FROM orders GROUP BY o_custkey
+""")
+def gene_rule_families(spark, sf):
+    """A rule for each customer: of every order one of two genes, or all of them (which absorption takes out); rules of up to ten orders are listed too."""
+    o = _t(spark, sf, "orders").select("o_custkey", "o_orderkey", F.concat(F.lit("a"), F.col("o_orderkey")).alias("a"), F.concat(F.lit("b"), F.col("o_orderkey")).alias("b"))
+    there = F.when(F.col("o_orderkey") % 3 != 0, F.col("a")), F.when(F.col("o_orderkey") % 2 == 0, F.col("b"))
+    rules = o.groupBy("o_custkey").agg(
+        F.collect_list(F.concat(F.lit("("), "a", F.lit(" or "), "b", F.lit(")"))).alias("pairs"),
+        F.collect_list(F.concat("a", F.lit(" AND "), "b")).alias("all"),
+        F.array_compact(F.flatten(F.collect_list(F.array(*there)))).alias("present"),
+    )
+    rule = F.concat(F.lit("("), F.array_join("pairs", " and "), F.lit(") or ("), F.array_join("all", " and "), F.lit(")"))
+    rows = rules.select("o_custkey", rule.alias("rule"), "present", F.when(F.size("pairs") <= 10, rule).alias("short"))
+    told = rows.select("o_custkey", gpr.gene_sets("rule").alias("s"), gpr.possible("rule", "present").alias("possible"), gpr.complexes("short").alias("c"))
+    long = lambda c: F.col(c).cast("long")
+    return told.select(
+        "o_custkey", F.size(F.array_distinct(F.flatten("c"))).cast("long").alias("listed_genes"), long("s.genes").alias("genes"), "s.complexes", "s.minimal", long("s.smallest").alias("smallest"),
+        long("s.nodes").alias("nodes"), "possible", F.size("c").cast("long").alias("listed"),
+    )
