@@ -11,7 +11,7 @@ from ..functions.keys import node_id, normalize_key
 from .graph import Graph
 
 
-class _Folder:
+class Folder:
     """A folder of a file system that Spark reaches."""
 
     def __init__(self, spark: SparkSession, path: str):
@@ -65,7 +65,7 @@ class Expansion:
     def __init__(self, adjacency: Adjacency, path: str, allowed: dict[str, tuple[bool, bool]]):
         self.graph, self.allowed = adjacency, allowed
         self.spark = adjacency.nodes.sparkSession
-        self.folder = _Folder(self.spark, path)
+        self.folder = Folder(self.spark, path)
 
     @property
     def depth(self) -> int | None:
