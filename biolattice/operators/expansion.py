@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,27 @@ class Folder:
         fs, path = self._at(name)
         fs.delete(path, True)
 
+    def names(self, name: str) -> list[str]:
+        """Names of what lies in a folder; none if it isn't there."""
+        fs, path = self._at(name)
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+    def text(self, name: str) -> str:
+        """A small file's text."""
+        return "\n".join(r.value for r in self.spark.read.text(f"{self.path}/{name}").collect())
+
+    def publish(self, name: str, text: str) -> bool:
+        """Makes a small file appear whole under a name that must be free; false if it isn't."""
+        fs, path = self._at(name)
+        _, draft = self._at(f"{name}.{uuid.uuid4().hex}.draft")
+        out = fs.create(draft, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not fs.exists(path) and fs.rename(draft, path):
+            return True
+        fs.delete(draft, False)
+        return False
+
 
 class Adjacency:
     """A graph's edges by the label of their source and again by that of their target, and its nodes' ids by label: a level of an expansion reads only the labels that it can meet."""

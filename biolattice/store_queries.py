@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .operators.graph import Graph
 from .operators.hashstore import HashStore
 from .operators.search import Index, Term
+from .operators.versions import VersionedStore
 from .plans.tables import shared_dir
-from .queries import _t, query
+from .queries import _t, _trade, query
 from .sources import fitness
 
 
@@ -80,3 +82,27 @@ def fitness_matrix(spark, sf):
     cells = fitness.matrices(spark, path, ("gene",), F.regexp_extract("file", "/organism=([^/]+)/", 1))
     first = F.min(F.col("gene").cast("long")).cast("string")
     return cells.groupBy("organism", "experiment").agg(F.count("value").alias("n"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"), first.alias("first_gene"))
+
+
+@query("""
+SELECT 1 AS version, 'node' AS kind, label, count(*) AS n FROM (SELECT 'Region' AS label FROM region UNION ALL SELECT 'Nation' FROM nation) GROUP BY label
+UNION ALL SELECT 1, 'edge', 'has_nation', count(*) FROM nation
+UNION ALL SELECT 2, 'node', label, count(*) FROM (SELECT 'Region' AS label FROM region UNION ALL SELECT 'Nation' FROM nation UNION ALL SELECT 'Customer' FROM customer) GROUP BY label
+UNION ALL SELECT 2, 'edge', label, count(*) FROM (SELECT 'has_nation' AS label FROM nation UNION ALL SELECT 'has_customer' FROM customer) GROUP BY label
+""")
+def committed_loads(spark, sf):
+    """Regions and nations, then customers too, whose first load dies after its nodes: what each version holds."""
+    store = VersionedStore(spark, f"{_folder(spark)}/graph")
+    whole = _trade(spark, sf, orders=False)
+    few = Graph(whole.nodes.where("label <> 'Customer'"), whole.edges.where("label = 'has_nation'"))
+
+    def die():
+        raise InterruptedError
+
+    for g in (few, whole):
+        try:
+            store.load(g, between=die)
+        except InterruptedError:
+            store.load(g)
+    of = lambda v: store.graph(v).summary().select(F.lit(v).alias("version"), "kind", "label", "n")
+    return of(1).unionByName(of(2))
