@@ -96,10 +96,8 @@ class Graph:
     def concat(self, other: Graph) -> Graph:
         """Union in which the other graph's nodes and edges win."""
         def both(a: DataFrame, b: DataFrame) -> DataFrame:
-            rest = [c for c in a.columns if c != "id"]
             rows = a.withColumn("_side", F.lit(0)).unionByName(b.withColumn("_side", F.lit(1)))
-            picked = rows.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("_side", "ord")).alias("_row"))
-            return picked.select(*[F.col("id") if c == "id" else F.col(f"_row.{c}").alias(c) for c in a.columns])
+            return _one(rows, lambda c, _: F.max_by(c, F.struct("_side", "ord"))).select(*a.columns)
 
         return Graph(both(self.nodes, other.nodes), both(self.edges, other.edges))
 

@@ -13,6 +13,7 @@ from .operators.versions import VersionedStore
 from .plans.tables import shared_dir
 from .queries import _t, _trade, query
 from .sources import fitness
+from .streaming import latest
 
 
 def _folder(spark) -> str:
@@ -106,3 +107,29 @@ def committed_loads(spark, sf):
             store.load(g)
     of = lambda v: store.graph(v).summary().select(F.lit(v).alias("version"), "kind", "label", "n")
     return of(1).unionByName(of(2))
+
+
+@query("""
+SELECT event_type AS doc_id, 'u' || user_id % 50 AS target, arg_max(props, struct_pack(t := epoch(date_trunc('second', ts))::BIGINT, p := -event_id)) AS action,
+       max(epoch(date_trunc('second', ts))::BIGINT) AS timestamp, count(*) AS n
+FROM events GROUP BY ALL
+""")
+def stream_latest_actions(spark, sf):
+    """Events in five micro-batches, dealt out by their ids: the last row that keyed state gives of each target, beside the events' count by the batch aggregate."""
+    rows = _t(spark, sf, "events").select(
+        F.col("event_type").alias("doc_id"), F.concat(F.lit("u"), F.col("user_id") % 50).alias("target"), F.col("props").alias("action"), F.unix_timestamp(F.date_trunc("second", "ts")).alias("timestamp"),
+        F.lit("-").alias("user_id"), F.col("event_id").alias("pos"),
+    )
+    path, old = _folder(spark), spark.conf.get(latest.STATE_STORE[0], None)
+    rows.repartition(5, F.xxhash64("pos")).write.parquet(f"{path}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    spark.conf.set(*latest.STATE_STORE)
+    try:
+        out = latest.latest_with_expiry(source, "100000 days", 10**9).writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+        q = out.foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{path}/out")).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset(latest.STATE_STORE[0]) if old is None else spark.conf.set(latest.STATE_STORE[0], old)
+    last = F.max_by(F.struct("action", "timestamp"), "batch")
+    found = spark.read.parquet(f"{path}/out").groupBy("doc_id", "target").agg(last.alias("e")).select("doc_id", "target", "e.*")
+    return found.join(rows.groupBy("doc_id", "target").agg(F.count("*").alias("n")), ["doc_id", "target"])

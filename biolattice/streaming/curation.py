@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.curation import latest
+from ..operators.expansion import Folder
 from ..operators.store import eid
 
 
@@ -28,12 +29,8 @@ def load_stream(nodes: DataFrame, path: str, checkpoint: str, after: Callable[[D
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         new = rows.dropDuplicates(["id"]).withColumn("eid", eid())
-        try:
-            stored = spark.read.parquet(path).select("id")
-            new = new.join(stored, "id", "left_anti").select(*new.columns)
-        except Exception as error:  # only a store that isn't there yet is an empty one
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
+        if any(not name.startswith(("_", ".")) for name in Folder(spark, path).names("")):
+            new = new.join(spark.read.parquet(path).select("id"), "id", "left_anti").select(*new.columns)
         new.write.mode("append").parquet(path)
         if after:
             after(new, number)
