@@ -482,6 +482,24 @@ def bulk_load(spark, sf):
     return count(nodes, "node").unionByName(count(edges, "edge")).unionByName(count(again, "again"))
 
 
+def genome_graph(spark, sf):
+    """Lineitems as features of contigs that suppliers name, with parts as proteins."""
+    from .plans.genome import genome
+
+    contigs = _t(spark, sf, "supplier").select(F.concat(F.lit("c"), "s_suppkey").alias("id"), F.translate(F.sha2("s_name", 256), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"), F.col("s_suppkey").alias("ord"))
+    proteins = _t(spark, sf, "part").select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.upper("p_type").alias("seq"), F.col("p_partkey").alias("ord"))
+    odd, kind = F.col("l_linenumber") % 2, F.when(F.col("l_linestatus") == "O", "gene").otherwise("CDS")
+    protein_id, minus = F.concat(F.lit("P"), F.col("l_partkey") + odd * 100), F.col("l_returnflag") == "R"
+    features = _t(spark, sf, "lineitem").select(
+        F.concat(F.lit("c"), F.col("l_suppkey") + odd * 3).alias("contig_id"), F.lit("table").alias("source"), kind.alias("feature_type"), F.col("l_linenumber").cast("long").alias("start"),
+        (F.col("l_linenumber") + 10 + F.col("l_partkey") % 5).alias("end"), F.lit(".").alias("score"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("strand"), F.lit(".").alias("phase"),
+        F.create_map(F.lit("locus_tag"), F.concat(F.lit("b"), "l_orderkey"), F.lit("protein_id"), protein_id).alias("attrs"),
+        # rows of one order that are equal in all of these are alike in all that the graph has of them
+        (((F.col("l_linenumber").cast("long") * (1 << 30) + F.col("l_partkey")) * (1 << 23) + F.col("l_suppkey")) * 2 + minus.cast("long")).alias("ord"),
+    )
+    return genome("G", contigs, proteins, features)
+
+
 @query("""
 WITH contig AS (SELECT 'c' || s_suppkey AS id, translate(sha256(s_name), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM supplier),
 protein AS (SELECT 'P' || p_partkey AS id, upper(p_type) AS seq FROM part),
@@ -509,20 +527,7 @@ UNION ALL SELECT 'unmatched', 'contig_not_found_for_dna', count(*) FROM d WHERE
 UNION ALL SELECT 'unmatched', 'protein_not_found', count(*) FROM d WHERE pseq IS NULL AND type = 'CDS'
 """)
 def genome_transform(spark, sf):
-    from .plans.genome import genome
-
-    contigs = _t(spark, sf, "supplier").select(F.concat(F.lit("c"), "s_suppkey").alias("id"), F.translate(F.sha2("s_name", 256), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"), F.col("s_suppkey").alias("ord"))
-    proteins = _t(spark, sf, "part").select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.upper("p_type").alias("seq"), F.col("p_partkey").alias("ord"))
-    odd, kind = F.col("l_linenumber") % 2, F.when(F.col("l_linestatus") == "O", "gene").otherwise("CDS")
-    protein_id, minus = F.concat(F.lit("P"), F.col("l_partkey") + odd * 100), F.col("l_returnflag") == "R"
-    features = _t(spark, sf, "lineitem").select(
-        F.concat(F.lit("c"), F.col("l_suppkey") + odd * 3).alias("contig_id"), F.lit("table").alias("source"), kind.alias("feature_type"), F.col("l_linenumber").cast("long").alias("start"),
-        (F.col("l_linenumber") + 10 + F.col("l_partkey") % 5).alias("end"), F.lit(".").alias("score"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("strand"), F.lit(".").alias("phase"),
-        F.create_map(F.lit("locus_tag"), F.concat(F.lit("b"), "l_orderkey"), F.lit("protein_id"), protein_id).alias("attrs"),
-        # rows of one order that are equal in all of these are alike in all that the graph has of them
-        (((F.col("l_linenumber").cast("long") * (1 << 30) + F.col("l_partkey")) * (1 << 23) + F.col("l_suppkey")) * 2 + minus.cast("long")).alias("ord"),
-    )
-    made = genome("G", contigs, proteins, features)
+    made = genome_graph(spark, sf)
     lost = made.unmatched.groupBy("reason").agg(F.count("*").alias("n")).select(F.lit("unmatched").alias("kind"), F.col("reason").alias("label"), "n")
     return made.graph.summary().unionByName(lost)
 
