@@ -77,3 +77,57 @@ def biochem_rows(spark, sf):
     )
     c = o.select((k % 60).alias("c")).distinct().select(F.create_map(F.lit("id"), F.concat(F.lit("cpd"), F.col("c")), F.lit("name"), F.concat(F.lit("N"), F.col("c") % 7)).alias("props"), F.col("c").alias("ord"))
     return _rows(biochem(c, o.select(props.alias("props"), k.alias("ord"))))
+
+
+_MODEL_ROWS = """
+WITH l AS (SELECT *, 'm' || l_orderkey % 3 AS m, 'R' || l_orderkey AS r FROM lineitem),
+x AS (SELECT r, m, list_sort(list_distinct(list('g' || l_suppkey))) AS genes FROM l GROUP BY ALL),
+k AS (SELECT r, m, genes, m || ':' || sha256(array_to_string(genes, '|')) AS k FROM x),
+s AS (SELECT 'm' || p_partkey % 3 AS m, 'p' || p_partkey AS p, CASE p_size % 3 WHEN 0 THEN 'c' WHEN 1 THEN 'e' ELSE 'x' END AS c FROM part),
+d AS (SELECT 'm' || s_suppkey % 3 AS m, 'g' || s_suppkey AS g FROM supplier),
+member AS (SELECT DISTINCT k, m, unnest(genes) AS g FROM k),
+made AS (SELECT DISTINCT m, g FROM member WHERE (m, g) NOT IN (SELECT (m, g) FROM d)),
+side AS (SELECT DISTINCT l.m, r, p, l_returnflag = 'R' AS back FROM l JOIN s ON s.m = l.m AND s.p = 'p' || l_partkey),
+model AS (SELECT 'm' || unnest(range(3)) AS m), comp AS (SELECT m, unnest(['c', 'e']) AS c FROM model)
+SELECT 'node' AS kind, '{0}Model' AS label, '{0}Model/' || m AS id, 'id=' || m AS props FROM model
+UNION ALL SELECT 'node', '{0}Compartment', '{0}Compartment/' || m || ':' || c, 'id=' || c FROM comp
+UNION ALL SELECT 'node', '{0}{1}', '{0}{1}/' || m || ':' || p, 'compartment=' || c || ';id=' || p FROM s
+UNION ALL SELECT 'node', '{0}Gene', '{0}Gene/' || m || ':' || g, 'fbc:id=' || g FROM d
+UNION ALL SELECT 'node', '{0}Reaction', '{0}Reaction/' || m || ':' || r, 'id=' || r FROM x
+UNION ALL SELECT DISTINCT 'node', '{0}Complex', '{0}Complex/' || k, 'genes=["' || array_to_string(genes, '","') || '"]' FROM k
+UNION ALL SELECT 'edge', 'has_compartment', '{0}Model/' || m || '/has_compartment/{0}Compartment/' || m || ':' || c, '' FROM comp
+UNION ALL SELECT 'edge', 'has_compartment', '{0}{1}/' || m || ':' || p || '/has_compartment/{0}Compartment/' || m || ':' || c, '' FROM s WHERE c <> 'x'
+UNION ALL SELECT 'edge', 'has_species', '{0}Model/' || m || '/has_species/{0}{1}/' || m || ':' || p, '' FROM s
+UNION ALL SELECT 'edge', 'has_gene', '{0}Model/' || m || '/has_gene/{0}Gene/' || m || ':' || g, '' FROM d
+UNION ALL SELECT 'edge', 'has_reaction', '{0}Model/' || m || '/has_reaction/{0}Reaction/' || m || ':' || r, '' FROM x
+UNION ALL SELECT 'edge', 'has_gpr_complex', '{0}Reaction/' || m || ':' || r || '/has_gpr_complex/{0}Complex/' || k, '' FROM k
+"""
+
+
+def _model_rows(spark, sf, kind: str) -> DataFrame:
+    from .plans.models import model
+    from .queries import _models
+
+    # of a species that a reaction names several times on one side, which amount counts isn't settled by the table
+    return _rows(model(_models(spark, sf), kind), "stoichiometry", "coefficient")
+
+
+@query(_MODEL_ROWS.format("SBML", "Species") + """
+UNION ALL SELECT 'node', 'SBMLGene', 'SBMLGene/' || m || ':' || g, 'id=' || g FROM made
+UNION ALL SELECT 'edge', 'has_gene', 'SBMLModel/' || m || '/has_gene/SBMLGene/' || m || ':' || g, '' FROM made
+UNION ALL SELECT 'edge', 'has_gene', 'SBMLComplex/' || k || '/has_gene/SBMLGene/' || m || ':' || g, '' FROM member
+UNION ALL SELECT 'edge', CASE WHEN back THEN 'has_reactant' ELSE 'has_product' END,
+  'SBMLReaction/' || m || ':' || r || CASE WHEN back THEN '/has_reactant/' ELSE '/has_product/' END || 'SBMLSpecies/' || m || ':' || p, '' FROM side
+""")
+def sbml_rows(spark, sf):
+    """The SBML transform's nodes with properties and its edges' ends; genes that only complexes name are created."""
+    return _model_rows(spark, sf, "SBML")
+
+
+@query(_MODEL_ROWS.format("COBRA", "Metabolite") + """
+UNION ALL SELECT 'edge', 'has_gene', 'COBRAComplex/' || k || '/has_gene/COBRAGene/' || m || ':' || g, '' FROM member WHERE (m, g) IN (SELECT (m, g) FROM d)
+UNION ALL SELECT DISTINCT 'edge', 'has_stoichiometry_coefficient', 'COBRAReaction/' || m || ':' || r || '/has_stoichiometry_coefficient/COBRAMetabolite/' || m || ':' || p, '' FROM side
+""")
+def cobra_rows(spark, sf):
+    """The COBRA transform's: such genes are left out, and both sides have one kind of edge."""
+    return _model_rows(spark, sf, "COBRA")
