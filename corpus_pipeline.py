@@ -23,7 +23,7 @@ NEAR = 80
 def _keyed(docs: DataFrame) -> DataFrame:
     """The documents with _row, which names a row: its file and its place there. Documents that aren't read from files are written first."""
     try:
-        return docs.select(*COLUMNS, F.concat_ws("/", "_metadata.file_name", "_metadata.row_index").alias("_row"))
+        return docs.select(*COLUMNS, F.concat_ws("#", "_metadata.file_path", "_metadata.row_index").alias("_row"))
     except AnalysisException:
         return _keyed(saved(docs.select(*COLUMNS), "pipeline-docs"))
 
