@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import drop, saved
 
-#: Code points a chunk has at least and at most.
+#: Bytes (of UTF-8) a chunk has at least and at most.
 MIN_CHUNK, MAX_CHUNK = 192, 2048
 #: A group is hot if it holds more than one in so many rows.
 HOT = 1000
@@ -20,9 +20,9 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def _boundary() -> str:
-    """A cut follows any three Latin-1 characters of which each is in a quarter of them picked by a multiplicative hash."""
-    picked = "".join(f"\\x{c:02x}" for c in range(256) if c * 37 % 64 < 16)
-    return f"(?<=[{picked}]{{3}})"
+    """A chunk ends with three characters of which each one's last byte is in a quarter of them picked by a multiplicative hash; the bytes before hardly vary within a script."""
+    picked = "".join(f"\\x{c:02x}" for c in range(0xC0) if c * 37 % 64 < 16)
+    return rf"[{picked}]" + rf"(?:[\xc2-\xf4][\x80-\xbf]{{0,2}})?[{picked}]" * 2
 
 
 def normalized(text: Column) -> Column:
@@ -30,8 +30,12 @@ def normalized(text: Column) -> Column:
 
 
 def chunks(norm: Column, smallest: int = MIN_CHUNK, largest: int = MAX_CHUNK) -> Column:
-    """Content-defined chunks in order; joined together they give the text again. No chunk for an empty text."""
-    return F.regexp_extract_all(norm, F.lit(rf"(?s).{{{smallest},{largest}}}?(?:{_boundary()}|\z)|.{{1,{largest}}}"), F.lit(0))
+    """Content-defined chunks in order, of the text's UTF-8 bytes, each as the character of that number, so that texts of all scripts are cut alike; a cut can fall inside a character.
+
+    Joined together they give the bytes again. No chunk for an empty text.
+    """
+    data = F.decode(F.encode(norm, "UTF-8"), "ISO-8859-1")
+    return F.regexp_extract_all(data, F.lit(rf"(?s).{{{smallest - 9},{largest - 9}}}?(?:{_boundary()}|\z)|.{{1,{largest}}}"), F.lit(0))
 
 
 def recipes(docs: DataFrame, hash_bits: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -535,7 +535,7 @@ def test_decontamination_finds_every_copy_of_many_items(spark):
     assert not {(i, i) for i, _ in rows} - got
 
 
-def test_stages_decide_by_row(spark, docs):
+def test_stages_decide_by_row(spark, docs, tmp_path):
     t, u, v = (" ".join(f"{c}{k}" for k in range(60)) for c in "tuv")
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     item = bench.first().text
@@ -547,6 +547,11 @@ def test_stages_decide_by_row(spark, docs):
     assert [i for i, _ in left(corpus_pipeline.stage_near_dedup, near)] == [3, 7, 8, None, None]
     found = [(5, item), (5, t), (None, item), (None, u)]
     assert left(corpus_pipeline.stage_decontaminate, found) == sorted([(5, t), (None, u)], key=str)
+    for k, x in enumerate((item, u)):  # files of one name in two folders
+        make([(k, x)]).coalesce(1).write.parquet(f"{tmp_path}/docs/part={k}")
+    parts = spark.read.schema(docs.schema).parquet(*(f"{tmp_path}/docs/part={k}" for k in (0, 1)))
+    assert corpus_pipeline._keyed(parts).select("_row").distinct().count() == 2
+    assert [r.doc_id for r in corpus_pipeline.stage_decontaminate(spark, parts, DATA).collect()] == [1]
     for stage in (corpus_pipeline.stage_language, corpus_pipeline.stage_exact_dedup, corpus_pipeline.stage_near_dedup, corpus_pipeline.stage_decontaminate, corpus_pipeline.stage_mix):
         assert not left(stage, []) if stage is not corpus_pipeline.stage_mix else stage(spark, make([]), DATA).count() == 0
     # a text that two languages explain equally well is rejected, one that a language wins stays

@@ -1,6 +1,7 @@
 """Exact dedup, mixing, URL filter and chat formatting against brute force."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -47,7 +48,18 @@ def test_collisions_cost_no_more_than_their_chunks(spark):
 
 def test_chunks_join_to_the_text(spark):
     got = docs(spark, sample(spark)).select(exact_dedup.normalized("text").alias("t")).select("t", exact_dedup.chunks("t").alias("c")).collect()
-    assert all("".join(r.c) == r.t and all(r.c) for r in got)
+    assert all("".join(r.c).encode("latin-1").decode() == r.t and all(r.c) for r in got)
+
+
+@pytest.mark.parametrize("first, letters", [(0x61, 26), (0xE0, 24), (0x430, 32), (0x627, 20), (0x905, 50), (0x4E00, 3000), (0xAC00, 2000), (0x1F600, 60)])
+def test_an_insertion_leaves_most_chunks_in_every_script(spark, first, letters):
+    rng = random.Random(first)
+    text = "".join(chr(first + rng.randrange(letters)) for _ in range(40_000))
+    rows = [(0, text, "s"), (1, chr(first) + text, "s"), (2, text[:20_000] + "!?" + text[20_000:], "s"), (3, text[:100] + text[103:], "s")]
+    got = {r.doc_id: r.c for r in docs(spark, rows).select("doc_id", exact_dedup.chunks("text").alias("c")).collect()}
+    assert len(got[0]) > 40 and max(map(len, got[0])) <= exact_dedup.MAX_CHUNK
+    for k in (1, 2, 3):
+        assert len(set(got[0]) & set(got[k])) >= 0.9 * len(got[0])
 
 
 def fill(sizes, weights=(5, 2, 1)):
