@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .common import id_text, remainder, saved
 from .walk import batches
 
-#: Labelled rows used at most; random features; width of the kernel in standard deviations times the root of the number of statistics; ridge; calibration knots at most.
-MOST_LABELLED, FEATURES, WIDTH, RIDGE, KNOTS = 200_000, 256, 1.0, 1.0, 1000
+#: Labelled rows used at most; random features; width of the kernel in standard deviations times the root of the number of statistics; ridge.
+MOST_LABELLED, FEATURES, WIDTH, RIDGE = 200_000, 256, 1.0, 1.0
 PARTS, SEED = 8, 11
 
 _CLASSES = 7  # lower, upper, digit, space, common punctuation, other letter, the rest
@@ -96,15 +96,15 @@ class Model:
 
 
 def pooled(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Isotonic regression by pooling adjacent violators: mean raw score and mean label of each pool, at most KNOTS bins to begin with.
+    """Isotonic regression by pooling adjacent violators: mean raw score and mean label of each pool.
 
     Rows of equal raw score are one block from the start, so their order can't matter.
     """
     value, at = np.unique(raw, return_inverse=True)
     hits, rows = np.bincount(at, label, len(value)), np.bincount(at, minlength=len(value))
     blocks: list[list[float]] = []
-    for part in np.array_split(np.arange(len(value)), min(KNOTS, len(value))):
-        blocks.append([float(hits[part].sum()), float((value[part] * rows[part]).sum()), int(rows[part].sum())])
+    for one in zip(hits.tolist(), (value * rows).tolist(), rows.tolist()):
+        blocks.append(list(one))
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][2] >= blocks[-1][0] * blocks[-2][2]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
