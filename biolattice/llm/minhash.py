@@ -172,26 +172,32 @@ def near_duplicates(docs: DataFrame, threshold: int = LINK, keep: tuple[str, ...
         raise ValueError(f"threshold {threshold} is not between 1 and 100")
     bands = bands_for(threshold)
     more = "".join(f"`{c}` string, " for c in keep)
-    rows = docs.select(id_text(), *keep, "text").mapInPandas(lambda frames: _described(frames, bands), f"doc_id string, {more}n_shingles long, node binary, bands array<long>")
+    rows = docs.select(id_text(), *keep, F.xxhash64("text").alias("text_hash"), "text")
+    rows = rows.mapInPandas(lambda frames: _described(frames, bands), f"doc_id string, {more}text_hash long, n_shingles long, node binary, bands array<long>")
     rows = saved(rows.withColumn("doc_id", F.col("doc_id").cast("long")), "minhash-rows")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    members = nodes.select("node", "n", "doc_id", F.explode("bands").alias("key"))
+    met = rows.where("node is not null").groupBy("node")
+    members = met.agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).select("node", "n", F.explode("bands").alias("key"))
     shared = saved(members.join(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "minhash-shared")
     # a group's centre meets more of the group than its edges do, and so makes the better leader
     ranked = shared.join(shared.groupBy("node").agg(F.sum("size").alias("met")), "node")
-    leaders = ranked.groupBy("key").agg(F.max(F.struct("met", "node", "n", "doc_id")).alias("lead"))
-    buckets = saved(shared.join(leaders, "key").select("key", "size", "node", "n", "doc_id", F.col("lead.node").alias("lead"), F.col("lead.n").alias("l_n"), F.col("lead.doc_id").alias("l_doc_id")), "minhash-buckets")
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("met", "node", "n")).alias("lead"))
+    buckets = saved(shared.join(leaders, "key").select("key", "size", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("l_n")), "minhash-buckets")
     # sets whose sizes differ too much can't be similar enough
     close = lambda n, m: F.least(n, m) * 100 >= threshold * F.greatest(n, m)
     stars = buckets.where((F.col("node") != F.col("lead")) & close(F.col("n"), F.col("l_n")))
     ends = lambda df, p, q: df.select(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")).distinct()
     tried = saved(ends(stars, "node", "lead"), "minhash-tried")
     # any member of a bucket of three or more may be compared again
-    wanted = stars.select("node", "doc_id").unionByName(stars.select(F.col("lead").alias("node"), F.col("l_doc_id").alias("doc_id")))
-    wanted = wanted.unionByName(buckets.where("size > 2").select("node", "doc_id")).distinct()
-    # a node's text is that of the document that names it; ids may repeat, so the set's digest decides
-    found = docs.select(F.col("doc_id").alias("_id"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "text")
-    texts = saved(found.mapInPandas(_own, "node binary, text string"), "minhash-texts")
+    wanted = tried.select(F.explode(F.array("a", "b")).alias("node")).unionByName(buckets.where("size > 2").select("node")).distinct()
+    # a node's text is found by the id and the text's hash of one of its documents: rows without an id, or with one that many have, don't meet each other
+    name = F.struct("doc_id", "text_hash")
+    names = met.agg(F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), name)), F.min(name)).alias("name")).select("node", "name.*")
+    found = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text").join(
+        wanted.join(names, "node"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))
+    )
+    texts = saved(found.select("node", "text").mapInPandas(_own, "node binary, text string"), "minhash-texts")
+    if not texts.groupBy("node").count().where("count > 1").isEmpty():  # rows that repeat both id and text
+        texts = saved(texts.groupBy("node").agg(F.first("text").alias("text")), "minhash-texts")
     links = saved(_links(tried, texts, threshold), "minhash-links")
     roots = components(links)
     # second round, small buckets: all pairs that are still apart
@@ -224,7 +230,7 @@ def near_duplicates(docs: DataFrame, threshold: int = LINK, keep: tuple[str, ...
         alone = joined.select(F.col("node"), F.col("node").alias("root")).join(roots.select("node"), "node", "left_anti")
         roots = roots.unionByName(alone).withColumnRenamed("root", "_r").join(joined.select(F.col("node").alias("_r"), "root"), "_r", "left").select("node", F.coalesce("root", "_r").alias("root"))
     drop(texts)
-    named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = met.agg(F.min("doc_id").alias("doc_id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = named.join(smallest, "root").select("node", "component_id", F.hex("root").alias("component"))
     return rows.select("doc_id", *keep, "n_shingles", "node").join(of_node, "node", "left").select(
