@@ -5,12 +5,14 @@ eight binary decisions has its own weighting over the nodes that met it: a node
 a context never met is left to the longest shorter context that did.
 
 The tree is never in one place.  Grams (a context and a byte) are dealt out by the context's last TOP + 1 bytes, so each part holds whole subtrees; what the parts pass up to depth
-TOP, a table that the alphabet bounds, gives the weights that they are sent down again.  The outcome is a written table: the log probability of each gram that any text has.  Texts are
+TOP, a table that the alphabet bounds, gives the weights that they are sent down again.  Where a suffix has more than PART grams, the subtrees below it are dealt out one byte deeper, and so on;
+its own decisions are rows of a table that is summed on the way up and joined on the way down, so no part holds more than a subtree of PART grams besides its share.  The outcome is a written table: the log probability of each gram that any text has.  Texts are
 scored from its commonest rows, which are broadcast, and by a join with all others.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 from collections import Counter
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, remainder, saved
@@ -27,9 +29,9 @@ from .walk import batches
 
 #: Bytes of context; depth up to which the tree is one table (255 decisions of 65,536 contexts at most; far fewer occur in UTF-8).
 DEPTH, TOP = 6, 2
-#: Grams whose log probabilities are broadcast (24 MB), and tokens whose counts are; the rest are joined.
-HOT, COMMON = 1 << 21, 1 << 17
-#: Grams in a part of the tree on average; distinct tokens, grams and bytes that a worker holds before it passes counts on or merges them.
+#: Grams whose log probabilities are broadcast (24 MB), and tokens whose counts are; the rest and all tokens of more than LONG bytes are joined.
+HOT, COMMON, LONG = 1 << 21, 1 << 17, 64
+#: Grams in a part of the tree on average, and from which on a suffix is dealt out deeper; distinct tokens, grams and bytes that a worker holds before it passes counts on or merges them.
 PART, WORDS, GRAMS, HELD = 120_000, 250_000, 2_000_000, 2_000_000
 
 
@@ -196,22 +198,26 @@ class Nodes:
         return self.add[up], self.share[up], self.final[up]
 
 
-def subtree(codes: np.ndarray, n: np.ndarray) -> tuple[list[Nodes], np.ndarray, np.ndarray]:
-    """The nodes above these grams, of depths DEPTH to TOP + 1; where each gram's decisions are in the first of them; their bits."""
+def subtree(codes: np.ndarray, n: np.ndarray, root: int = TOP + 1) -> tuple[list[Nodes], np.ndarray, np.ndarray]:
+    """The nodes above these grams, of depths DEPTH to root; where each gram's decisions are in the first of them; their bits."""
     keys, bits = _decisions(codes)
     first, at = np.unique(keys.ravel(), return_inverse=True)
     times = np.repeat(n.astype(float), 8)
     levels = [Nodes(first, np.bincount(at, times * (1 - bits.ravel()), len(first)), np.bincount(at, times * bits.ravel(), len(first)), None)]
-    for depth in range(DEPTH - 1, TOP, -1):
+    for depth in range(DEPTH - 1, root - 1, -1):
         levels.append(levels[-1].parents(depth))
     return levels, at, bits
 
 
+def _raised(nodes: Nodes, depth: int) -> pd.DataFrame:
+    """What nodes pass up to their parents of this depth: depth, key, zeros, ones and the weight of the longer contexts."""
+    keys, up = np.unique(_shorter(nodes.keys, depth), return_inverse=True)
+    return pd.DataFrame({"depth": depth, "key": keys, **{c: np.bincount(up, x, len(keys)) for c, x in (("zeros", nodes.zeros), ("ones", nodes.ones), ("below", nodes.weighted))}})
+
+
 def passed_up(frame: pd.DataFrame) -> pd.DataFrame:
-    """From grams (code, n): key, zeros, ones and the weight of the longer contexts, by decision at depth TOP."""
-    last = subtree(frame["code"].to_numpy(), frame["n"].to_numpy())[0][-1]
-    keys, up = np.unique(_shorter(last.keys, TOP), return_inverse=True)
-    return pd.DataFrame({"key": keys, **{c: np.bincount(up, x, len(keys)) for c, x in (("zeros", last.zeros), ("ones", last.ones), ("below", last.weighted))}})
+    """From grams (code, n, root): what the subtrees, which begin at depth root, pass up."""
+    return pd.concat(_raised(subtree(part["code"].to_numpy(), part["n"].to_numpy(), root)[0][-1], root - 1) for root, part in frame.groupby("root"))
 
 
 class Top:
@@ -241,27 +247,97 @@ class Top:
         return add, share, final
 
 
-def passed_down(frame: pd.DataFrame, top: Top) -> pd.DataFrame:
-    """From grams (code, n): code, n and log10 of the byte's probability after its context."""
-    codes = frame["code"].to_numpy()
-    levels, at, bits = subtree(codes, frame["n"].to_numpy())
-    levels[-1].settle(*top.following(levels[-1].keys))
-    for longer, shorter in zip(levels[-2::-1], levels[::-1]):
-        longer.settle(*shorter.following(longer.up))
-    one = np.clip(levels[0].final, 1e-12, 1 - 1e-12)[at].reshape(-1, 8)
-    return pd.DataFrame({"code": codes, "n": frame["n"].to_numpy(), "log": np.log10(np.where(bits == 1, one, 1 - one)).sum(1).astype(np.float32)})
+def passed_down(frame: pd.DataFrame, top: Top, given: pd.DataFrame | None = None) -> pd.DataFrame:
+    """From grams (code, n, root): code, n and log10 of the byte's probability after its context. given: what the decisions above deeper roots send down (depth, key, add, share, final)."""
+    out = []
+    for root, part in frame.groupby("root"):
+        codes = part["code"].to_numpy()
+        levels, at, bits = subtree(codes, part["n"].to_numpy(), root)
+        if root == TOP + 1:
+            sent = top.following(levels[-1].keys)
+        else:
+            above = given[given["depth"] == root - 1].sort_values("key")
+            of = np.searchsorted(above["key"].to_numpy(), _shorter(levels[-1].keys, root - 1))
+            sent = tuple(above[c].to_numpy()[of] for c in ("add", "share", "final"))
+        levels[-1].settle(*sent)
+        for longer, shorter in zip(levels[-2::-1], levels[::-1]):
+            longer.settle(*shorter.following(longer.up))
+        one = np.clip(levels[0].final, 1e-12, 1 - 1e-12)[at].reshape(-1, 8)
+        out.append(pd.DataFrame({"code": codes, "n": part["n"].to_numpy(), "log": np.log10(np.where(bits == 1, one, 1 - one)).sum(1).astype(np.float32)}))
+    return pd.concat(out)
+
+
+def _last(depth: int) -> Column:
+    """The context's last bytes as they stand in a gram's code."""
+    return F.col("code").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 256))
+
+
+def _rooted(counts: DataFrame) -> tuple[DataFrame, int]:
+    """The grams with the depth (root) at which the subtrees that are dealt out begin, and the largest root: below suffixes of more than PART grams they begin a byte deeper.
+
+    A whole context has 256 grams at most, so the deepest root is DEPTH.  There is at most one such suffix for every PART grams of each depth: 8 bytes of each are broadcast.
+    """
+    out, root = counts.withColumn("root", F.lit(TOP + 1)), TOP + 1
+    while root < DEPTH:
+        full = saved(out.where(F.col("root") == root).groupBy(_last(root).alias("full")).count().where(F.col("count") > PART).select("full"), "ctw-full")
+        if full.isEmpty():
+            break
+        out = out.join(F.broadcast(full), (F.col("root") == root) & (_last(root) == F.col("full")), "left")
+        root += 1
+        out = out.withColumn("root", F.when(F.col("full").isNotNull(), F.lit(root)).otherwise(F.col("root"))).drop("full")
+    return out, root
+
+
+_UP, _DOWN = "depth long, key long, zeros double, ones double, below double", "depth long, key long, add double, share double, final double"
+
+
+def _summed(up: DataFrame, depth: int) -> DataFrame:
+    return up.where(F.col("depth") == depth).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
+
+
+def _settled(frames: Iterator[pd.DataFrame], depth: int, top: Top | None) -> Iterator[pd.DataFrame]:
+    """Decisions (key, zeros, ones, below, and where they lie deeper what their parents send down) settled."""
+    for frame in frames:
+        nodes = Nodes(*(frame[c].to_numpy() for c in ("key", "zeros", "ones", "below")))
+        nodes.settle(*(top.following(nodes.keys) if top else (frame[c].to_numpy() for c in ("add", "share", "final"))))
+        yield pd.DataFrame({"depth": depth, "key": nodes.keys, "add": nodes.add, "share": nodes.share, "final": nodes.final})
 
 
 def modelled(counts: DataFrame) -> DataFrame:
-    """From saved grams (code, n), n being 0 for those that only texts to score have: code, n, log (float), written."""
+    """From saved grams (code, n), n being 0 for those that only texts to score have: code, n, log (float), written. A decision's probability is held between 1e-12 and 1 - 1e-12."""
     spark = counts.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + counts.count() // PART)
-    suffix = F.col("code").bitwiseAND(F.lit((1 << 8 * (TOP + 2)) - 256))  # the context's last TOP + 1 bytes
-    dealt = counts.withColumn("part", F.pmod(F.xxhash64(suffix), F.lit(parts)).cast("int"))
-    up = dealt.groupBy("part").applyInPandas(passed_up, "key long, zeros double, ones double, below double")
-    sums = up.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow()
+    rooted, deepest = _rooted(counts)
+    suffix = F.coalesce(*[F.when(F.col("root") == d, _last(d)) for d in range(TOP + 1, deepest + 1)])
+    dealt = rooted.withColumn("part", F.pmod(F.xxhash64(suffix), F.lit(parts)).cast("int"))
+    up = dealt.groupBy("part").applyInPandas(passed_up, _UP)
+    split: dict[int, DataFrame] = {}  # the decisions of the suffixes that are split, by depth
+    if deepest > TOP + 1:
+        up = saved(up, "ctw-up")
+    for depth in range(deepest - 1, TOP, -1):
+        split[depth] = saved(_summed(up, depth), "ctw-split")
+        raised = split[depth].mapInPandas(lambda frames, d=depth: (_raised(Nodes(*(f[c].to_numpy() for c in ("key", "zeros", "ones", "below"))), d - 1) for f in frames), _UP)
+        up = up.where(F.col("depth") < depth).unionByName(raised)
+    sums = _summed(up, TOP).toArrow()
     shared = spark.sparkContext.broadcast(Top(*(sums[c].to_numpy() for c in ("key", "zeros", "ones", "below"))))
-    model = saved(dealt.groupBy("part").applyInPandas(lambda frame: passed_down(frame, shared.value), "code long, n long, log float"), "ctw-model")
+    down: list[DataFrame] = []
+    for depth in range(TOP + 1, deepest):
+        nodes = split[depth]
+        if down:
+            parent = down[-1].select(F.col("key").alias("_parent"), "add", "share", "final")
+            nodes = nodes.join(parent, F.col("key").bitwiseAND(F.lit((1 << 8 * depth) - 1)) == F.col("_parent"))
+        first = not down
+        down.append(saved(nodes.mapInPandas(lambda frames, d=depth, f=first: _settled(frames, d, shared.value if f else None), _DOWN), "ctw-down"))
+    if down:
+        # what a split suffix's decisions send down goes to the parts that hold subtrees below it
+        above = F.coalesce(*[F.when(F.col("root") == d, _last(d - 1)) for d in range(TOP + 2, deepest + 1)])
+        held = dealt.where(F.col("root") > TOP + 1).select(F.col("part").alias("to_part"), (F.col("root") - 1).alias("depth"), above.alias("_above")).distinct()
+        sent = functools.reduce(DataFrame.unionByName, down).withColumn("_above", F.col("key").bitwiseAND(F.lit(-256)))
+        given = held.join(sent, ["depth", "_above"]).select("to_part", "depth", "key", "add", "share", "final")
+        logs = dealt.groupBy("part").cogroup(given.groupBy("to_part")).applyInPandas(lambda frame, g: passed_down(frame, shared.value, g), "code long, n long, log float")
+    else:
+        logs = dealt.groupBy("part").applyInPandas(lambda frame: passed_down(frame, shared.value), "code long, n long, log float")
+    model = saved(logs, "ctw-model")
     shared.unpersist()
     return model
 
@@ -333,7 +409,7 @@ def language_model(docs: DataFrame) -> DataFrame:
     vocabulary = counts.where("token is not null").select("token", "n")
     kinds, total = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     least = _threshold("n", vocabulary, COMMON)
-    common = {bytes(r["token"]): math.log10(r["n"] + 0.5) for r in vocabulary.where(F.col("n") >= least).toLocalIterator()}
+    common = {bytes(r["token"]): math.log10(r["n"] + 0.5) for r in vocabulary.where((F.col("n") >= least) & (F.length("token") <= LONG)).toLocalIterator()}
     model = modelled(counts.where("token is null").select("code", "n"))
     least_gram = _threshold("n", model.where("n > 0"), HOT)
     hot = model.where(F.col("n") >= least_gram).select("code", "log").toArrow()
@@ -365,7 +441,7 @@ def language_model(docs: DataFrame) -> DataFrame:
     scored = saved(scored.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
     shared.unpersist()
     known = F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(F.lit(0))).alias("_known")
-    rare = _rest(scored, "rare", "times", "token", vocabulary.where(F.col("n") < least), known, F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("_logs"))
+    rare = _rest(scored, "rare", "times", "token", vocabulary.where((F.col("n") < least) | (F.length("token") > LONG)), known, F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("_logs"))
     other = _rest(scored, "grams", "gram_times", "code", model.where(F.col("n") < least_gram).select("code", "log"), F.sum(F.col("times") * F.col("log")).alias("_more"))
     per_token = math.log10(total + 0.5 * (kinds + 1))
     score = F.col("score") + F.coalesce("_more", F.lit(0.0))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -252,14 +253,38 @@ def test_context_tree_weighting_by_definition(spark, docs):
     training = [(t or "", 1) for i, t in rows if crc(i, 5) != 1]
     plain = plain_ctw(training)
     want = {i: plain(t or "") for i, t in rows}
-    old = ctw.HOT, ctw.PART
+    old, base = (ctw.HOT, ctw.PART, ctw.LONG), None
     try:
-        for ctw.HOT, ctw.PART in ((1 << 21, 250_000), (500, 300)):  # all grams broadcast, nearly all joined
+        for ctw.HOT, ctw.PART, ctw.LONG in ((1 << 21, 250_000, 64), (500, 12, 5)):  # all grams broadcast, nearly all joined and many suffixes split; long tokens joined
             got = ctw.language_model(odd(spark, rows)).collect()
             assert len(got) == len(rows) and any(r.held_out for r in got)
             assert all(abs(r.score - want[r.doc_id]) < 1e-3 + 1e-5 * abs(want[r.doc_id]) for r in got)
+            now = sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got)
+            assert base is None or now == base
+            base = now
     finally:
-        ctw.HOT, ctw.PART = old
+        ctw.HOT, ctw.PART, ctw.LONG = old
+
+
+def test_heavy_suffixes_are_split(spark):
+    rng, letters, old = random.Random(8), "abcdefghijklmnopqrstuvwxyz", ctw.PART
+    texts = ["".join(rng.choices(letters, k=3)) + "xen" + rng.choice(letters) for _ in range(10_000)] + ["zzzzzxen" + c for c in letters * 3]
+    codes, n = np.unique(ctw.grams(texts)[0], return_counts=True)
+    counts = spark.createDataFrame(pd.DataFrame({"code": codes, "n": n}))
+    heavy = np.unique(codes & ((1 << 32) - 256), return_counts=True)[1].max()
+    try:
+        ctw.PART = 10**9
+        whole = {r.code: r.log for r in ctw.modelled(counts).collect()}
+        for ctw.PART, reach in ((300, 5), (10, ctw.DEPTH)):
+            rooted, deepest = ctw._rooted(counts)
+            assert heavy > 9000 and deepest == reach
+            sizes = rooted.selectExpr("root", "code & (shiftleft(1L, 8 * (root + 1)) - 256) as suffix").groupBy("root", "suffix").count()
+            assert sizes.where(f"count > {ctw.PART} and root < {ctw.DEPTH}").isEmpty()
+            split = {r.code: r.log for r in ctw.modelled(counts).collect()}
+            assert set(split) == set(whole) == set(codes.tolist())
+            assert max(abs(split[c] - whole[c]) for c in whole) < 1e-4
+    finally:
+        ctw.PART = old
 
 
 def test_huge_counts_keep_scores_finite(spark):
@@ -360,6 +385,18 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(odd(spark, [])).count() == 0
 
 
+def test_near_duplicates_without_ids(spark):
+    """Rows that share an id, or have none, are documents of their own; of rows that repeat id and text a node's text is taken once."""
+    rng = random.Random(14)
+    texts = []
+    for _ in range(100):
+        w = [f"w{rng.randrange(2000)}" for _ in range(60)]
+        texts += [" ".join(w), " ".join([*w[:-1], "end"]), " ".join([*w, "more"])]
+    rows = [(None if k % 3 else 5, t) for k, t in enumerate(texts)] + [(None, texts[0])] * 50 + [(None, texts[1])] * 50 + [(9, texts[4])]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(odd(spark, rows)).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_near_duplicates_at_other_thresholds(spark):
     assert minhash.bands_for(85) == 24 and minhash.bands_for(80) == 38
     rng = random.Random(8)
