@@ -215,9 +215,15 @@ def _raised(nodes: Nodes, depth: int) -> pd.DataFrame:
     return pd.DataFrame({"depth": depth, "key": keys, **{c: np.bincount(up, x, len(keys)) for c, x in (("zeros", nodes.zeros), ("ones", nodes.ones), ("below", nodes.weighted))}})
 
 
+def _by_root(frame: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+    """The grams by root; nearly all parts have a single one."""
+    roots = frame["root"].unique().tolist()
+    return ((r, frame if len(roots) == 1 else frame[frame["root"] == r]) for r in roots)
+
+
 def passed_up(frame: pd.DataFrame) -> pd.DataFrame:
     """From grams (code, n, root): what the subtrees, which begin at depth root, pass up."""
-    return pd.concat(_raised(subtree(part["code"].to_numpy(), part["n"].to_numpy(), root)[0][-1], root - 1) for root, part in frame.groupby("root"))
+    return pd.concat(_raised(subtree(part["code"].to_numpy(), part["n"].to_numpy(), root)[0][-1], root - 1) for root, part in _by_root(frame))
 
 
 class Top:
@@ -250,7 +256,7 @@ class Top:
 def passed_down(frame: pd.DataFrame, top: Top, given: pd.DataFrame | None = None) -> pd.DataFrame:
     """From grams (code, n, root): code, n and log10 of the byte's probability after its context. given: what the decisions above deeper roots send down (depth, key, add, share, final)."""
     out = []
-    for root, part in frame.groupby("root"):
+    for root, part in _by_root(frame):
         codes = part["code"].to_numpy()
         levels, at, bits = subtree(codes, part["n"].to_numpy(), root)
         if root == TOP + 1:
