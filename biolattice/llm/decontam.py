@@ -1,13 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Terms are the benchmark's words, weighted by how few documents have them.  A randomised SVD of TF-IDF passages (the benchmark's, and those of a bounded sample of documents), its
-products summed by partition, gives the latent space.  Every window of every document is projected and compared with every item, and also compared with the items' own
+Terms are the benchmark's words, weighted by how few documents have them.  A randomised SVD of TF-IDF passages (the benchmark's, and those of all documents) gives the latent space;
+what it needs of the documents are the counts of pairs of terms that meet in a passage, whole numbers that one pass sums in a tree.  Every window of every document is projected and compared with every item, and also compared with the items' own
 TF-IDF passages, since the space can't hold the passages of more than RANK items; windows near an item either way are candidates, for which the longest common subsequence with the item and the item's answer are checked, so passages with changed,
 added or dropped words are found too.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,18 +22,20 @@ from .words import word_hashes
 
 #: A document's windows are two BLOCKs of words long and start at every BLOCK; items are compared in passages of at most PASSAGE words.
 BLOCK, PASSAGE = 16, 64
-#: Latent dimensions at most, more columns in the random sketch, power iterations; documents that the space is fitted on; partitions that sum.
-RANK, EXTRA, POWERS, SAMPLE_DOCS, PARTS, SEED = 256, 16, 2, 2000, 4, 5
-#: Weight of a benchmark passage against a sampled one.
-EMPHASIS = 20.0
+#: Latent dimensions at most, more columns in the random sketch, power iterations.
+RANK, EXTRA, POWERS, SEED = 256, 16, 2, 5
+#: Weight of a benchmark passage against a document's; all documents together weigh at most as much as so many would.
+EMPHASIS, WHOLE = 20.0, 2000
 #: Cosine that makes a candidate; share of an item's words in common order that is enough alone, or with enough of the answer (an item's last words).
 COSINE, ALONE, WITH_ANSWER, ANSWER, ANSWER_SHARE = 0.3, 0.75, 0.55, 0.25, 0.5
 #: Items, and words of items, matched in one pass over the documents; more are taken in blocks.
 ITEMS, ITEM_WORDS = 4096, 1 << 18
 #: Products, and cells of windows by passages, that are held at a time.
 _CELLS = 1 << 20
-#: Rows that are added up at a time, and terms whose sums are a row on the way to the driver.
-_ADDED, _SLICE = 8192, 4096
+#: Rows that are added up at a time.
+_ADDED = 8192
+#: Pairs that a task sorts at a time, and distinct ones that it holds; cells of a slice of the table of pairs; branches of the tree that sums it; parts that it is read in.
+_PAIRS, _SLICE, _FAN, _PARTS = 1 << 21, 1 << 21, 32, 64
 
 
 class Terms:
@@ -225,30 +228,123 @@ class Space:
                 of[self.ids[item]] = (cosine, got, answer)
 
 
-def _fitted(docs: DataFrame, space: Space) -> Space:
-    """Weights from all documents, then the latent space from the benchmark's passages and a bounded sample's."""
-    spark = docs.sparkSession
-    terms = spark.sparkContext.broadcast(space.terms)
+def _pairs(found: np.ndarray, starts: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Cells (term * size + term, the smaller one first) of all terms that meet in a passage, each as often as the product of both terms' numbers there."""
+    hit = np.flatnonzero(found >= 0)
+    cell, times = np.unique((np.searchsorted(starts, hit, side="right") - 1) * size + found[hit], return_counts=True)
+    passage, term = np.divmod(cell, size)
+    count = np.searchsorted(passage, passage, side="right") - np.arange(len(passage))  # itself and those behind it
+    ends, low = np.cumsum(times * PASSAGE), 0
+    while low < len(term):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + _CELLS, side="right")))
+        n = count[low:high]
+        one = np.repeat(np.arange(low, high), n)
+        other = one + np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n)
+        yield np.repeat(term[one] * size + term[other], times[one] * times[other])
+        low = high
+
+
+class _Tally:
+    """How often each cell was added, as sorted arrays."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.cells, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, cells: np.ndarray) -> None:
+        self.waiting.append(cells)
+        self.n += len(cells)
+        if self.n >= self.most:
+            self.settle()
+
+    def settle(self) -> None:
+        new = np.sort(np.concatenate([np.zeros(0, np.int64), *self.waiting]))
+        first = np.flatnonzero(np.diff(new, prepend=-1))
+        both = np.concatenate([self.cells, new[first]])
+        order = np.argsort(both, kind="stable")
+        both, counts = both[order], np.concatenate([self.counts, np.diff(np.append(first, len(new)))])[order]
+        first = np.flatnonzero(np.diff(both, prepend=-1))
+        self.cells, self.counts = both[first], np.add.reduceat(counts, first) if len(first) else counts
+        self.waiting, self.n = [], 0
+
+
+def _packed(cells: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    return zlib.compress(np.diff(cells, prepend=0).astype(np.int32).tobytes(), 1), zlib.compress(counts.astype(np.int64).tobytes(), 1)
+
+
+def _unpacked(cells: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(np.frombuffer(zlib.decompress(cells), np.int32), dtype=np.int64), np.frombuffer(zlib.decompress(counts), np.int64)
+
+
+def _counted(docs: DataFrame, terms: Terms) -> tuple[DataFrame, int]:
+    """Of all documents, a written table of slices, and the terms that a slice has: its cells (term - slice * terms a slice) * number of terms + term, and how often both terms meet in a passage.
+
+    Both orders of a pair are there.  Slice -1 has the number of documents with each term and, after the last term, that of all documents.
+    """
+    shared, size = docs.sparkSession.sparkContext.broadcast(terms), len(terms.hashes)
+    tall, most = max(1, _SLICE // max(1, size)), _PAIRS
+
+    def sliced(tally: _Tally) -> pd.DataFrame:
+        one, other = np.divmod(tally.cells, max(1, size))
+        mirror = one != other
+        cells = np.concatenate([tally.cells, (other * size + one)[mirror]])
+        order = np.argsort(cells)
+        cells, counts = cells[order], np.concatenate([tally.counts, tally.counts[mirror]])[order]
+        numbers = np.unique(cells // (tall * size)) if size else cells
+        bounds = np.searchsorted(cells, np.append(numbers, numbers[-1:] + 1) * tall * size)
+        rows = [(int(k), *_packed(cells[low:high] - k * tall * size, counts[low:high])) for k, low, high in zip(numbers, bounds, bounds[1:])]
+        return pd.DataFrame(rows, columns=["slice", "cells", "counts"]).astype({"slice": "int64"})
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, rows = np.zeros(len(terms.value.hashes), np.int64), 0
+        total, tally = np.zeros(size + 1, np.int64), _Tally(most)
         for frame in batches(frames):
             words, ends = word_hashes(frame["text"].tolist())
-            found = terms.value.find(words)
+            found = shared.value.find(words)
             owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-            pairs = np.unique(owner[found >= 0] * len(total) + found[found >= 0])
-            total += np.bincount(pairs % max(1, len(total)), minlength=len(total))
-            rows += len(frame)
+            pairs = np.unique(owner[found >= 0] * (size + 1) + found[found >= 0])
+            total += np.bincount(pairs % (size + 1), minlength=size + 1)
+            total[size] += len(frame)
+            for cells in _pairs(found, _passages(words, ends)[0], size):
+                tally.add(cells)
+                if len(tally.cells) > most:
+                    tally.settle()
+                    yield sliced(tally)
+                    tally = _Tally(most)
+        tally.settle()
+        yield sliced(tally)
+        used = np.flatnonzero(total)
+        yield pd.DataFrame([(-1, *_packed(used, total[used]))], columns=["slice", "cells", "counts"])
+
+    def summed(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(max(tall * size, size + 1), np.int64)
+        for packed in zip(frame["cells"], frame["counts"]):
+            cells, counts = _unpacked(*packed)
+            total[cells] += counts
         used = np.flatnonzero(total)
-        yield pd.DataFrame({"term": np.append(used, -1), "n": np.append(total[used], rows)})
+        return pd.DataFrame([(frame["slice"].iloc[0], *_packed(used, total[used]))], columns=["slice", "cells", "counts"])
 
-    counts = dict(map(tuple, docs.select("text").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()))
-    n = counts.pop(-1, 0)
+    schema = "slice long, cells binary, counts binary"
+    leaves = docs.select("text").mapInPandas(count, schema).withColumn("branch", F.spark_partition_id() % _FAN)
+    middle = leaves.groupBy("slice", "branch").applyInPandas(summed, schema)
+    top = middle.groupBy("slice").applyInPandas(summed, schema).repartition(max(1, min(_PARTS, -(-size // tall))), "slice")
+    return saved(top, "decontam-counts"), tall
+
+
+def _fitted(docs: DataFrame, space: Space) -> Space:
+    """Weights, and the latent space from the passages of the benchmark and of all documents."""
+    spark = docs.sparkSession
+    size = len(space.terms.hashes)
+    counted, tall = _counted(docs, space.terms)
+    counts: dict[int, int] = {}
+    for r in counted.where("slice < 0").collect():
+        counts = dict(zip(*(x.tolist() for x in _unpacked(r["cells"], r["counts"]))))
+    n = counts.pop(size, 0)
     space.weigh(counts, n)
-    h = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000))
-    chosen = saved(docs.where(h < int(1_000_000 * min(1.0, SAMPLE_DOCS / max(1, n)))).select("text").repartition(PARTS), "decontam-sample")
-    weight = space.weight
-    basis = np.random.default_rng(SEED).normal(size=(len(weight), min(RANK + EXTRA, max(1, len(weight))))).astype(np.float32)
+    pairs = counted.where("slice >= 0")
+    weight, share = space.weight, min(1.0, WHOLE / max(1, n))
+    basis = np.random.default_rng(SEED).normal(size=(size, min(RANK + EXTRA, max(1, size)))).astype(np.float32)
 
     def product(found: np.ndarray, starts: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Transposed TF-IDF matrix times TF-IDF matrix times q."""
@@ -260,24 +356,26 @@ def _fitted(docs: DataFrame, space: Space) -> Space:
         return out
 
     def times(basis: np.ndarray) -> np.ndarray:
-        """The passages' product matrix times basis, summed over the benchmark and the partitions of the sample."""
-        shared = spark.sparkContext.broadcast(basis)
-
-        def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((len(weight), basis.shape[1]))
-            for frame in batches(frames):
-                words, ends = word_hashes(frame["text"].tolist())
-                starts, _ = _passages(words, ends)
-                if len(starts):
-                    total += product(terms.value.find(words), starts, shared.value)
-            lows = list(range(0, len(total), _SLICE))
-            yield pd.DataFrame({"low": lows, "sums": [total[k : k + _SLICE].astype(np.float32).tobytes() for k in lows]}).astype({"low": "int64"})
+        """The passages' product matrix times basis, summed over the benchmark and the documents."""
+        shared = spark.sparkContext.broadcast(basis * weight[:, None])
+
+        def multiplied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for k, *packed in frame.itertuples(index=False, name=None):
+                    cells, counts = _unpacked(*packed)
+                    row, term = np.divmod(cells, size)
+                    used, at = np.unique(term, return_inverse=True)
+                    table = np.zeros((min(tall, size - k * tall), len(used)), np.float32)
+                    table[row, at] = counts
+                    yield pd.DataFrame({"low": [k * tall], "sums": [(table @ shared.value[used]).tobytes()]})
 
         got = EMPHASIS**2 * product(space.item_terms, space.starts, basis)
-        # the shuffle lets the partitions be summed side by side; the driver takes their sums one after another
-        for r in chosen.mapInPandas(sums, "low long, sums binary").repartition(PARTS, "low").toLocalIterator():
-            part = got[r["low"] : r["low"] + _SLICE]
-            part += np.frombuffer(r["sums"], np.float32).reshape(part.shape)
+        # the shuffle lets the slices be multiplied side by side; the driver takes them one after another
+        for r in pairs.mapInPandas(multiplied, "low long, sums binary").repartition(4, "low").toLocalIterator():
+            sums = np.frombuffer(r["sums"], np.float32).reshape(-1, basis.shape[1])
+            part = slice(r["low"], r["low"] + len(sums))
+            got[part] += share * weight[part, None] * sums
+        shared.unpersist()
         return got
 
     for _ in range(POWERS):

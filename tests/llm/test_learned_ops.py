@@ -493,6 +493,52 @@ def test_singular_vectors(spark, docs):
     assert (kept > 0.98).all()
 
 
+def test_latent_space_is_of_all_documents(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.sample(vocabulary, 20))) for k in range(12)]
+    made = [" ".join(rng.choices(vocabulary[: 12 + k % 48], k=rng.randrange(1, 150))) for k in range(3 * decontam.WHOLE // 2)]
+    made[7:9] = ["w3 w3 " * 90, None]
+    space = decontam._fitted(spark.createDataFrame([(5, t) for t in made], "doc_id long, text string").repartition(7), decontam.Space(items))
+    terms = {int(h): k for k, h in enumerate(space.terms.hashes)}
+    seen = np.array([sum(h in set((t or "").split()) for t in made) for h in vocabulary])
+    of = {int(words.word_hashes([w])[0][0]): n for w, n in zip(vocabulary, seen)}
+    weight = np.log((len(made) + 1) / (np.array([of[h] for h in terms]) + 0.5)).clip(0.05)
+    assert np.allclose(space.weight, weight, rtol=1e-5)
+    gram = np.zeros((len(terms), len(terms)))
+    for text, times in [(t, decontam.EMPHASIS**2) for _, t in items] + [(t or "", decontam.WHOLE / len(made)) for t in made]:
+        h, ends = words.word_hashes([text])
+        starts, _ = decontam._passages(h, ends)
+        for low, high in zip(starts, [*starts[1:], len(h)]):
+            row = np.bincount([terms[int(x)] for x in h[low:high] if int(x) in terms], minlength=len(terms)) * weight
+            gram += times * np.outer(row, row)
+    assert np.allclose(space.singular**2, np.sort(np.linalg.eigvalsh(gram))[::-1], rtol=1e-3)
+
+
+@pytest.mark.parametrize("held", [1 << 21, 50])
+def test_pairs_of_terms_are_counted_whole(spark, held):
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(30)]
+    made = [" ".join(rng.choices([*vocabulary, "other"], k=rng.randrange(0, 200))) for _ in range(60)]
+    terms = decontam.Terms(words.word_hashes([" ".join(vocabulary)])[0])
+    want = Counter()
+    for t in made:
+        h, ends = words.word_hashes([t])
+        for part in np.split(terms.find(h), decontam._passages(h, ends)[0][1:]):
+            want.update((int(x), int(y)) for x in part for y in part if x >= 0 and y >= 0)
+    old, sizes = (decontam._PAIRS, decontam._SLICE), (held, 90)
+    decontam._PAIRS, decontam._SLICE = sizes
+    try:
+        table, tall = decontam._counted(spark.createDataFrame([(t,) for t in made], "text string").repartition(3), terms)
+        got = Counter()
+        for r in table.where("slice >= 0").collect():
+            for cell, n in zip(*decontam._unpacked(r["cells"], r["counts"])):
+                got[(r["slice"] * tall + int(cell) // 30, int(cell) % 30)] += int(n)
+    finally:
+        decontam._PAIRS, decontam._SLICE = old
+    assert tall == 3 and got == want
+
+
 def test_decontamination_against_brute_force(spark, docs):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     items = {r.item_id: r.text for r in bench.collect()}
