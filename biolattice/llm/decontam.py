@@ -34,7 +34,7 @@ ITEMS, ITEM_WORDS = 4096, 1 << 18
 _CELLS = 1 << 20
 #: Rows that are added up at a time.
 _ADDED = 8192
-#: Pairs that a task sorts at a time, and distinct ones that it holds; cells of a slice of the table of pairs; branches of the tree that sums it; parts that it is read in.
+#: Pairs that a task sorts at a time, and distinct ones that it holds; cells of a slice of the table of pairs; tasks whose counts are summed at the first level of the tree; parts that it is read in.
 _PAIRS, _SLICE, _FAN, _PARTS = 1 << 21, 1 << 21, 32, 64
 
 
@@ -326,7 +326,7 @@ def _counted(docs: DataFrame, terms: Terms) -> tuple[DataFrame, int]:
         return pd.DataFrame([(frame["slice"].iloc[0], *_packed(used, total[used]))], columns=["slice", "cells", "counts"])
 
     schema = "slice long, cells binary, counts binary"
-    leaves = docs.select("text").mapInPandas(count, schema).withColumn("branch", F.spark_partition_id() % _FAN)
+    leaves = docs.select("text").mapInPandas(count, schema).withColumn("branch", F.expr(f"spark_partition_id() div {_FAN}"))
     middle = leaves.groupBy("slice", "branch").applyInPandas(summed, schema)
     top = middle.groupBy("slice").applyInPandas(summed, schema).repartition(max(1, min(_PARTS, -(-size // tall))), "slice")
     return saved(top, "decontam-counts"), tall
