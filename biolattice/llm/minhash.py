@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, threshold: int = LINK, keep: tuple[str, ...
     links = saved(_links(tried, texts, threshold), "minhash-links")
     roots = components(links)
     # second round, small buckets: all pairs that are still apart
-    few = _apart(buckets.where(f"size between 3 and {SMALL}").select("key", "node", "n"), roots, "key").drop("least")
+    few = saved(_apart(buckets.where(f"size between 3 and {SMALL}").select("key", "node", "n"), roots, "key").drop("least"), "minhash-few")
     p = few.where("root != main").select("key", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("root").alias("p_root"))
     pairs = ends(p.join(few, "key").where((F.col("root") != F.col("p_root")) & close(F.col("n"), F.col("p_n"))), "p", "node")
     # large buckets: pairs that meet in their prefixes
