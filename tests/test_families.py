@@ -1,8 +1,10 @@
 """Compressed families of sets against plain sets of sets, and gene rules that could not be listed."""
 
+import gc
 import itertools
 import random
 import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +81,34 @@ def test_columns(spark):
         df.select(gpr.complexes("rule")).collect()
     few = df.where(F.col("i") != 0).where(F.col("i") != 5).select(gpr.complexes("rule").alias("c")).collect()
     assert few[0].c == [["a"], ["a", "b"]]
+
+
+def test_listed_rules_come_in_pieces_of_bounded_size(spark):
+    rules = [wide(8).replace("(a", f"(x{k % 400}a") for k in range(500)]
+    pieces = list(gpr.in_pieces(rules, gpr.dnf, held=20_000))
+    assert [c for p in pieces for c in p] == [gpr.dnf(r) for r in rules] and len(pieces) > 1
+    assert all(sum(len(c) for f in p for c in f) <= 20_000 for p in pieces)
+    assert list(gpr.in_pieces([wide(8), None, wide(8)], gpr.dnf, held=10)) == [[gpr.dnf(wide(8))], [[]], [gpr.dnf(wide(8))]]
+    tracemalloc.start()
+    for _ in gpr.in_pieces(rules, gpr.dnf, held=20_000):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all of the lists at once take more than 10 MB
+    assert most < 4_000_000
+    got = spark.createDataFrame([(k, r) for k, r in enumerate([*rules, None, ""])], "k int, rule string").coalesce(1)
+    got = got.select("k", gpr.complexes("rule").alias("c"), gpr.possible("rule", F.array(F.lit("a1"))).alias("p")).orderBy("k").collect()
+    assert [r.c for r in got] == [gpr.dnf(r) for r in rules] + [[], []] and not any(r.p for r in got)
+
+
+def test_told_families_leave_nothing_for_the_cycle_collector():
+    gc.disable()
+    try:
+        gc.collect()
+        for _ in range(3):
+            f, whole = gpr.family(wide(12))
+            assert f.count(whole) == 2**12 and f.smallest(whole) == 12 and not f.within(whole, {"a0"})
+            del f
+        assert not any(isinstance(x, Families) for x in gc.get_objects())
+    finally:
+        gc.enable()
