@@ -16,7 +16,9 @@ def col(c: Column | str) -> Column:
 
 def normalize_key(c: Column | str) -> Column:
     """Strips white space at both ends and turns spaces into underscores; null for null and for empty input, which no node may have."""
-    return F.when(F.length(col(c)) > 0, F.replace(F.regexp_replace(col(c), _EDGE, ""), F.lit(" "), F.lit("_")))
+    # most keys begin and end with a visible ASCII character, so that no pattern has to be tried
+    clean = F.ascii(col(c)).between(33, 126) & F.ascii(F.right(col(c), F.lit(1))).between(33, 126)
+    return F.when(F.length(col(c)) > 0, F.replace(F.when(clean, col(c)).otherwise(F.regexp_replace(col(c), _EDGE, "")), F.lit(" "), F.lit("_")))
 
 
 def node_id(label: Column | str, key: Column | str) -> Column:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import col, edge_id, node_id, normalize_key
+from ..functions.keys import col, edge_id, normalize_key
 
 NODE = "label string, key string, id string, labels array<string>, props map<string,string>, value string, ord bigint"
 EDGE = "src_id string, label string, dst_id string, id string, props map<string,string>, ord bigint"
@@ -24,19 +24,21 @@ def props(**values: Column) -> Column:
     return F.map_filter(full, lambda _, v: v.isNotNull())
 
 
-def nodes(df: DataFrame, label: str | Column, key: Column | str, data: Column | None = None, order: Column | str = "ord", value: Column | None = None, more: Column | None = None) -> DataFrame:
-    """Node rows; rows whose key is null or empty are left out. Values of content-addressed nodes are kept beside the digest that is their key."""
+def nodes(df: DataFrame, label: str | Column, key: Column | str, data: Column | None = None, order: Column | str = "ord", value: Column | None = None, more: Column | None = None, normal: bool = False) -> DataFrame:
+    """Node rows; rows whose key is null or empty are left out. Values of content-addressed nodes are kept beside the digest that is their key. normal: keys are normalised already, and none is null."""
     name = F.lit(label) if isinstance(label, str) else label
+    # one step after another, so that no expression is repeated inside another: code that grows so isn't compiled by the JVM
     out = df.select(
         name.alias("label"),
-        normalize_key(key).alias("key"),
-        node_id(name, key).alias("id"),
+        col(key).alias("key"),
         (F.array().cast("array<string>") if more is None else more).alias("labels"),
         (props() if data is None else data).alias("props"),
         (F.lit(None).cast("string") if value is None else value).alias("value"),
         col(order).cast("long").alias("ord"),
     )
-    return out.where("id is not null")
+    if not normal:
+        out = out.where("length(label) > 0 and length(key) > 0").withColumn("key", normalize_key("key"))
+    return out.select("label", "key", F.concat("label", F.lit("/"), "key").alias("id"), "labels", "props", "value", "ord")
 
 
 def edges(df: DataFrame, src: Column | str, label: str | Column, dst: Column | str, data: Column | None = None, order: Column | str = "ord") -> DataFrame:
@@ -45,6 +47,20 @@ def edges(df: DataFrame, src: Column | str, label: str | Column, dst: Column | s
     return out.where("src_id is not null and dst_id is not null").select("src_id", "label", "dst_id", edge_id("src_id", "label", "dst_id").alias("id"), "props", "ord")
 
 
+def links(df: DataFrame, src: Column | str, label: str, dst: Column | str, order: Column | str = "ord") -> DataFrame:
+    """Rows of edges without properties: src_id, label, dst_id, ord. Rows whose ends may be null are for the caller to leave out, by what the ends are made of."""
+    return df.select(col(src).alias("src_id"), F.lit(label).alias("label"), col(dst).alias("dst_id"), col(order).cast("long").alias("ord"))
+
+
+def linked(parts: list[DataFrame]) -> DataFrame:
+    """The edges of such rows, each once, the last's ord. Ends aren't looked up: whoever makes the rows makes their nodes too.
+
+    Only ord is aggregated, so this is by hash, and ids and properties are made after the rows have moved.
+    """
+    found = reduce(DataFrame.unionByName, parts).groupBy("src_id", "label", "dst_id").agg(F.max("ord").alias("ord"))
+    return found.select("src_id", "label", "dst_id", edge_id("src_id", "label", "dst_id").alias("id"), props().alias("props"), "ord")
+
+
 def _one(df: DataFrame, pick) -> DataFrame:
     """One row per id by an aggregate, which combines before it shuffles, so that an id with many rows is no one's task.
 
