@@ -7,18 +7,33 @@ from pyspark.sql import functions as F
 
 #: White space that is stripped from keys, in Unicode's sense.
 _BLANK = r"[\s\x1c-\x1f\x85\p{Z}]+"
-_EDGE = rf"^{_BLANK}|{_BLANK}\z"
+_FRONT = rf"^{_BLANK}"
+_EDGE = rf"{_FRONT}|{_BLANK}\z"
 
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _plain(c: Column) -> Column:
+    """Whether it begins and ends with a visible ASCII character: so do most keys, and no pattern has to be tried for them."""
+    return F.ascii(c).between(33, 126) & F.ascii(F.right(c, F.lit(1))).between(33, 126)
+
+
+def is_bare(c: Column | str) -> Column:
+    """Whether a key has no white space to strip and is neither empty nor null."""
+    return F.coalesce((F.length(col(c)) > 0) & (_plain(col(c)) | ~col(c).rlike(_EDGE)), F.lit(False))
+
+
 def normalize_key(c: Column | str) -> Column:
     """Strips white space at both ends and turns spaces into underscores; null for null and for empty input, which no node may have."""
-    # most keys begin and end with a visible ASCII character, so that no pattern has to be tried
-    clean = F.ascii(col(c)).between(33, 126) & F.ascii(F.right(col(c), F.lit(1))).between(33, 126)
-    return F.when(F.length(col(c)) > 0, F.replace(F.when(clean, col(c)).otherwise(F.regexp_replace(col(c), _EDGE, "")), F.lit(" "), F.lit("_")))
+    return F.when(F.length(col(c)) > 0, F.replace(F.when(_plain(col(c)), col(c)).otherwise(F.regexp_replace(col(c), _EDGE, "")), F.lit(" "), F.lit("_")))
+
+
+def scope(c: Column | str) -> tuple[Column, Column]:
+    """The first part of keys that have more parts behind it, normalised, and whether it has no white space to strip."""
+    bare = F.coalesce(F.ascii(col(c)).between(33, 126) | ~col(c).rlike(_FRONT), F.lit(True))
+    return F.replace(F.when(bare, col(c)).otherwise(F.regexp_replace(col(c), _FRONT, "")), F.lit(" "), F.lit("_")), bare
 
 
 def node_id(label: Column | str, key: Column | str) -> Column:

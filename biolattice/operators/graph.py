@@ -47,18 +47,29 @@ def edges(df: DataFrame, src: Column | str, label: str | Column, dst: Column | s
     return out.where("src_id is not null and dst_id is not null").select("src_id", "label", "dst_id", edge_id("src_id", "label", "dst_id").alias("id"), "props", "ord")
 
 
+def firsts(df: DataFrame, label: str, key: Column | str, data: Column, order: Column | str = "ord") -> DataFrame:
+    """Nodes of one label, of each key the first: only keys, properties and ord move."""
+    rows = df.select(col(key).alias("key"), data.alias("props"), col(order).cast("long").alias("ord")).where("length(key) > 0").withColumn("key", normalize_key("key"))
+    return nodes(rows.groupBy("key").agg(F.min_by("props", "ord").alias("props"), F.min("ord").alias("ord")), label, "key", F.col("props"), normal=True)
+
+
 def links(df: DataFrame, src: Column | str, label: str, dst: Column | str, order: Column | str = "ord") -> DataFrame:
     """Rows of edges without properties: src_id, label, dst_id, ord. Rows whose ends may be null are for the caller to leave out, by what the ends are made of."""
     return df.select(col(src).alias("src_id"), F.lit(label).alias("label"), col(dst).alias("dst_id"), col(order).cast("long").alias("ord"))
 
 
+def distinct_edges(df: DataFrame, src: Column | str, label: str | Column, dst: Column | str, data: Column | None = None) -> DataFrame:
+    """Edges from rows of which each is one already."""
+    ends = df.select(col(src).alias("src_id"), (F.lit(label) if isinstance(label, str) else label).alias("label"), col(dst).alias("dst_id"), (props() if data is None else data).alias("props"), "ord")
+    return ends.select("src_id", "label", "dst_id", edge_id("src_id", "label", "dst_id").alias("id"), "props", "ord")
+
+
 def linked(parts: list[DataFrame]) -> DataFrame:
     """The edges of such rows, each once, the last's ord. Ends aren't looked up: whoever makes the rows makes their nodes too.
 
     Only ord is aggregated, so this is by hash, and ids and properties are made after the rows have moved.
     """
-    found = reduce(DataFrame.unionByName, parts).groupBy("src_id", "label", "dst_id").agg(F.max("ord").alias("ord"))
-    return found.select("src_id", "label", "dst_id", edge_id("src_id", "label", "dst_id").alias("id"), props().alias("props"), "ord")
+    return distinct_edges(reduce(DataFrame.unionByName, parts).groupBy("src_id", "label", "dst_id").agg(F.max("ord").alias("ord")), "src_id", F.col("label"), "dst_id")
 
 
 def _one(df: DataFrame, pick) -> DataFrame:
