@@ -36,10 +36,11 @@ def genome(genome_id: str, contigs: DataFrame, proteins: DataFrame, features: Da
     g = spark.range(1).select(F.lit(genome_id).alias("g"), F.lit(0).alias("ord"))
     contig = contig.withColumn("contig_node", F.concat(F.lit("GenomicContig/"), digest("seq")))
     named = F.concat_ws("_", F.lit(genome_id), "contig_id", "feature_type", F.col("start").cast("string"), F.col("end").cast("string"))
-    tag = lambda k: F.nullif(F.try_element_at("attrs", F.lit(k)), F.lit(""))
+    # by key and once each, so that the optimiser takes them straight from a map's parts where it sees them made
+    tag = lambda k: F.col("attrs")[k]
     place = ("contig_id", "source", "feature_type", "start", "end", "score", "strand", "phase")
     rows = features.select(*place, "attrs", "ord", tag("locus_tag").alias("_tag"), tag("old_locus_tag").alias("_old"), tag("protein_id").alias("_protein"), F.coalesce(F.col("strand") == "-", F.lit(False)).alias("_minus"))
-    rows = rows.withColumn("_name", named)
+    rows = rows.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("_tag", "_old", "_protein")} | {"_name": named})
     f = rows if genome_id else rows.where("length(_name) > 0")
     is_gene = F.col("feature_type") == "gene"
     tags, olds, genes, cds = f.where("_tag is not null"), f.where("_old is not null"), f.where(is_gene), rows.where("feature_type = 'CDS'")

@@ -167,3 +167,17 @@ def test_models(spark, kind):
     # ends are not looked up among the nodes
     plan = graph.edges._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not [x for x in plan if "LeftSemi" in x and ("dst_id" in x or "src_id" in x)]
+
+
+def test_attributes_are_read_without_building_maps(spark):
+    from pyspark.sql import functions as F
+
+    seqs = spark.createDataFrame([("c1", "ACGT", 0)], "id string, seq string, ord long")
+    text = lambda v, name: F.lit(v).alias(name)
+    rows = spark.range(4).select(
+        text("c1", "contig_id"), text("s", "source"), text("gene", "feature_type"), F.lit(1).cast("long").alias("start"), F.col("id").alias("end"), text(".", "score"), text("+", "strand"), text(".", "phase"),
+        F.create_map(F.lit("locus_tag"), F.concat(F.lit("t"), "id"), F.lit("protein_id"), F.lit("c1")).alias("attrs"), F.col("id").alias("ord"),
+    )
+    edges = genome("G", seqs, seqs, rows).graph.edges
+    assert "map(locus_tag" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    assert edges.where("label = 'has_locus_tag'").count() == 4 and edges.where("label = 'has_dna_sequence'").count() == 3
